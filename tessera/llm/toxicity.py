@@ -19,8 +19,10 @@ from tessera.llm import kernels
 from tessera.llm.shared import row_key
 
 #: The model is fitted on this many labelled documents at most, those whose hashed ids come first.
-SAMPLE = 12_000
-BITS, LEAST_DOCS, EPOCHS, RATE, PENALTY, FOLDS = 20, 5, 60, 0.25, 2e-4, 5
+SAMPLE = 8_000
+BITS, LEAST_DOCS, EPOCHS, RELAXED, RATE, PENALTY, FOLDS = 22, 6, 60, 60, 0.3, 8e-4, 5
+#: A word counts as itself and by its beginnings of so many bytes, so that inflected forms share what is learnt.
+PREFIXES = (4, 5, 6)
 MEMBER = np.zeros(256, bool)
 MEMBER[ord("0") : ord("9") + 1] = MEMBER[ord("a") : ord("z") + 1] = MEMBER[128:] = True
 _STOPS = np.zeros(256, bool)
@@ -33,16 +35,17 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def sentences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """features of words; each sentence's first word (and the end), start and end in bytes; each text's first sentence (and the end). Sentences without words are none."""
+    """features of words; each sentence's first feature (and the end), start and end in bytes; each text's first sentence (and the end). Sentences without words are none."""
     low = kernels.LOWER[data]
     starts, ends, first = kernels.runs(MEMBER[low], off)
-    feature = (kernels.span_hash(low, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
+    forms = [ends, *(np.minimum(starts + k, ends) for k in PREFIXES)]
+    feature = np.stack([(kernels.span_hash(low, starts, stop, seed) >> np.uint64(64 - BITS)).astype(np.int64) for seed, stop in enumerate(forms)], 1).ravel()
     number = np.cumsum(_STOPS[data])[starts] if len(starts) else starts
     new = np.ones(len(starts), bool)
     new[1:] = np.diff(number) > 0
     new[first[:-1][np.diff(first) > 0]] = True
     begin = np.append(np.flatnonzero(new), len(starts))
-    return feature, begin, starts[begin[:-1]], ends[begin[1:] - 1], np.searchsorted(begin[:-1], first)
+    return feature, begin * len(forms), starts[begin[:-1]], ends[begin[1:] - 1], np.searchsorted(begin[:-1], first)
 
 
 @dataclass
@@ -51,35 +54,58 @@ class Model:
     bias: float
 
     def sentence_scores(self, feature: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        return self.bias + np.add.reduceat(self.weights[feature].astype(np.float64), begin[:-1]) if len(feature) else np.zeros(0)
+        """The log-odds of each sentence; a feature counts once in a sentence."""
+        told = np.flatnonzero(self.weights[feature])
+        owner = np.searchsorted(begin, told, "right") - 1
+        once = np.unique(owner * (1 << BITS) + feature[told])
+        return self.bias + np.bincount(once >> BITS, self.weights[once & ((1 << BITS) - 1)], len(begin) - 1)
 
 
 def fit(feature: np.ndarray, begin: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> Model:
     """Full-batch Adam on the noisy-or likelihood. begin, first as from sentences(); y: a label for each document."""
-    owner = np.repeat(np.arange(len(y)), np.diff(begin[first]))
-    code = np.unique(owner * (1 << BITS) + feature) & ((1 << BITS) - 1)
-    common = np.bincount(code, minlength=1 << BITS) >= LEAST_DOCS
-    names = np.flatnonzero(common)
-    to = np.full(1 << BITS, len(names), np.int64)
+    doc = np.repeat(np.arange(len(y)), np.diff(first))
+    n_docs = np.zeros(1 << BITS, np.int32)
+    parts = [slice(i, min(i + 256, len(y))) for i in range(0, len(y), 256)]
+    for part in parts:
+        lo, hi = begin[first[part.start]], begin[first[part.stop]]
+        owner = np.repeat(doc[first[part.start] : first[part.stop]], np.diff(begin[first[part.start] : first[part.stop] + 1]))
+        n_docs += np.bincount(np.unique((owner.astype(np.int64) << BITS) + feature[lo:hi]) & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
+    names = np.flatnonzero(n_docs >= LEAST_DOCS)
+    to = np.full(1 << BITS, -1, np.int32)
     to[names] = np.arange(len(names))
-    x = to[feature]
-    sentence = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-    use = x < len(names)
-    x, sentence = x[use], sentence[use]
-    n_s, doc = len(begin) - 1, np.repeat(np.arange(len(y)), np.diff(first))
+    xs, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for part in parts:
+        lo, hi = first[part.start], first[part.stop]
+        own = to[feature[begin[lo] : begin[hi]]]
+        pair = np.unique((np.repeat(np.arange(lo, hi), np.diff(begin[lo : hi + 1])) << BITS)[own >= 0] + own[own >= 0])
+        xs.append((pair & ((1 << BITS) - 1)).astype(np.int32))
+        owners.append((pair >> BITS).astype(np.int32))
+    x, sentence = np.concatenate(xs), np.concatenate(owners)
+    n_s = len(begin) - 1
     w, b = np.zeros(len(names)), -5.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, epochs + 1):
-        z = b + np.bincount(sentence, w[x], n_s)
+    for t in range(1, epochs + RELAXED + 1):
+        penalty = PENALTY if t <= epochs else PENALTY / 40  # then what was selected is fitted almost freely
+        z = np.clip(b + np.bincount(sentence, w[x], n_s), -50, 50)
         p = 1 / (1 + np.exp(-z))
         log_q = -np.bincount(doc, np.logaddexp(0, z), len(y))
         odds = np.exp(log_q) / np.maximum(-np.expm1(log_q), 1e-12)
         g = p * np.where(y == 0, 1.0, -odds)[doc] / max(len(y), 1)
-        grad = np.append(np.bincount(x, g[sentence], len(w)) + PENALTY * w, g.sum())
+        raw = np.bincount(x, g[sentence], len(w))
+        # the penalty is on absolute weights: one at zero stays there unless its gradient is larger
+        raw = np.where(w != 0, raw + penalty * np.sign(w), np.sign(raw) * np.maximum(np.abs(raw) - penalty, 0))
+        grad = np.append(raw, g.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
-        step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        new = w - step[:-1]
+        w, b = np.where(w * new < 0, 0.0, new), b - step[-1]
+        if t % 10 == 0:  # features far from mattering leave
+            live = (w != 0) | (np.abs(raw) > 0) & (t < epochs)
+            to = np.cumsum(live) - 1
+            use = live[x]
+            x, sentence, names, w = to[x[use]], sentence[use], names[live], w[live]
+            m, v = (np.append(q[:-1][live], q[-1]) for q in (m, v))
     weights = np.zeros(1 << BITS, np.float32)
     weights[names] = w
     return Model(weights, float(b))
