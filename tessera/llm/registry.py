@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, hmm, html_extract, quality, secrets, simhash, toxicity, warc
+from tessera.llm import bpe, decontaminate, hmm, html_extract, line_dedup, quality, secrets, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
 
@@ -48,6 +52,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_quality, op4_bpe, op5_hmm, op6_html, op7_warc, op8_secrets, op9_toxicity, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_lines, op2_simhash, op3_quality, op4_bpe, op5_hmm, op6_html, op7_warc, op8_secrets, op9_toxicity, op10_decontaminate)}
 
 ORACLES: dict[str, str] = {}
