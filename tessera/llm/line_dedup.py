@@ -1,7 +1,8 @@
 """Fuzzy line deduplication over a corpus.
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space collapsed) and equal ones become one node. A node's SimHash
-over its words is cut into blocks; fingerprints that differ in at most `bits` bits agree on some choice of blocks (by the
+is over the set of its words of letters and digits, so that separators and repeated words don't make unlike lines alike.
+Lines without such words only meet their equals. The fingerprint is cut into blocks; fingerprints that differ in at most `bits` bits agree on some choice of blocks (by the
 pigeonhole principle), so nodes are joined on every such choice. Candidates within the Hamming distance whose edit
 similarity is `similarity` or more are linked, and of each connected group the first occurrence stays.
 
@@ -30,6 +31,8 @@ FILTER_WORDS = 1 << 20
 
 _FOLD = kernels.LOWER.copy()
 _FOLD[ord("0") : ord("9") + 1] = ord("0")
+_FEATURE = np.zeros(256, bool)
+_FEATURE[ord("0") : ord("9") + 1] = _FEATURE[ord("a") : ord("z") + 1] = _FEATURE[128:] = True
 _POWERS = kernels.mix(np.arange(1, 1 << 16, dtype=np.uint64)) | np.uint64(1)
 _FOLD_TEXT = str.maketrans({chr(c): chr(_FOLD[c]) for c in range(128)})
 
@@ -60,7 +63,18 @@ def nodes_of(data: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndar
     size = np.diff(begin)
     place = np.arange(len(h)) - np.repeat(begin[:-1], size)
     node = kernels.mix(np.add.reduceat(h * _POWERS[place % len(_POWERS)] + (place // len(_POWERS)).astype(np.uint64), begin[:-1]) + size.astype(np.uint64))
-    fp = kernels.majority(h, begin)
+    fp = node.copy()
+    ws, we, _ = kernels.runs(_FEATURE[folded], off)
+    owner = np.searchsorted(starts[begin[:-1]], ws, "right") - 1
+    hw = kernels.span_hash(folded, ws, we, 1)
+    order = np.lexsort((hw, owner))
+    owner, hw = owner[order], hw[order]
+    once = np.ones(len(hw), bool)
+    once[1:] = (np.diff(owner) != 0) | (hw[1:] != hw[:-1])
+    owner, hw = owner[once], hw[once]
+    edges = np.searchsorted(owner, np.arange(len(begin)))
+    some = np.diff(edges) > 0
+    fp[some] = kernels.majority(hw, edges)[some]
     text = np.searchsorted(first, begin[:-1], "right") - 1
     number = line[begin[:-1]] - breaks[off[text]]
     keep = size >= min_words
