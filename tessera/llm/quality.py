@@ -24,7 +24,7 @@ MIN_WORDS, MAX_REPEATED = 50, 0.5
 #: The share of a group's rows that the estimate rests on, the steps, and the fewest rows that get an estimate of their own.
 H, STEPS, MIN_GROUP = 0.75, 5, 60
 #: Squared distances over this (in units of a chi-square variable of DIMS degrees) are outliers.
-CUTOFF = 60.0
+CUTOFF = 150.0
 STATS = ["word_length", "symbols", "capitals", "marks", "repeated", "dup_lines"]
 DIMS = len(STATS)
 #: What a statistic varies by at least (standard deviation), so that one that is constant in a group doesn't reject small deviations.
