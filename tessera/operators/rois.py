@@ -36,7 +36,7 @@ def multipolygon_box(polygons: Column | str) -> Column:
     p = F.col(polygons) if isinstance(polygons, str) else polygons
     boxes = F.filter(F.transform(p, polygon_box), lambda b: b.isNotNull())
     pick = {"min_x": F.array_min, "max_x": F.array_max, "min_y": F.array_min, "max_y": F.array_max}
-    box = F.struct(*(f(F.transform(boxes, lambda b, n=n: b[n])).alias(n) for n, f in pick.items()))
+    box = F.struct(*(f(boxes[n]).alias(n) for n, f in pick.items()))
     return F.when(F.size(boxes) > 0, box)
 
 
