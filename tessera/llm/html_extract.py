@@ -3,7 +3,7 @@
 The standard library's parser is fed piece by piece; its events become lines (the text between block boundaries, with
 the tags met there). The ratios of text to tags, smoothed by a Gaussian over neighbouring lines, fall into two clusters
 whose threshold separates content from the rest. Content lines elect the region: the sectioning element (article, main
-or body) that holds most of their text. All lines of the region come out, but for those inside boilerplate elements.
+or body) that holds most of their text, and any other with half as much. All lines of the region come out, but for those inside boilerplate elements.
 """
 
 from __future__ import annotations
@@ -167,7 +167,10 @@ def main_text(html: str) -> str:
     sections = {r: w for r, w in weight.items() if r}
     if sections:
         best = max(sections, key=lambda r: (sections[r], -r))
-        chosen = {r for r in sections if 2 * sections[r] >= sections[best]}
+        whole: dict[int, int] = {}
+        for text, _, region, kept in lines:
+            whole[region] = whole.get(region, 0) + kept * len(text)
+        chosen = {r for r in whole if r and 2 * whole[r] >= whole[best]}
     else:
         inside = {r for _, _, r, kept in lines if kept and r}
         chosen = inside or {0}
