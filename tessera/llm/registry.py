@@ -54,4 +54,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_lines, op2_simhash, op3_quality, op4_bpe, op5_hmm, op6_html, op7_warc, op8_secrets, op9_toxicity, op10_decontaminate)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc": """
+        with p as (select page_id, coalesce(html, '') as body, strlen(coalesce(html, '')) as size from pages),
+        k as (select *, case when size >= 1000 then max(page_id) over (partition by body) else page_id end as kept from p)
+        select page_id, size as payload_bytes, sha1(body) as payload_digest, case when page_id = kept then 'response' else 'revisit' end as record_type,
+            case when page_id <> kept then kept end as refers_to, true as intact from k""",
+}
