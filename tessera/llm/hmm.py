@@ -4,7 +4,7 @@ Corpus counts of every word are exact: summed by partition, then by word, in a t
 frequent words, one each, and BUCKETS classes that share the other words by hash; a word of a class has a
 probability in it from its count. Baum-Welch runs over all training texts: each task sums its expected counts, and the
 sums of a step are as many numbers as the model has. Only the starting point comes from a bounded sample. A text's
-likelihood is the exact, scaled forward recursion over all its tokens. The counts of the FAST most frequent words go
+likelihood is the exact, scaled forward recursion over all its tokens. The counts of the most frequent words, FAST at most, go
 along with the model (a fixed size); those of all others are looked up by a join on the word.
 """
 
@@ -102,8 +102,16 @@ SYMBOLS = END + 1
 def lexicon(counts: DataFrame, texts: int) -> Lexicon:
     bucket = F.expr(f"pmod(pmod(word, {BUCKETS}) + {BUCKETS}, {BUCKETS})")  # 2**64 is a multiple of BUCKETS, so signs don't matter
     sums = counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    top = counts.orderBy(F.desc("n"), "word").limit(FAST).toArrow()
-    words, n = (top.column(c).to_numpy() for c in ("word", "n"))
+    # counts fall into a few thousand classes in their order; the fast words are whole classes from the top, so no task gathers candidates
+    rank_of = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log2("n") * 64))
+    cut, room = -1, FAST
+    for r in sorted(counts.groupBy(rank_of.alias("c")).agg(F.count("*").alias("v")).collect(), key=lambda r: -r.c):
+        room -= r.v
+        if room < 0:
+            cut = r.c
+            break
+    top = counts.where(rank_of > cut).toArrow()
+    words, n = (np.asarray(top.column(c).to_numpy()) for c in ("word", "n"))
     n_b, v_b = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for r in sums:
         n_b[r.b], v_b[r.b] = r.n, r.v
