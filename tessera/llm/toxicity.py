@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tessera.llm import kernels
 from tessera.llm.shared import row_key
 
-#: The model is fitted on this many labelled documents at most, those whose hashed ids come first.
-SAMPLE = 8_000
+#: The model is fitted on this many labelled documents at most, those whose hashed ids come first, and on this many features.
+SAMPLE, FEATURES = 20_000, 4_000
 BITS, LEAST_DOCS, EPOCHS, RELAXED, RATE, PENALTY, FOLDS = 22, 6, 60, 60, 0.3, 8e-4, 5
 #: A word counts as itself and by its beginnings of so many bytes, so that inflected forms share what is learnt.
 PREFIXES = (4, 5, 6)
@@ -61,31 +61,13 @@ class Model:
         return self.bias + np.bincount(once >> BITS, self.weights[once & ((1 << BITS) - 1)], len(begin) - 1)
 
 
-def fit(feature: np.ndarray, begin: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """Full-batch Adam on the noisy-or likelihood. begin, first as from sentences(); y: a label for each document."""
-    doc = np.repeat(np.arange(len(y)), np.diff(first))
-    n_docs = np.zeros(1 << BITS, np.int32)
-    parts = [slice(i, min(i + 256, len(y))) for i in range(0, len(y), 256)]
-    for part in parts:
-        lo, hi = begin[first[part.start]], begin[first[part.stop]]
-        owner = np.repeat(doc[first[part.start] : first[part.stop]], np.diff(begin[first[part.start] : first[part.stop] + 1]))
-        n_docs += np.bincount(np.unique((owner.astype(np.int64) << BITS) + feature[lo:hi]) & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
-    names = np.flatnonzero(n_docs >= LEAST_DOCS)
-    to = np.full(1 << BITS, -1, np.int32)
-    to[names] = np.arange(len(names))
-    xs, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-    for part in parts:
-        lo, hi = first[part.start], first[part.stop]
-        own = to[feature[begin[lo] : begin[hi]]]
-        pair = np.unique((np.repeat(np.arange(lo, hi), np.diff(begin[lo : hi + 1])) << BITS)[own >= 0] + own[own >= 0])
-        xs.append((pair & ((1 << BITS) - 1)).astype(np.int32))
-        owners.append((pair >> BITS).astype(np.int32))
-    x, sentence = np.concatenate(xs), np.concatenate(owners)
-    n_s = len(begin) - 1
-    w, b = np.zeros(len(names)), -5.0
+def fit(x: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray, n_features: int) -> tuple[np.ndarray, float]:
+    """(weights, bias): full-batch Adam on the noisy-or likelihood. x: features present in sentences; doc: each sentence's document; y: labels."""
+    n_s, names = len(doc), np.arange(n_features)
+    w, b = np.zeros(n_features), -5.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, epochs + RELAXED + 1):
-        penalty = PENALTY if t <= epochs else PENALTY / 40  # then what was selected is fitted almost freely
+    for t in range(1, EPOCHS + RELAXED + 1):
+        penalty = PENALTY if t <= EPOCHS else PENALTY / 40  # then what was selected is fitted almost freely
         z = np.clip(b + np.bincount(sentence, w[x], n_s), -50, 50)
         p = 1 / (1 + np.exp(-z))
         log_q = -np.bincount(doc, np.logaddexp(0, z), len(y))
@@ -101,14 +83,37 @@ def fit(feature: np.ndarray, begin: np.ndarray, first: np.ndarray, y: np.ndarray
         new = w - step[:-1]
         w, b = np.where(w * new < 0, 0.0, new), b - step[-1]
         if t % 10 == 0:  # features far from mattering leave
-            live = (w != 0) | (np.abs(raw) > 0) & (t < epochs)
+            live = (w != 0) | (np.abs(raw) > 0) & (t < EPOCHS)
             to = np.cumsum(live) - 1
             use = live[x]
             x, sentence, names, w = to[x[use]], sentence[use], names[live], w[live]
             m, v = (np.append(q[:-1][live], q[-1]) for q in (m, v))
-    weights = np.zeros(1 << BITS, np.float32)
+    weights = np.zeros(n_features)
     weights[names] = w
-    return Model(weights, float(b))
+    return weights, float(b)
+
+
+def screened(rows: DataFrame, limit: int = FEATURES) -> np.ndarray:
+    """The features whose share of toxic documents is furthest from chance, at most `limit`, from all labelled rows (y_, text); counts are summed by batch, then by feature."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch.column(0).to_numpy()
+            for lo, hi, data, off in kernels.text_blocks(batch.column(1), 1 << 20):
+                feature, begin, _, _, first = sentences(data, off)
+                owner = np.repeat(np.arange(hi - lo), np.diff(begin[first]))
+                once = np.unique((owner << BITS) + feature)
+                name, at = np.unique(once & ((1 << BITS) - 1), return_inverse=True)
+                toxic = np.bincount(at, y[lo + (once >> BITS)], len(name))
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.bincount(at, minlength=len(name))), pa.array(toxic.astype(np.int64))], names=["feature", "n", "n1"])
+
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y_"), F.lit(0)).alias("n1")).first()
+    n, n1 = total.n, total.n1
+    if not 0 < n1 < n:
+        return np.zeros(0, np.int64)
+    counts = rows.mapInArrow(counted, "feature long, n long, n1 long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).where(F.col("n") >= LEAST_DOCS)
+    p1, p0, p = F.col("n1") / n1, (F.col("n") - F.col("n1")) / (n - n1), F.col("n") / n
+    z = F.abs(p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / (n - n1)))
+    return np.sort(counts.select("feature", z.alias("z")).where("z >= 3").orderBy(F.desc("z"), "feature").limit(limit).toArrow().column("feature").to_numpy())
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -117,24 +122,36 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = known.groupBy("id_").agg(F.max("y_").alias("y_")).orderBy(F.xxhash64("id_"), "id_").limit(sample)
     rows = docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("text")).join(F.broadcast(known), "id_").select("y_", "text")
 
+    names = screened(rows)
+    if not len(names):
+        return Model(np.zeros(1 << BITS, np.float32), -10.0)
+    shared = docs.sparkSession.sparkContext.broadcast(names)
+
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = np.full(1 << BITS, -1, np.int32)
+        to[shared.value] = np.arange(len(shared.value))
         for batch in batches:
             for lo, hi, data, off in kernels.text_blocks(batch.column(1)):
                 feature, begin, _, _, first = sentences(data, off)
-                size = np.diff(begin)
-                words = begin[first]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(words, pa.int32()), pa.array(feature, pa.int32())), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(size, pa.int32()))],
-                    names=["y_", "feature", "size"],
-                )
-
-    got = rows.mapInArrow(featured, "y_ int, feature array<int>, size array<int>").toArrow().combine_chunks()
-    parts = {c: got.column(c).combine_chunks() if got.num_rows else None for c in got.column_names}
-    if not got.num_rows:
-        return Model(np.zeros(1 << BITS, np.float32), -10.0)
-    feature, size = (parts[c].flatten().to_numpy().astype(np.int64) for c in ("feature", "size"))
-    first = np.concatenate([[0], np.cumsum(parts["size"].value_lengths().to_numpy())])
-    return fit(feature, np.concatenate([[0], np.cumsum(size)]), first, (parts["y_"].to_numpy() > 0).astype(float))
+                own = to[feature]
+                told = np.flatnonzero(own >= 0)
+                once = np.unique((np.searchsorted(begin, told, "right") - 1 << BITS) + own[told])
+                sentence = once >> BITS
+                edges = np.searchsorted(sentence, first)
+                local = sentence - np.repeat(first[:-1], np.diff(edges))
+                lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(v, pa.int32())) for v in (local, once & ((1 << BITS) - 1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first), pa.int32()), *lists], names=["y_", "n", "sentence", "feature"])
+
+    got = rows.mapInArrow(featured, "y_ int, n int, sentence array<int>, feature array<int>").toArrow().combine_chunks()
+    y, n = ((got.column(c).to_numpy()).astype(np.int64) for c in ("y_", "n"))
+    lists = got.column("feature").combine_chunks()
+    x = lists.flatten().to_numpy()
+    sentence = got.column("sentence").combine_chunks().flatten().to_numpy() + np.repeat((np.cumsum(n) - n).astype(np.int32), lists.value_lengths().to_numpy())
+    del got, lists
+    w, b = fit(x, sentence, np.repeat(np.arange(len(y)), n), (y > 0).astype(float), len(names))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[names] = w
+    return Model(weights, b)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
