@@ -112,7 +112,7 @@ def brute_base(t):
 
 def der(tag, body):
     n = len(body)
-    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82]) + n.to_bytes(2, "big")) + body
 
 
 def test_secrets(spark):
