@@ -25,8 +25,8 @@ from tessera.llm import kernels
 from tessera.llm.components import components
 from tessera.llm.shared import row_key, written
 
-MIN_WORDS, BITS, BLOCKS, SIMILARITY = 5, 3, 5, 0.8
-#: Words of the filter that tells a pass over the texts which lines are wanted: fixed, 8 MB.
+MIN_WORDS, BITS, BLOCKS, SIMILARITY = 5, 3, 6, 0.8
+#: Words of the filters that tell a pass which lines or buckets are wanted: fixed, 8 MB. A full filter lets too much through, never too little.
 FILTER_WORDS = 1 << 20
 
 _FOLD = kernels.LOWER.copy()
@@ -46,20 +46,27 @@ def tag_of(key: np.ndarray, line: np.ndarray) -> np.ndarray:
     return kernels.mix(key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)).view(np.int64)
 
 
-def nodes_of(data: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each line with enough words: its text's number in the block, its number in the text, its node and fingerprint."""
-    folded = _FOLD[data]
+def lines_of(folded: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words' starts, ends and first of each text; for each line with words: its first word (and the end), text and number."""
     starts, ends, first = kernels.runs(kernels.WORD[folded], off)
-    if not len(starts):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    h = kernels.span_hash(folded, starts, ends)
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     line = breaks[starts]
     new = np.ones(len(starts), bool)
     new[1:] = np.diff(line) > 0
     new[first[:-1][np.diff(first) > 0]] = True
     begin = np.append(np.flatnonzero(new), len(starts))
+    text = np.searchsorted(first, begin[:-1], "right") - 1
+    return starts, ends, begin, text, line[begin[:-1]] - breaks[off[text]]
+
+
+def nodes_of(data: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each line with enough words: its text's number in the block, its number in the text, its node and fingerprint."""
+    folded = _FOLD[data]
+    starts, ends, begin, text, number = lines_of(folded, data, off)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    h = kernels.span_hash(folded, starts, ends)
     size = np.diff(begin)
     place = np.arange(len(h)) - np.repeat(begin[:-1], size)
     node = kernels.mix(np.add.reduceat(h * _POWERS[place % len(_POWERS)] + (place // len(_POWERS)).astype(np.uint64), begin[:-1]) + size.astype(np.uint64))
@@ -75,8 +82,6 @@ def nodes_of(data: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndar
     edges = np.searchsorted(owner, np.arange(len(begin)))
     some = np.diff(edges) > 0
     fp[some] = kernels.majority(hw, edges)[some]
-    text = np.searchsorted(first, begin[:-1], "right") - 1
-    number = line[begin[:-1]] - breaks[off[text]]
     keep = size >= min_words
     return text[keep], number[keep], node.view(np.int64)[keep], fp.view(np.int64)[keep]
 
@@ -96,18 +101,53 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return docs.select("key", "doc_id", "text").mapInArrow(run, schema)
 
 
-def bucket_keys(bits: int = BITS, blocks: int = BLOCKS) -> str:
-    """SQL for the bucket keys of fp: one for each choice of blocks that two fingerprints within `bits` bits must share."""
+def _choices(bits: int, blocks: int) -> list[list[tuple[int, int]]]:
+    """For each choice of blocks that two fingerprints within `bits` bits must share: (shift, width) of its blocks."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    block = [f"(shiftrightunsigned(fp, {a}) & {(1 << (b - a)) - 1}L)" for a, b in zip(edges, edges[1:], strict=False)]
-    width = max(b - a for a, b in zip(edges, edges[1:], strict=False))
+    spans = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [list(c) for c in combinations(spans, blocks - bits)]
+
+
+def bucket_keys(bits: int = BITS, blocks: int = BLOCKS) -> str:
+    """SQL for the bucket keys of fp: the chosen blocks side by side, after the choice's number."""
     keys = []
-    for t, chosen in enumerate(combinations(range(blocks), blocks - bits)):
-        parts = [f"shiftleft({t}L, {width * len(chosen)})"] + [f"shiftleft({block[i]}, {width * k})" for k, i in enumerate(chosen)]
-        keys.append(" | ".join(parts))
+    for t, chosen in enumerate(_choices(bits, blocks)):
+        parts, at = [], 0
+        for shift, width in chosen:
+            parts.append(f"shiftleft(shiftrightunsigned(fp, {shift}) & {(1 << width) - 1}L, {at})")
+            at += width
+        keys.append(" | ".join([f"{t << at}L", *parts]))
     return f"array({', '.join(keys)})"
 
 
+def bucket_arrays(fp: np.ndarray, bits: int, blocks: int) -> np.ndarray:
+    """The same keys as an array, a row for each fingerprint."""
+    word, keys = fp.view(np.uint64), []
+    for t, chosen in enumerate(_choices(bits, blocks)):
+        key, at = np.zeros(len(fp), np.uint64), 0
+        for shift, width in chosen:
+            key |= ((word >> np.uint64(shift)) & np.uint64((1 << width) - 1)) << np.uint64(at)
+            at += width
+        keys.append(key | np.uint64(t << at))
+    return np.stack(keys, 1).view(np.int64)
+
+
+def _filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A filter of fixed size with a bit for each key, combined before the shuffle; at most FILTER_WORDS rows reach the driver."""
+    h = F.col(column)
+    mixed = keys.select((h.bitwiseXOR(F.shiftrightunsigned(h, 29)).bitwiseXOR(F.shiftrightunsigned(h, 43))).alias("h"))
+    rows = mixed.selectExpr(f"h & {FILTER_WORDS - 1}L AS w", "shiftleft(1L, cast(shiftrightunsigned(h, 20) & 63 AS int)) AS m").groupBy("w").agg(F.expr("bit_or(m)").alias("m")).toArrow()
+    table = np.zeros(FILTER_WORDS, np.uint64)
+    table[rows.column("w").to_numpy()] = rows.column("m").to_numpy().view(np.uint64)
+    return table
+
+
+def _passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    h = keys.view(np.uint64)
+    h = h ^ (h >> np.uint64(29)) ^ (h >> np.uint64(43))
+    return (table[h & np.uint64(FILTER_WORDS - 1)] >> ((h >> np.uint64(20)) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def edits_within(a: str, b: str, limit: int) -> bool:
     """Whether the edit distance is at most limit: common ends cut off, then Myers's bit-parallel columns on whole integers."""
     if abs(len(a) - len(b)) > limit:
@@ -163,20 +203,18 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     """node, text (normalised) for wanted (tag, node), from one pass over the documents; a filter of fixed size spares most other lines the shuffle."""
-    bits = wanted.selectExpr(f"tag & {FILTER_WORDS - 1}L AS w", "shiftleft(1L, cast(shiftrightunsigned(tag, 32) & 63 AS int)) AS m").groupBy("w").agg(F.expr("bit_or(m)").alias("m")).toArrow()
-    table = np.zeros(FILTER_WORDS, np.uint64)
-    table[bits.column("w").to_numpy()] = bits.column("m").to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted, "tag"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = shared.value
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for lo, _, data, off in kernels.text_blocks(batch.column(1)):
-                text, line, _, _ = nodes_of(data, off, min_words)
+                _, _, begin, text, line = lines_of(_FOLD[data], data, off)
+                long = np.diff(begin) >= min_words
+                text, line = text[long], line[long]
                 tag = tag_of(keys[text + lo], line)
-                word = tag.view(np.uint64)
-                hit = np.flatnonzero(mask[word & np.uint64(FILTER_WORDS - 1)] >> ((word >> np.uint64(32)) & np.uint64(63)) & np.uint64(1))
+                hit = np.flatnonzero(_passes(mask, tag))
                 out, now, lines = [], -1, []
                 for i in hit:
                     if text[i] != now:
@@ -192,17 +230,29 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
 def groups(docs: DataFrame, nodes: DataFrame, bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """(node, root) of all nodes that are linked to another. nodes: node, fp, tag (of one occurrence); docs: key, text."""
     table = nodes.select("node", "fp", F.explode(F.expr(bucket_keys(bits, blocks))).alias("bucket"))
-    shared = table.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low != high")
-    members = written(table.join(shared, "bucket"), "buckets")
+    shared = written(table.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high"), "shared-buckets")
+    mask = nodes.sparkSession.sparkContext.broadcast(_filter(shared, "bucket"))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, fp = (batch.column(i).to_numpy() for i in range(2))
+            keys = bucket_arrays(fp, bits, blocks)
+            row, at = np.nonzero(_passes(mask.value, keys.ravel()).reshape(keys.shape))
+            yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(fp[row]), pa.array(keys[row, at])], names=["node", "fp", "bucket"])
+
+    found = nodes.select("node", "fp").mapInArrow(entries, "node long, fp long, bucket long")
+    members = written(found.join(shared, "bucket"), "buckets")
+    large = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 2").select("bucket")
     near = f"bit_count(fp ^ fp_) <= {bits}"
     ends = members.where("node = low OR node = high").select("bucket", F.col("node").alias("node_"), F.col("fp").alias("fp_"))
     pair = [F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")]
     pairs = written(members.join(ends, "bucket").where("node != node_").where(near).select(*pair).distinct(), "pairs")
-    asked = members.where("n > 2").select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    crowd = written(members.join(large, "bucket"), "large-buckets")
+    asked = crowd.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = written(_texts(docs, written(nodes.select("node", "tag").join(asked, "node"), "wanted"), min_words), "lines")
     links = written(_similar(pairs, texts, similarity), "links")
     roots = components(links)
-    large = members.where("n > 2").join(roots, "node", "left").select("bucket", "node", "fp", "low", F.coalesce("root", "node").alias("root"))
+    large = crowd.join(roots, "node", "left").select("bucket", "node", "fp", "low", F.coalesce("root", "node").alias("root"))
     lows = roots.select(F.col("node").alias("low"), F.col("root").alias("low_root"))
     apart = large.join(lows, "low", "left").where("root != coalesce(low_root, low)").select("bucket", F.col("node").alias("node_"), F.col("fp").alias("fp_"), F.col("root").alias("root_"))
     more = large.join(apart, "bucket").where("root != root_").where(near).select(*pair).distinct().join(pairs, ["a", "b"], "left_anti")
@@ -210,7 +260,7 @@ def groups(docs: DataFrame, nodes: DataFrame, bits: int = BITS, blocks: int = BL
 
 
 def dropped_lines(docs: DataFrame, **how) -> DataFrame:
-    """key, lines: for each row that loses some, the numbers (from 0) of the lines that don't stay. docs: key, doc_id, text."""
+    """key, flags, n: for each row that loses lines, a byte for each line up to the last of them (1: it goes), and their number. docs: key, doc_id, text."""
     min_words = how.get("min_words", MIN_WORDS)
     lines = written(occurrences(docs, min_words), "occurrences")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line", "tag")
@@ -219,7 +269,19 @@ def dropped_lines(docs: DataFrame, **how) -> DataFrame:
     first = named.where("root IS NOT NULL").groupBy("grp").agg(F.min("o").alias("first"))
     stays = named.where("root IS NOT NULL OR n > 1").join(first, "grp", "left").select("node", F.coalesce("first.tag", "tag").alias("stays"))
     gone = lines.select("key", "line", "tag", "node").join(stays, "node").where("tag != stays")
-    return gone.groupBy("key").agg(F.collect_set("line").alias("lines"))
+    gone = gone.groupBy("key").agg(F.collect_set("line").alias("lines"))
+
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = []
+            for lines in batch.column(1).to_pylist():
+                flag = bytearray(max(lines) + 1)
+                for k in lines:
+                    flag[k] = 1
+                flags.append(bytes(flag))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.binary()), pa.array([sum(f) for f in flags], pa.int64())], names=["key", "flags", "n"])
+
+    return gone.mapInArrow(flagged, "key long, flags binary, n long")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -232,26 +294,10 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     keyed = docs.select(*rest, row_key(F.col(doc_id), F.col(text)).alias("key_"))
     src = keyed.select(F.col("key_").alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    lost = dropped_lines(src, **how).withColumnsRenamed({"key": "key_", "lines": "lines_"})
-    joined = keyed.join(lost, "key_", "left").select(*rest, "lines_")
-    zero = F.lit(0).cast("long")
-    schema = joined.select(*rest, zero.alias("n_lines"), zero.alias("n_dropped")).schema
-    at = rest.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, lines, dropped = batch.column(at), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            touched = np.flatnonzero(batch.column(len(rest)).is_valid().to_numpy(zero_copy_only=False))
-            for lo, hi, data, off in kernels.text_blocks(column):
-                breaks = np.concatenate([[0], np.cumsum(data == 10)])
-                lines[lo:hi] = np.diff(breaks[off]) + column.slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False)
-            if len(touched):
-                texts = column.to_pylist()
-                for i in touched:
-                    gone = set(batch.column(len(rest))[int(i)].as_py())
-                    dropped[i] = len(gone)
-                    texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
-                column = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([column if i == at else batch.column(i) for i in range(len(rest))] + [pa.array(lines), pa.array(dropped)], names=schema.names)
-
-    return joined.mapInArrow(run, schema)
+    lost = dropped_lines(src, **how).withColumnsRenamed({"key": "key_", "flags": "flags_", "n": "n_"})
+    joined = keyed.join(lost, "key_", "left")
+    lines = F.split(F.col(text), "\n", -1)
+    left = F.array_join(F.filter(lines, lambda _, i: F.coalesce(F.substring("flags_", i + 1, F.lit(1)) != F.lit(b"\x01"), F.lit(True))), "\n")
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    kept = [F.when(F.col("flags_").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in rest]
+    return joined.select(*kept, n_lines.alias("n_lines"), F.coalesce("n_", F.lit(0)).cast("long").alias("n_dropped"))
