@@ -71,6 +71,19 @@ def links(fps: DataFrame) -> DataFrame:
     return entries.join(met, "entry").where(f"fp != dst AND bit_count(fp ^ dst) <= {RADIUS}").select(F.col("fp").alias("src"), "dst").distinct()
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, width: int = 3) -> DataFrame:
+    """near_duplicates' columns and root, the smallest fingerprint of the row's component: it names the component whatever its ids."""
+    src = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
+    fps = written(fingerprints(src, "text", width), "fingerprints")
+    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    roots = components(links(least)).withColumnRenamed("node", "fp")
+    grouped = least.join(roots, "fp")
+    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = grouped.join(named, "root").select("fp", "root", "component_id")
+    by_fp = least.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "key", "root")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links), key (the row's).
 
@@ -78,19 +91,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fingerprint and never become pairs. Rows that repeat come back as often. A null doc_id is never a component_id
     unless the component has no other. Other columns, whatever their names, are ignored. No rows: no rows.
     """
-    src = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
-    fps = written(fingerprints(src, "text", width), "fingerprints")
-    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(links(least)).withColumnRenamed("node", "fp")
-    grouped = least.join(roots, "fp")
-    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = least.join(grouped.join(named, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "key")
+    return _grouped(docs, doc_id, text, width).drop("root")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents of which each component keeps one, that with its smallest doc_id; of rows that share a doc_id, one stays."""
-    found = near_duplicates(docs, doc_id, text).where("doc_id <=> component_id").groupBy("doc_id").agg(F.min("key").alias("key_"))
+    """The documents of which each component keeps one, that with its smallest doc_id, null ids last. Ids may be null or shared by unlike texts."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    found = _grouped(docs, doc_id, text).groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key_"))
     named = docs.withColumn("key_", row_key(F.col(doc_id), F.col(text)))
-    kept = named.join(found.select("key_"), "key_", "left_semi")
+    kept = named.join(found, "key_", "left_semi")
     return kept.dropDuplicates(["key_"]).select(*docs.columns)

@@ -70,6 +70,13 @@ def test_simhash_keeps_one_of_each(docs, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.one_of_each(nothing).count() == 0
 
 
+def test_simhash_keeps_unlike_texts_of_null_and_shared_ids(spark):
+    unlike = [" ".join(f"w{k}x{i}" for k in range(20)) for i in range(5)]
+    rows = [(None, unlike[0]), (None, unlike[1]), (None, unlike[1]), (7, unlike[2]), (7, unlike[3]), (8, unlike[3]), (None, unlike[4]), (9, unlike[4])]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept) == sorted([(0, unlike[0]), (0, unlike[1]), (7, unlike[2]), (7, unlike[3]), (9, unlike[4])])
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(40)]
     star = [(1000, 1000 + i) for i in range(1, 50)]
