@@ -2,8 +2,8 @@
 
 Corpus counts of every word are exact: summed by partition, then by word, in a table. The model's symbols are the OWN most
 frequent words, one each, and BUCKETS classes that share the other words by hash; a word of a class has a
-probability in it from its count. Baum-Welch runs over all training texts: each task sums its expected counts, and the
-sums of a step are as many numbers as the model has. Only the starting point comes from a bounded sample. A text's
+probability in it from its count. Baum-Welch starts from the counts of all words and runs over all training texts, each
+whole, until their likelihood settles: each task sums its expected counts, and the sums of a step are as many numbers as the model has. A text's
 likelihood is the exact, scaled forward recursion over all its tokens. The counts of the most frequent words, FAST at most, go
 along with the model (a fixed size); those of all others are looked up by a join on the word.
 """
@@ -23,8 +23,10 @@ from tessera.llm import kernels
 from tessera.llm.shared import written
 
 STATES, OWN, BUCKETS, FAST = 6, 4096, 512, 1 << 16
-WINDOW, BATCH = 64, 2048
-STEPS, START_STEPS, START_DOCS = 2, 12, 1500
+#: Baum-Welch ends after CALM steps in a row that raise the training texts' log-likelihood by less than this share of it.
+SETTLED, CALM = 1e-4, 2
+#: Tokens that are worked on at once; a longer text is worked on alone.
+POOL = 1 << 20
 FOLDS, OUT = 7, 2
 HELD_ENTRIES = 1 << 20
 
@@ -79,6 +81,7 @@ class Lexicon:
     total: int  # N
     distinct: int  # V
     texts: int
+    seen: np.ndarray  # how often each symbol occurs, the end included
 
     def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbol, count) of each word; count -1: not among the fast ones."""
@@ -125,7 +128,9 @@ def lexicon(counts: DataFrame, texts: int) -> Lexicon:
     order = np.argsort(words)
     table = np.zeros(1 << 22, bool)
     table[words.view(np.uint64) >> np.uint64(42)] = True
-    return Lexicon(words[order], n[order], symbols[order], table, np.log10(n_b + v_b + 1.0), total, distinct, texts)
+    seen = np.zeros(SYMBOLS)
+    seen[: len(rank)], seen[OWN:END], seen[END] = n[rank], n_b, texts
+    return Lexicon(words[order], n[order], symbols[order], table, np.log10(n_b + v_b + 1.0), total, distinct, texts, seen)
 
 
 @dataclass
@@ -152,46 +157,50 @@ def sequences(lex: Lexicon, words: np.ndarray, first: np.ndarray) -> tuple[np.nd
     return flat, begin, symbol, count
 
 
-def expected(model: Model, flat: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch's expected counts (start, move, emit). Texts longer than WINDOW count as several sequences."""
+def summed(model: Model, flat: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch's expected counts (start, move, emit) of whole texts, and their log-likelihood. Cells are laid out by time, then text, longest first."""
     k = len(model.start)
     size = np.diff(begin)
-    parts = -(-size // WINDOW)
-    where = np.repeat(begin[:-1], parts) + WINDOW * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
-    length = np.minimum(WINDOW, np.repeat(begin[1:], parts) - where)
-    order = np.argsort(-length, kind="stable")
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS + 1, k))
+    order = np.argsort(-size, kind="stable")
+    at, n = begin[:-1][order], size[order]
+    if not len(n) or not n[0]:
+        return start, move, emit, 0.0
     a, e = model.move.astype(np.float32), model.emit.astype(np.float32)
-    for i in range(0, len(order), BATCH):
-        at, n = where[order[i : i + BATCH]], length[order[i : i + BATCH]]
-        steps = int(n[0])
-        cells = at[:, None] + np.arange(steps)
-        inside = np.arange(steps) < n[:, None]
-        symbols = np.where(inside, flat[np.minimum(cells, len(flat) - 1)], SYMBOLS).T
-        seen = e[symbols]  # (steps, D, K)
-        alpha, scale = np.empty_like(seen), np.empty(seen.shape[:2] + (1,), np.float32)
-        now = model.start.astype(np.float32) * seen[0]
-        for t in range(steps):
-            if t:
-                now = (alpha[t - 1] @ a) * seen[t]
-            scale[t] = now.sum(1, keepdims=True)
-            alpha[t] = now / scale[t]
-        beta = np.ones_like(now)
-        gamma = alpha
-        mask = inside.T
-        for t in range(steps - 1, 0, -1):
-            after = beta * seen[t] / scale[t]
-            live = after * mask[t][:, None]
-            before = alpha[t - 1].copy()
-            move += before.T @ live
-            gamma[t] = alpha[t] * beta
-            beta = after @ a.T
-        gamma[0] = alpha[0] * beta
-        start += gamma[0].sum(0)
-        ids = symbols.ravel()
-        for s in range(k):
-            emit[:, s] += np.bincount(ids, gamma[:, :, s].ravel(), SYMBOLS + 1)
-    return start, move * model.move, emit
+    live = np.searchsorted(-n, -np.arange(int(n[0])), "left")  # texts longer than t
+    edges = np.concatenate([[0], np.cumsum(live)])
+    time = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    cell = edges[time] + np.repeat(np.arange(len(n)), n)
+    symbols = np.empty(len(cell), np.int32)
+    symbols[cell] = flat[np.repeat(at, n) + time]
+    seen = e[symbols]
+    alpha, scale = np.empty_like(seen), np.empty((len(cell), 1), np.float32)
+    cuts = edges.tolist()
+    now = None
+    for t, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        now = (now[: hi - lo] @ a if t else model.start.astype(np.float32)) * seen[lo:hi]
+        c = now.sum(1, keepdims=True)
+        now /= c
+        alpha[lo:hi], scale[lo:hi] = now, c
+    seen /= scale
+    beta = np.ones((len(cell), k), np.float32)
+    back = np.ascontiguousarray(a.T)
+    for t in range(len(live) - 1, 0, -1):
+        lo, hi = cuts[t], cuts[t + 1]
+        after = beta[lo:hi] * seen[lo:hi]
+        before = cuts[t - 1]
+        move += alpha[before : before + hi - lo].T @ after
+        beta[before : before + hi - lo] = after @ back
+    alpha *= beta
+    start += alpha[: cuts[1]].sum(0, dtype=float)
+    for s in range(k):
+        emit[:, s] += np.bincount(symbols, alpha[:, s], SYMBOLS + 1)
+    return start, move * model.move, emit, float(np.log(scale, dtype=float).sum())
+
+
+def expected(model: Model, flat: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch's expected counts (start, move, emit)."""
+    return summed(model, flat, begin)[:3]
 
 
 def log_likelihood(model: Model, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -220,51 +229,58 @@ def log_likelihood(model: Model, flat: np.ndarray, begin: np.ndarray) -> np.ndar
     return back
 
 
-def _first_model(lex: Lexicon, docs: DataFrame, doc_id: str, text: str) -> Model:
-    """A starting point from START_DOCS texts (those whose hashed ids come first): Baum-Welch on the driver, from perturbed frequencies."""
-    rows = docs.orderBy(F.xxhash64(doc_id), doc_id).limit(START_DOCS).select(F.col(text).alias("text")).toArrow()
-    rng = np.random.default_rng(7)
-    emit = np.zeros((SYMBOLS, STATES))
+def first_model(lex: Lexicon) -> Model:
+    """Where Baum-Welch starts: the counts of all symbols, perturbed for each state."""
+    if not lex.texts:
+        return Model.from_counts(np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES)))
+    spread = np.exp(np.random.default_rng(7).normal(0, 0.7, (SYMBOLS, STATES)))
+    return Model.from_counts(np.ones(STATES), np.eye(STATES) * 200, lex.seen[:, None] * spread)
+
+
+def pooled(lex: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(symbols, each text's first and the end) of about POOL tokens at a time."""
     flats, begins, at = [], [], 0
-    for chunk in rows.column("text").chunks:
-        for _, _, data, off in kernels.text_blocks(chunk):
+    for batch in batches:
+        for _, _, data, off in kernels.text_blocks(batch.column(0)):
             flat, begin, _, _ = sequences(lex, *tokens(data, off))
+            if flats and at + len(flat) > POOL:
+                yield np.concatenate(flats), np.append(np.concatenate(begins), at)
+                flats, begins, at = [], [], 0
             flats.append(flat)
             begins.append(begin[:-1] + at)
             at += len(flat)
-    if not flats:
-        return Model.from_counts(np.zeros(STATES), np.zeros((STATES, STATES)), emit)
-    flat, begin = np.concatenate(flats), np.append(np.concatenate(begins), at)
-    emit += np.bincount(flat, minlength=SYMBOLS)[:, None] * np.exp(rng.normal(0, 0.7, (SYMBOLS, STATES)))
-    model = Model.from_counts(np.ones(STATES), np.eye(STATES) * 200, emit)
-    for _ in range(START_STEPS):
-        model = Model.from_counts(*expected(model, flat, begin))
-    return model
+    if flats:
+        yield np.concatenate(flats), np.append(np.concatenate(begins), at)
 
 
-def train(docs: DataFrame, lex: Lexicon, doc_id: str = "doc_id", text: str = "text", steps: int = STEPS) -> Model:
-    """Baum-Welch over all the texts; expected counts are summed in each task, then by cell of the model."""
-    model, spark = _first_model(lex, docs, doc_id, text), docs.sparkSession
+def train(docs: DataFrame, lex: Lexicon, text: str = "text") -> Model:
+    """Baum-Welch over all the texts until it settles; expected counts are summed in each task, then by cell of the model."""
+    model, spark = first_model(lex), docs.sparkSession
+    if not lex.texts:
+        return model
     shared_lex = spark.sparkContext.broadcast(lex)
-    for _ in range(steps):
+    last, calm = -np.inf, 0
+    while calm < CALM:
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = None
-            for batch in batches:
-                for _, _, data, off in kernels.text_blocks(batch.column(0)):
-                    flat, begin, _, _ = sequences(shared_lex.value, *tokens(data, off))
-                    found = expected(shared.value, flat, begin)
-                    total = found if total is None else tuple(x + y for x, y in zip(total, found, strict=True))
+            for flat, begin in pooled(shared_lex.value, batches):
+                found = summed(shared.value, flat, begin)
+                total = found if total is None else tuple(x + y for x, y in zip(total, found, strict=True))
             if total is not None:
-                cells = np.vstack([total[0][None], total[1], total[2][:SYMBOLS]])
+                cells = np.vstack([total[0][None], total[1], total[2][:SYMBOLS], np.full((1, STATES), total[3])])
                 some = np.flatnonzero(cells.any(1))
                 yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(cells[some, s]) for s in range(STATES))], names=["cell", *(f"s{s}" for s in range(STATES))])
 
         sums = docs.select(text).mapInArrow(run, "cell long, " + ", ".join(f"s{s} double" for s in range(STATES))).groupBy("cell").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES))).toArrow()
-        cells = np.zeros((1 + STATES + SYMBOLS, STATES))
+        cells = np.zeros((2 + STATES + SYMBOLS, STATES))
         cells[sums.column("cell").to_numpy()] = np.column_stack([sums.column(f"s{s}").to_numpy() for s in range(STATES)])
-        model = Model.from_counts(cells[0], cells[1 : 1 + STATES], cells[1 + STATES :])
+        model = Model.from_counts(cells[0], cells[1 : 1 + STATES], cells[1 + STATES : -1])
+        likely = float(cells[-1, 0])
+        calm = calm + 1 if likely - last < SETTLED * abs(likely) else 0
+        last = likely
+        shared.unpersist()
     return model
 
 

@@ -104,6 +104,24 @@ def test_expected_counts_match_enumeration(monkeypatch):
     assert np.allclose(start, s2, atol=1e-4) and np.allclose(move, m2, atol=1e-4) and np.allclose(emit[:4], e2, atol=1e-4)
 
 
+def test_expected_counts_cross_long_texts(monkeypatch):
+    monkeypatch.setattr(hmm, "SYMBOLS", 4)
+    rng = np.random.default_rng(2)
+    model = hmm.Model(rng.dirichlet(np.ones(2)), rng.dirichlet(np.ones(2), 2), np.vstack([rng.dirichlet(np.ones(4), 2).T, np.ones(2)]))
+    seqs = [rng.integers(0, 4, n) for n in (3, 200, 65, 1)]
+    begin = np.cumsum([0, *map(len, seqs)])
+    start, move, emit = hmm.expected(model, np.concatenate(seqs), begin)
+    assert start.sum() == pytest.approx(4, abs=1e-3) and move.sum() == pytest.approx(sum(len(s) - 1 for s in seqs), abs=1e-2)
+    assert np.allclose(emit.sum(1)[:4], np.bincount(np.concatenate(seqs), minlength=4), atol=1e-2)
+    assert hmm.summed(model, np.concatenate(seqs), begin)[3] == pytest.approx(hmm.log_likelihood(model, np.concatenate(seqs), begin).sum(), rel=1e-5)
+
+
+def test_language_model_starts_from_all_words(spark):
+    d = spark.createDataFrame([(i, f"w{i % 40} common w{i}") for i in range(2000)], "doc_id long, text string")
+    lex = hmm.lexicon(hmm.word_counts(d), 2000)
+    assert lex.seen.sum() == 8000 and lex.seen[hmm.END] == 2000 and lex.seen.max() == 2000
+
+
 def brute_base(t):
     assign = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
