@@ -26,12 +26,21 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "armour", "token", "der", "ssh")
 
-_ARMOUR = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----([A-Za-z0-9+/=\s]{16,65536}?)-----END \1-----")
+_ARMOUR = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}KEY(?: BLOCK)?)-----")
+_HEADER = re.compile(rb"(?m)^[A-Za-z][A-Za-z-]*:\x20.*$")
+_BREAK = rb"(?:\\r|\\n|[\r\n])+[\x20\t]*"
 _TOKEN = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{32,}={0,2}")
-_HEX_DER = re.compile(rb"(?i:30[0-9a-f]{22,})")
+#: Where base64 can hold a key: 0x30 and a length, or a field's length of three zero bytes, in the letters they become.
+_START64 = re.compile(rb"M[A-I][A-Za-z0-9+/_-]|AAAA[A-Z]")
+_RUN64 = re.compile(rb"[A-Za-z0-9+/_-]+(?:" + _BREAK + rb"[A-Za-z0-9+/_-]+)*")
+_BREAKS = re.compile(_BREAK)
+_HEX_RUN = re.compile(rb"(?i:[0-9a-f]{24,})")
+_START_HEX = re.compile(rb"(?i:30|000000[0-9a-f]{2}(?:7373682d|6563647361|736b2d))")
+_LEAST_KEY = 24
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _SSH = (b"ssh-", b"ecdsa-", b"sk-")
+#: Fields of a key blob by the beginning of its type.
+_FIELDS = ((b"ssh-rsa", 3), (b"ssh-dss", 5), (b"ssh-ed25519", 2), (b"ssh-ed448", 2), (b"ecdsa-", 3), (b"sk-ssh-", 3), (b"sk-ecdsa-", 4))
 MAX_DEPTH = 16
 
 
@@ -94,6 +103,106 @@ def is_ssh_key(data: bytes) -> bool:
     return fields >= 2 and at == len(data)
 
 
+def key_size(head: bytes) -> int:
+    """How many bytes the DER key that starts here has by its own header; 0 if none can."""
+    if head[:1] != b"0":
+        return 0
+    found = der_length(head, 1)
+    return found[1] + found[0] if found and head[found[1] : found[1] + 1] in (b"\x02", b"\x06", b"0") else 0
+
+
+def has_two(data: bytes) -> bool:
+    """Whether a DER sequence has more than one element, as keys do."""
+    inside = der_length(data, 1)[1]
+    n, body = der_length(data, inside + 1)
+    return body + n < len(data)
+
+
+def ssh_size(data: bytes) -> int:
+    """How many bytes the SSH key blob that starts here has by the fields of its type; 0 if it is none."""
+    kind = data[4 : 4 + int.from_bytes(data[:4], "big")]
+    fields = next((n for name, n in _FIELDS if kind.startswith(name)), 0)
+    at = 0
+    for _ in range(fields):
+        if at + 4 > len(data):
+            return 0
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at if at <= len(data) else 0
+
+
+def key_at(at: int, whole: int, read) -> tuple[int, int] | None:
+    """(kind, bytes) of the key at `at` of a run of `whole` bytes. read(n): at most n bytes from there."""
+    size = key_size(read(8))
+    if size and size <= whole:
+        data = read(size)
+        if is_der_key(data) and (at == 0 and size == whole or size >= _LEAST_KEY and has_two(data)):
+            return 5, size
+    head = read(64)
+    if head[:3] == b"\0\0\0" and head[4:].startswith(_SSH):
+        data = read(whole)
+        size = len(data) if at == 0 and is_ssh_key(data) else ssh_size(data)
+        if size >= _LEAST_KEY:
+            return 6, size
+    return None
+
+
+def keys64(text: bytes) -> Iterator[tuple[int, int, int]]:
+    """Keys in base64, from any start in a run, also over line breaks, real or escaped."""
+    end, done = -1, -1
+    for m in _START64.finditer(text):
+        p = m.start()
+        if p < done:
+            continue
+        if p >= end:
+            run = _RUN64.match(text, p)
+            end = run.end()
+            gaps = np.array([g for b in _BREAKS.finditer(run[0]) for g in range(*b.span())], np.int64)
+            body = np.delete(np.frombuffer(run[0], np.uint8), gaps).tobytes().translate(bytes.maketrans(b"-_", b"+/"))
+            where = np.delete(np.arange(p, end), gaps)
+        k = int(np.searchsorted(where, p))
+        if len(body) - k < 32 or where[k] != p:
+            continue
+
+        def read(n: int, k: int = k, body: bytes = body) -> bytes:
+            part = body[k : k + -(-n * 4 // 3)]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            return base64.b64decode(part + b"=" * (-len(part) % 4))[:n]
+
+        found = key_at(k, (len(body) - k) * 3 // 4, read)
+        if found:
+            chars = -(-found[1] * 4 // 3)
+            done = int(where[k + chars - 1]) + 1
+            pad = -chars % 4
+            while pad and text[done : done + 1] == b"=":
+                done, pad = done + 1, pad - 1
+            yield p, found[0], done
+
+
+def keys16(text: bytes) -> Iterator[tuple[int, int, int]]:
+    """Keys in hex, from any start in a run, at odd places and of odd lengths too."""
+    for m in _HEX_RUN.finditer(text):
+        raw, p = m[0], 0
+        while start := _START_HEX.search(raw, p):
+            k = start.start()
+            found = key_at(k, (len(raw) - k) // 2, lambda n, k=k, raw=raw: bytes.fromhex(raw[k : k + min(2 * n, (len(raw) - k) // 2 * 2)].decode()))
+            if found:
+                yield m.start() + k, found[0], m.start() + k + 2 * found[1]
+            p = k + 2 * found[1] if found else k + 1
+
+
+def is_armoured(label: bytes, inside: bytes) -> bool:
+    """Whether what stands between the lines of an armour is a key: DER, OpenSSH's, OpenPGP's, or one that headers call encrypted."""
+    inside = inside.replace(b"\\r", b"\r").replace(b"\\n", b"\n").replace(b"\r", b"\n")
+    headers = _HEADER.findall(inside)
+    packed = re.sub(rb"\s+", b"", re.sub(rb"\n=[A-Za-z0-9+/]{4}\s*$", b"", _HEADER.sub(b"", inside)))
+    body = decoded64(packed) if len(packed) >= 16 else None
+    if not body:
+        return False
+    if label.endswith(b"BLOCK"):
+        return body[0] >= 0x80
+    return is_der_key(body) or body.startswith(b"openssh-key-v1\0") or any(h.startswith(b"DEK-Info:") for h in headers)
+
+
 def is_signed_token(raw: bytes) -> bool:
     """Three base64url parts of which the first is a JSON header with an algorithm and the second is JSON."""
     head, body, _ = raw.split(b".")
@@ -120,21 +229,12 @@ def confirmed_spans(text: bytes) -> list[tuple[int, int, int]]:
     out = []
     if b"-----BEGIN " in text:
         for m in _ARMOUR.finditer(text):
-            body = decoded64(re.sub(rb"\s+", b"", m[2]))
-            if body is not None and (is_der_key(body) or body.startswith(b"openssh-key-v1\0")):
-                out.append((m.start(), 3, m.end()))
+            close, line = text.find(b"-----", m.end()), b"-----END " + m[1] + b"-----"
+            if close >= 0 and text.startswith(line, close) and is_armoured(m[1], text[m.end() : close]):
+                out.append((m.start(), 3, close + len(line)))
     if b"eyJ" in text:
         out += [(m.start(), 4, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
-    for m in _BASE64.finditer(text):
-        if m[0][:1] in b"MA":  # a DER sequence starts with 0x30, a field's length with 0x00: M and A in base64
-            data = decoded64(m[0])
-            if data is not None and (der := is_der_key(data)) | is_ssh_key(data):
-                out.append((m.start(), 5 if der else 6, m.end()))
-    for m in _HEX_DER.finditer(text):
-        raw = m[0]
-        if len(raw) % 2 == 0 and is_der_key(bytes.fromhex(raw.decode())):
-            out.append((m.start(), 5, m.end()))
-    return out
+    return [*out, *keys64(text), *keys16(text)]
 
 
 def _run(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:

@@ -149,6 +149,24 @@ def test_secrets(spark):
     assert t[int(a) : int(b)] == base64.b64encode(key).decode()
 
 
+def test_secrets_from_any_start():
+    key = der(0x30, der(2, b"\0") + der(2, b"\x01" * 200) + der(2, b"\x01\0\x01"))
+    b64 = base64.b64encode(key).decode()
+    ssh = base64.b64encode(b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", b"k" * 32)))
+    wrapped = [b64[i : i + 64] for i in range(0, len(b64), 64)]
+    big = base64.b64encode(der(0x30, der(2, b"\0") + der(2, b"\x01" * 60_000))).decode()
+    kinds = lambda t: {secrets.KINDS[k] for _, k, _ in secrets.confirmed_spans(t.encode())}
+    for t in ("path/" + b64, "x_" + b64 + " y", "\\n" + b64, "\n".join(wrapped), "\\n".join(wrapped), "0" + key.hex(), "30" + key.hex() + "a", b64.rstrip("=") + "AB"):
+        assert kinds(t) == {"der"}, t
+    assert kinds("k/" + ssh.decode()) == {"ssh"} and kinds(base64.b64decode(ssh).hex()) == {"ssh"}
+    armour = "-----BEGIN {0}-----{1}-----END {0}-----".format
+    for label, body in (("RSA PRIVATE KEY", "\\n" + "\\n".join(wrapped) + "\\n"), ("PRIVATE KEY", "\n" + big + "\n"), ("RSA PRIVATE KEY", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + "q83v" * 40 + "\n"), ("PGP PRIVATE KEY BLOCK", "\nVersion: 1\n\n" + "lQOY" * 40 + "\n=aBcD\n")):
+        assert "armour" in kinds(armour(label, body)), label
+    assert not kinds("M" * 60) and not kinds("MIIE" * 40) and not kinds("30" * 60)
+    text = ("see path/" + b64 + " end").encode()
+    assert [text[a:b].decode() for a, _, b in secrets.confirmed_spans(text)] == [b64]
+
+
 def test_secrets_of_any_table(docs, nothing):
     for r, t in zip(secrets.scan(docs).collect(), docs.collect(), strict=True):
         assert r.base_sha256 == sha(brute_base(t.text or "").encode())
