@@ -94,7 +94,7 @@ def fit(x: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray, n_f
 
 
 def screened(rows: DataFrame, limit: int = FEATURES) -> np.ndarray:
-    """The features whose share of toxic documents is furthest from chance, at most `limit`, from all labelled rows (y_, text); counts are summed by batch, then by feature."""
+    """The features whose share of toxic documents is furthest from chance, at most `limit`, from the rows given (y_, text), which train() has limited to SAMPLE labelled ones; counts are summed by batch, then by feature."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = batch.column(0).to_numpy()
