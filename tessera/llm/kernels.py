@@ -120,6 +120,29 @@ def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (ones.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
+def votes(h: np.ndarray, first: np.ndarray, width: int = 32) -> np.ndarray:
+    """The votes of each segment on the lowest `width` bits, in a fixed order of bits: four counts at a time, compared in place. A segment without hashes has none."""
+    size = np.diff(first)
+    out = np.zeros(len(size), np.uint64)
+    some = np.flatnonzero(size)
+    if not len(some):
+        return out
+    many = size[some]
+    if many.max() > 16_000:
+        return majority(h, first) & np.uint64((1 << width) - 1)
+    cuts, ones, top = first[:-1][some], np.uint64(0x0001000100010001), np.uint64(0x8000800080008000)
+    bias = (0x7FFF - many).astype(np.uint64) * ones
+    found = np.zeros(len(some), np.uint64)
+    for b in range(width // 8):
+        byte = ((h >> np.uint64(8 * b)) & np.uint64(255)).astype(np.intp)
+        for half in range(2):
+            x = (2 * np.add.reduceat(_SPREAD[half][byte], cuts) + bias) & top
+            nibble = (x >> np.uint64(15) | x >> np.uint64(30) | x >> np.uint64(45) | x >> np.uint64(60)) & np.uint64(15)
+            found |= nibble << np.uint64(8 * b + 4 * half)
+    out[some] = found
+    return out
+
+
 def squeezed(data: np.ndarray, member: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The member bytes, which are those of the spans, with one space after each span; where each now starts and ends."""
     size = ends - starts

@@ -1,14 +1,19 @@
 """Fuzzy line deduplication over a corpus.
 
-Lines are normalised (A-Z lower-cased, digits to 0, white space collapsed) and equal ones become one node. A node's SimHash
-is over the set of its words of letters and digits, so that separators and repeated words don't make unlike lines alike.
-Lines without such words only meet their equals. The fingerprint is cut into blocks; fingerprints that differ in at most `bits` bits agree on some choice of blocks (by the
-pigeonhole principle), so nodes are joined on every such choice. Candidates within the Hamming distance whose edit
-similarity is `similarity` or more are linked, and of each connected group the first occurrence stays.
-
-A bucket never becomes all its pairs. First every member meets the bucket's smallest and largest node, which joins a group
-of copies in linear work. After those links are resolved, only members that aren't with the bucket's smallest node meet
-the others in it, and only those of another component: no link between different components is lost.
+Lines are normalised (A-Z lower-cased, digits to 0, white space collapsed) and equal ones become one node. Lines of fewer
+than MIN_WORDS words keep their digits and only meet their equals.
+
+A longer line's fingerprint is a row of SimHash blocks, each voted by some of its words. Once the words are dealt to BLOCKS
+blocks by their place, a fifth of the line to each, and once to CLASSES blocks by their hash. A word that is replaced, or that
+has a letter more or less, touches one block of the first kind; a word that comes in or drops out touches one of the second,
+where it moves no other word. So by the pigeonhole principle lines agree on some choice of blocks: of the places, on as many blocks as
+hold about KEPT words (4 of 5 for lines under 14 words, one of 5 from 40 words on) unless more blocks than the others are touched;
+of the classes, on all but one. Nodes are joined on every such choice, for places together with the number of words. Candidates
+whose edit similarity is `similarity` or more are linked, and of each connected group the first occurrence stays.
+
+A bucket never becomes all its pairs: one of two nodes is its pair. In a larger one every member first meets the smallest and
+the largest node, which joins a group of copies in linear work. After those links are resolved, only members that aren't with
+the bucket's smallest node meet the others in it, and only those of another component: no link between components is lost.
 """
 
 from __future__ import annotations
@@ -23,27 +28,32 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kernels
 from tessera.llm.components import components
-from tessera.llm.shared import row_key, written
+from tessera.llm.shared import fresh, key_bits, row_key, written
 
-MIN_WORDS, BITS, BLOCKS, SIMILARITY = 5, 3, 6, 0.8
+MIN_WORDS, SIMILARITY = 5, 0.8
+BLOCKS, CLASSES, KEPT = 5, 4, 8
 #: Words of the filters that tell a pass which lines or buckets are wanted: fixed, 8 MB. A full filter lets too much through, never too little.
 FILTER_WORDS = 1 << 20
+#: Columns of a fingerprint: two blocks of 32 bits each; the last one's lower half has the choices of classes allowed and the number of words.
+PARTS = [f"f{i}" for i in range(5)]
+_COUNT = (1 << 28) - 1
 
 _FOLD = kernels.LOWER.copy()
 _FOLD[ord("0") : ord("9") + 1] = ord("0")
-_FEATURE = np.zeros(256, bool)
-_FEATURE[ord("0") : ord("9") + 1] = _FEATURE[ord("a") : ord("z") + 1] = _FEATURE[128:] = True
 _POWERS = kernels.mix(np.arange(1, 1 << 16, dtype=np.uint64)) | np.uint64(1)
+_LOWER_TEXT = str.maketrans({chr(c): chr(kernels.LOWER[c]) for c in range(128)})
 _FOLD_TEXT = str.maketrans({chr(c): chr(_FOLD[c]) for c in range(128)})
 
 
-def normalised(line: str) -> str:
-    return b" ".join(line.translate(_FOLD_TEXT).encode().split()).decode()
+def normalised(line: str, min_words: int = MIN_WORDS) -> str:
+    words = line.translate(_LOWER_TEXT).encode().split()
+    text = b" ".join(words).decode()
+    return text if len(words) < min_words else text.translate(_FOLD_TEXT)
 
 
 def tag_of(key: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """A hash that names a line by its row's key and its number."""
-    return kernels.mix(key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)).view(np.int64)
+    """A hash for the filter of lines, from the row's key and the line's number."""
+    return kernels.mix(key * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)).view(np.int64)
 
 
 def lines_of(folded: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -59,77 +69,129 @@ def lines_of(folded: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.
     return starts, ends, begin, text, line[begin[:-1]] - breaks[off[text]]
 
 
-def nodes_of(data: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each line with enough words: its text's number in the block, its number in the text, its node and fingerprint."""
-    folded = _FOLD[data]
-    starts, ends, begin, text, number = lines_of(folded, data, off)
+def nodes_of(data: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each line with words: its text's number in the block, its number in the text, its node, a second hash of it, and its fingerprint's PARTS (zeros for short lines)."""
+    low = kernels.LOWER[data]
+    starts, ends, begin, text, number = lines_of(low, data, off)
+    size = np.diff(begin)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return none, none, none, none
-    h = kernels.span_hash(folded, starts, ends)
-    size = np.diff(begin)
+        return none, none, none, none, np.zeros((0, len(PARTS)), np.int64)
+    h = kernels.span_hash(low, starts, ends)
+    long = size >= min_words
+    numerals = np.flatnonzero(np.repeat(long, size) & _digits(data, starts, ends))
+    h[numerals] = kernels.span_hash(_FOLD[low], starts[numerals], ends[numerals])
     place = np.arange(len(h)) - np.repeat(begin[:-1], size)
-    node = kernels.mix(np.add.reduceat(h * _POWERS[place % len(_POWERS)] + (place // len(_POWERS)).astype(np.uint64), begin[:-1]) + size.astype(np.uint64))
-    fp = node.copy()
-    ws, we, _ = kernels.runs(_FEATURE[folded], off)
-    owner = np.searchsorted(starts[begin[:-1]], ws, "right") - 1
-    hw = kernels.span_hash(folded, ws, we, 1)
-    order = np.lexsort((hw, owner))
-    owner, hw = owner[order], hw[order]
-    once = np.ones(len(hw), bool)
-    once[1:] = (np.diff(owner) != 0) | (hw[1:] != hw[:-1])
-    owner, hw = owner[once], hw[once]
-    edges = np.searchsorted(owner, np.arange(len(begin)))
-    some = np.diff(edges) > 0
-    fp[some] = kernels.majority(hw, edges)[some]
-    keep = size >= min_words
-    return text[keep], number[keep], node.view(np.int64)[keep], fp.view(np.int64)[keep]
+    power = _POWERS[place % len(_POWERS)]
+    lap = (place // len(_POWERS)).astype(np.uint64)
+    node = kernels.mix(np.add.reduceat(h * power + lap, begin[:-1]) + size.astype(np.uint64))
+    check = kernels.mix(np.add.reduceat((h ^ (h >> np.uint64(31))) * (power + np.uint64(2)) + lap, begin[:-1]))
+    return text, number, node.view(np.int64), check.view(np.int64), fingerprints(h, begin, long)
+
+
+def _digits(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a word has a digit."""
+    seen = np.concatenate([[0], np.cumsum((data >= ord("0")) & (data <= ord("9")), dtype=np.int32)])
+    return seen[ends] > seen[starts]
+
+
+def fingerprints(h: np.ndarray, begin: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """The PARTS of lines whose words' hashes are h[begin[i]:begin[i + 1]]; zeros for those that aren't long."""
+    size = np.diff(begin)
+    cuts = begin[:-1, None] + size[:, None] * np.arange(BLOCKS) // BLOCKS
+    blocks = list(kernels.votes(h, np.append(cuts.ravel(), begin[-1])).reshape(-1, BLOCKS).T)
+    of, allowed = (h >> np.uint64(58)) % np.uint64(CLASSES), np.zeros(len(size), np.uint64)
+    for c in range(CLASSES):
+        at = np.flatnonzero(of == c)
+        first = np.searchsorted(at, begin)
+        held = np.diff(first)
+        blocks.append((kernels.votes(h[at], first) + held.astype(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF))
+        rest = size - held
+        allowed |= ((rest >= 3) & (2 * rest >= size)).astype(np.uint64) << np.uint64(28 + c)
+    blocks.append(allowed | np.minimum(size, _COUNT).astype(np.uint64))
+    out = np.stack([blocks[2 * i] << np.uint64(32) | blocks[2 * i + 1] for i in range(len(PARTS))], 1)
+    out[~long] = 0
+    return out.view(np.int64)
 
 
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """key, doc_id, line, tag, node, fp for each line, from documents with key, doc_id, text. One pass, no shuffle."""
-    schema = docs.select("key", "doc_id", *(F.lit(0).cast("long").alias(c) for c in ("line", "tag", "node", "fp"))).schema
+    """key, doc_id, line, node, check and PARTS for each line with words, from documents with key, doc_id, text. One pass, no shuffle."""
+    names = ["line", "node", "check", *PARTS]
+    schema = docs.select("key", "doc_id", *(F.lit(0).cast("long").alias(c) for c in names)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
             for lo, _, data, off in kernels.text_blocks(batch.column(2)):
-                text, line, node, fp = nodes_of(data, off, min_words)
-                at = text + lo
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), batch.column(1).take(pa.array(at)), pa.array(line), pa.array(tag_of(keys[at], line)), pa.array(node), pa.array(fp)], names=schema.names)
+                text, line, node, check, parts = nodes_of(data, off, min_words)
+                at = pa.array(text + lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x) for x in (line, node, check, *parts.T))], names=schema.names)
 
     return docs.select("key", "doc_id", "text").mapInArrow(run, schema)
 
 
-def _choices(bits: int, blocks: int) -> list[list[tuple[int, int]]]:
-    """For each choice of blocks that two fingerprints within `bits` bits must share: (shift, width) of its blocks."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    spans = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-    return [list(c) for c in combinations(spans, blocks - bits)]
-
-
-def bucket_keys(bits: int = BITS, blocks: int = BLOCKS) -> str:
-    """SQL for the bucket keys of fp: the chosen blocks side by side, after the choice's number."""
-    keys = []
-    for t, chosen in enumerate(_choices(bits, blocks)):
-        parts, at = [], 0
-        for shift, width in chosen:
-            parts.append(f"shiftleft(shiftrightunsigned(fp, {shift}) & {(1 << width) - 1}L, {at})")
-            at += width
-        keys.append(" | ".join([f"{t << at}L", *parts]))
-    return f"array({', '.join(keys)})"
-
-
-def bucket_arrays(fp: np.ndarray, bits: int, blocks: int) -> np.ndarray:
-    """The same keys as an array, a row for each fingerprint."""
-    word, keys = fp.view(np.uint64), []
-    for t, chosen in enumerate(_choices(bits, blocks)):
-        key, at = np.zeros(len(fp), np.uint64), 0
-        for shift, width in chosen:
-            key |= ((word >> np.uint64(shift)) & np.uint64((1 << width) - 1)) << np.uint64(at)
-            at += width
-        keys.append(key | np.uint64(t << at))
-    return np.stack(keys, 1).view(np.int64)
+def kept_blocks(words: int) -> int:
+    """On how many blocks of places lines of so many words must agree: as many as hold about KEPT words."""
+    return min(BLOCKS - 1, max(1, -(-BLOCKS * KEPT // words)))
+
+
+def _choices(kept: int) -> list[tuple[int, ...]]:
+    return list(combinations(range(BLOCKS), kept))
+
+
+def bucket_keys() -> str:
+    """SQL for the bucket keys of a long line's PARTS: for each choice a hash of its number, the words' number and its blocks."""
+    block = [f"shiftrightunsigned({p}, 32)" if high else f"{p} & 4294967295L" for p in PARTS for high in (True, False)]
+    words = f"{PARTS[-1]} & {_COUNT}L"
+    places, edge = [], None
+    for kept in range(1, BLOCKS):
+        least = next(n for n in range(1, BLOCKS * KEPT + 1) if kept_blocks(n) <= kept)
+        keys = ", ".join(f"xxhash64({100 * kept + i}L, {words}, {', '.join(block[b] for b in chosen)})" for i, chosen in enumerate(_choices(kept)))
+        places.append(f"WHEN {words} >= {least} THEN array({keys})")
+        edge = keys
+    classes = []
+    for c in range(CLASSES):
+        others = ", ".join(block[BLOCKS + b] for b in range(CLASSES) if b != c)
+        classes.append(f"CASE WHEN ({PARTS[-1]} & {1 << (28 + c)}L) != 0 THEN xxhash64({c}L, {others}) END")
+    return f"array_compact(concat(CASE {' '.join(places)} ELSE array({edge}) END, array({', '.join(classes)})))"
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _hashed(columns: list[np.ndarray | int]) -> np.ndarray:
+    """Spark's xxhash64 of rows of longs."""
+    rotated = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
+    h = np.full(max(np.size(c) for c in columns), 42, np.uint64)
+    for c in columns:
+        x = np.asarray(c, np.uint64)
+        h = (h + _P5 + np.uint64(8)) ^ rotated(x * _P2, 31) * _P1
+        h = rotated(h, 27) * _P1 + _P4
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def bucket_arrays(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same keys as (row, key) arrays, from a row of PARTS for each fingerprint."""
+    word = parts.view(np.uint64)
+    block = [x for i in range(len(PARTS)) for x in (word[:, i] >> np.uint64(32), word[:, i] & np.uint64(0xFFFFFFFF))]
+    words = word[:, -1] & np.uint64(_COUNT)
+    kept = np.minimum(BLOCKS - 1, np.maximum(1, -(-BLOCKS * KEPT // np.maximum(words, np.uint64(1)).astype(np.int64))))
+    rows, keys = [], []
+    for k in range(1, BLOCKS):
+        at = np.flatnonzero(kept == k)
+        for i, chosen in enumerate(_choices(k) if len(at) else []):
+            rows.append(at)
+            keys.append(_hashed([np.full(len(at), 100 * k + i, np.uint64), words[at], *(block[b][at] for b in chosen)]))
+    for c in range(CLASSES):
+        at = np.flatnonzero(word[:, -1] >> np.uint64(28 + c) & np.uint64(1))
+        if len(at):
+            rows.append(at)
+            keys.append(_hashed([np.full(len(at), c, np.uint64), *(block[BLOCKS + b][at] for b in range(CLASSES) if b != c)]))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(rows), np.concatenate(keys).view(np.int64)
 
 
 def _filter(keys: DataFrame, column: str) -> np.ndarray:
@@ -202,73 +264,83 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """node, text (normalised) for wanted (tag, node), from one pass over the documents; a filter of fixed size spares most other lines the shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted, "tag"))
+    """node, text (normalised) for wanted (node, key, line), from one pass over the documents; filters of fixed size spare most documents the work and most other lines the shuffle."""
+    spark = docs.sparkSession
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = key_bits(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(tag_of(key, batch.column(1).to_numpy()))], names=["row", "tag"])
+
+    asked = wanted.select("key", "line").mapInArrow(hashed, "row long, tag long")
+    rows, tags = (spark.sparkContext.broadcast(_filter(asked, c)) for c in ("row", "tag"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = shared.value
         for batch in batches:
-            keys = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array(_passes(rows.value, key_bits(batch.column(0)).view(np.int64))))
+            keys = key_bits(batch.column(0))
             for lo, _, data, off in kernels.text_blocks(batch.column(1)):
-                _, _, begin, text, line = lines_of(_FOLD[data], data, off)
-                long = np.diff(begin) >= min_words
-                text, line = text[long], line[long]
-                tag = tag_of(keys[text + lo], line)
-                hit = np.flatnonzero(_passes(mask, tag))
+                _, _, _, text, line = lines_of(data, data, off)
+                hit = np.flatnonzero(_passes(tags.value, tag_of(keys[text + lo], line)))
+                text, line = text[hit], line[hit]
                 out, now, lines = [], -1, []
-                for i in hit:
-                    if text[i] != now:
-                        now = text[i]
-                        lines = data[off[now] : off[now + 1]].tobytes().decode().split("\n")
-                    out.append(normalised(lines[line[i]]))
-                yield pa.RecordBatch.from_arrays([pa.array(tag[hit]), pa.array(out, pa.string())], names=["tag", "text"])
+                for i, k in zip(text.tolist(), line.tolist(), strict=True):
+                    if i != now:
+                        now, lines = i, data[off[i] : off[i + 1]].tobytes().decode().split("\n")
+                    out.append(normalised(lines[k], min_words))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text + lo)), pa.array(line), pa.array(out, pa.string())], names=["key", "line", "text"])
 
-    found = docs.select("key", "text").mapInArrow(run, "tag long, text string")
-    return found.join(wanted, "tag").groupBy("node").agg(F.min("text").alias("text"))
+    found = docs.select("key", "text").mapInArrow(run, "key binary, line long, text string")
+    return found.join(wanted, ["key", "line"]).groupBy("node").agg(F.min("text").alias("text"))
 
 
-def groups(docs: DataFrame, nodes: DataFrame, bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """(node, root) of all nodes that are linked to another. nodes: node, fp, tag (of one occurrence); docs: key, text."""
-    table = nodes.select("node", "fp", F.explode(F.expr(bucket_keys(bits, blocks))).alias("bucket"))
-    shared = written(table.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high"), "shared-buckets")
-    mask = nodes.sparkSession.sparkContext.broadcast(_filter(shared, "bucket"))
+def groups(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """(node, root) of all nodes that are linked to another. nodes: node, key and line (of one occurrence), PARTS; docs: key, text."""
+    fuzzy = nodes.where(f"({PARTS[-1]} & {_COUNT}L) >= {min_words}")
+    table = fuzzy.select("node", F.explode(F.expr(bucket_keys())).alias("bucket"))
+    shared = written(table.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low != high"), "shared-buckets")
+    large = shared.where("n > 2").select("bucket", "low", "high")
+    mask = nodes.sparkSession.sparkContext.broadcast(_filter(large, "bucket"))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, fp = (batch.column(i).to_numpy() for i in range(2))
-            keys = bucket_arrays(fp, bits, blocks)
-            row, at = np.nonzero(_passes(mask.value, keys.ravel()).reshape(keys.shape))
-            yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(fp[row]), pa.array(keys[row, at])], names=["node", "fp", "bucket"])
-
-    found = nodes.select("node", "fp").mapInArrow(entries, "node long, fp long, bucket long")
-    members = written(found.join(shared, "bucket"), "buckets")
-    large = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 2").select("bucket")
-    near = f"bit_count(fp ^ fp_) <= {bits}"
-    ends = members.where("node = low OR node = high").select("bucket", F.col("node").alias("node_"), F.col("fp").alias("fp_"))
-    pair = [F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")]
-    pairs = written(members.join(ends, "bucket").where("node != node_").where(near).select(*pair).distinct(), "pairs")
-    crowd = written(members.join(large, "bucket"), "large-buckets")
-    asked = crowd.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    texts = written(_texts(docs, written(nodes.select("node", "tag").join(asked, "node"), "wanted"), min_words), "lines")
+            node = batch.column(0).to_numpy()
+            row, key = bucket_arrays(np.stack([c.to_numpy() for c in batch.columns[1:]], 1))
+            hit = _passes(mask.value, key)
+            yield pa.RecordBatch.from_arrays([pa.array(node[row[hit]]), pa.array(key[hit])], names=["node", "bucket"])
+
+    members = written(fuzzy.select("node", *PARTS).mapInArrow(entries, "node long, bucket long").join(large, "bucket"), "buckets")
+    ends = members.select("node", F.explode(F.array("low", "high")).alias("end")).where("node != end")
+    pair = [F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")]
+    pairs = written(ends.select(*pair).union(shared.where("n = 2").select("low", "high")).distinct(), "pairs")
+    asked = members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = written(nodes.select("node", "key", "line").join(asked, "node"), "wanted")
+    texts = written(_texts(docs, wanted, min_words), "lines")
     links = written(_similar(pairs, texts, similarity), "links")
     roots = components(links)
-    large = crowd.join(roots, "node", "left").select("bucket", "node", "fp", "low", F.coalesce("root", "node").alias("root"))
+    crowd = members.select("bucket", "node", "low").join(roots, "node", "left").select("bucket", "node", "low", F.coalesce("root", "node").alias("root"))
     lows = roots.select(F.col("node").alias("low"), F.col("root").alias("low_root"))
-    apart = large.join(lows, "low", "left").where("root != coalesce(low_root, low)").select("bucket", F.col("node").alias("node_"), F.col("fp").alias("fp_"), F.col("root").alias("root_"))
-    more = large.join(apart, "bucket").where("root != root_").where(near).select(*pair).distinct().join(pairs, ["a", "b"], "left_anti")
+    crowd = written(crowd.join(lows, "low", "left").withColumn("apart", F.expr("root != coalesce(low_root, low)")), "crowd")
+    apart = crowd.where("apart").select("bucket", F.col("node").alias("end"), F.col("root").alias("end_root"))
+    more = crowd.join(apart, "bucket").where("root != end_root").select(*pair).distinct().join(pairs, ["a", "b"], "left_anti")
     return components(links.union(_similar(more, texts, similarity)))
 
 
-def dropped_lines(docs: DataFrame, **how) -> DataFrame:
-    """key, flags, n: for each row that loses lines, a byte for each line up to the last of them (1: it goes), and their number. docs: key, doc_id, text."""
-    min_words = how.get("min_words", MIN_WORDS)
+def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """key, flags, n: for each row that loses lines, a byte for each line up to the last of them (1: it goes), and their number. docs: key, doc_id, text.
+
+    Equal lines are those with equal hashes of 128 bits: where two unlike lines share a node, which needs about 10**10 lines, all of them stay.
+    """
     lines = written(occurrences(docs, min_words), "occurrences")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line", "tag")
-    nodes = written(lines.groupBy("node").agg(F.min(order).alias("o"), F.first("fp").alias("fp"), F.count("*").alias("n")).select("node", "fp", "n", "o", F.col("o.tag").alias("tag")), "nodes")
-    named = nodes.join(groups(docs, nodes, **how), "node", "left").withColumn("grp", F.coalesce("root", "node"))
-    first = named.where("root IS NOT NULL").groupBy("grp").agg(F.min("o").alias("first"))
-    stays = named.where("root IS NOT NULL OR n > 1").join(first, "grp", "left").select("node", F.coalesce("first.tag", "tag").alias("stays"))
-    gone = lines.select("key", "line", "tag", "node").join(stays, "node").where("tag != stays")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
+    same = [F.min(p).alias(p) for p in PARTS]
+    found = lines.groupBy("node").agg(F.min(order).alias("o"), F.count("*").alias("n"), F.min("check").alias("check"), F.max("check").alias("other"), *same)
+    nodes = written(found.where("check = other").select("node", "n", "o", F.col("o.key").alias("key"), F.col("o.line").alias("line"), *PARTS), "nodes")
+    named = nodes.select("node", "n", "o").join(groups(docs, nodes, similarity, min_words), "node", "left")
+    linked = written(named.where("root IS NOT NULL"), "linked")
+    first = written(linked.groupBy("root").agg(F.min("o").alias("first")), "first")
+    stays = linked.join(first, "root").select("node", "first").union(named.where("root IS NULL AND n > 1").select("node", F.col("o").alias("first")))
+    gone = lines.select("key", "line", "node").join(stays, "node").where("key != first.key OR line != first.line")
     gone = gone.groupBy("key").agg(F.collect_set("line").alias("lines"))
 
     def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,23 +353,25 @@ def dropped_lines(docs: DataFrame, **how) -> DataFrame:
                 flags.append(bytes(flag))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.binary()), pa.array([sum(f) for f in flags], pa.int64())], names=["key", "flags", "n"])
 
-    return gone.mapInArrow(flagged, "key long, flags binary, n long")
+    return gone.mapInArrow(flagged, "key binary, flags binary, n long")
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents with the text that is left, and n_lines and n_dropped.
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = True, **how) -> DataFrame:
+    """The documents with the text that is left, and (with counts) n_lines and n_dropped.
 
-    Lines are separated by line feeds. Those with fewer than min_words words, blank ones among them, always stay. Of each group
-    the occurrence with the smallest (doc_id, line) stays, null ids last. Rows that repeat id and text are one document that
-    comes back as often. Null texts stay null with no lines. Columns named like the two new ones are replaced.
+    Lines are separated by line feeds. Blank ones always stay; those with fewer than min_words words go only if they are equal to
+    an earlier one but for case and white space. Of each group the occurrence with the smallest (doc_id, line) stays, null ids
+    last. Rows that repeat id and text are one document that comes back as often. Null texts stay null with no lines. No rows:
+    no rows. Columns named like the two new ones are replaced; without counts all columns come back, whatever their names.
     """
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    keyed = docs.select(*rest, row_key(F.col(doc_id), F.col(text)).alias("key_"))
-    src = keyed.select(F.col("key_").alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    lost = dropped_lines(src, **how).withColumnsRenamed({"key": "key_", "flags": "flags_", "n": "n_"})
-    joined = keyed.join(lost, "key_", "left")
+    rest = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+    key, flags, n = (fresh(docs.columns, c) for c in ("key", "flags", "n"))
+    keyed = docs.select(*rest, row_key(F.col(doc_id), F.col(text)).alias(key))
+    src = keyed.select(F.col(key).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    lost = dropped_lines(src, **how).toDF(key, flags, n)
+    joined = keyed.join(lost, key, "left")
     lines = F.split(F.col(text), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda _, i: F.coalesce(F.substring("flags_", i + 1, F.lit(1)) != F.lit(b"\x01"), F.lit(True))), "\n")
+    left = F.array_join(F.filter(lines, lambda _, i: F.coalesce(F.substring(flags, i + 1, F.lit(1)) != F.lit(b"\x01"), F.lit(True))), "\n")
+    kept = [F.when(F.col(flags).isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in rest]
     n_lines = F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    kept = [F.when(F.col("flags_").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in rest]
-    return joined.select(*kept, n_lines.alias("n_lines"), F.coalesce("n_", F.lit(0)).cast("long").alias("n_dropped"))
+    return joined.select(*kept, *((n_lines.alias("n_lines"), F.coalesce(n, F.lit(0)).cast("long").alias("n_dropped")) if counts else ()))

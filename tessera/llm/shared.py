@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,5 +31,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """Names a row by its id and text. Rows with equal ids and equal texts share it."""
-    return F.xxhash64(doc_id, text)
+    """16 bytes that name a row by its id and text. Rows with equal ids and equal texts share them."""
+    halves = F.xxhash64(doc_id, text), F.xxhash64(F.lit("row"), text, doc_id)
+    return F.unhex(F.concat(*(F.lpad(F.hex(h), 16, "0") for h in halves)))
+
+
+def key_bits(keys: pa.Array) -> np.ndarray:
+    """The first eight bytes of each row key."""
+    body = np.frombuffer(keys.buffers()[2] or b"", np.uint64)[2 * keys.offset :: 2] if len(keys) else np.zeros(0, np.uint64)
+    return body[: len(keys)]
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A name like the one given that is none of the columns', upper or lower case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -4,12 +4,13 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, simhash
 from tessera.llm.components import components
+from tessera.llm.shared import fresh, key_bits, row_key
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,9 +58,12 @@ def test_simhash_links_every_pair_within_two_bits(spark):
     base = [r.getrandbits(64) for _ in range(20)]
     fps = {b ^ sum(1 << k for k in r.sample(range(64), n)) for b in base for n in (0, 1, 2, 2, 3, 4) for _ in range(6)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    found = {x.node: x.root for x in components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()}
+    r.shuffle(signed)
+    table = spark.createDataFrame([(f,) for f in signed], "fp long")
     root = union([(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2], signed)
-    assert {f: found.get(f, f) for f in signed} == root
+    for crowd in (simhash.CROWD, 3):  # with buckets that are fetched, and with most of them linked in the other way
+        found = {x.node: x.root for x in components(simhash.links(table, crowd)).collect()}
+        assert {f: found.get(f, f) for f in signed} == root
 
 
 def test_simhash_keeps_one_of_each(docs, nothing):
@@ -102,16 +106,20 @@ def test_edit_distance():
         assert line_dedup.edits_within(a, b, k) == (levenshtein(a, b) <= k)
 
 
+def plain(line):
+    """The normalised form, from its definition."""
+    words = SPLIT.findall(lower(line))
+    return " ".join(words) if len(words) < 5 else re.sub("[0-9]", "0", " ".join(words))
+
+
 def brute_lines(rows):
-    occ = [(i is None, i, k, line_dedup.normalised(x)) for i, t in rows for k, x in enumerate((t or "").split("\n")) if t is not None]
-    occ = sorted({o for o in occ if len(o[3].encode().split()) >= 5}, key=lambda o: (o[0], o[1] or 0, o[2]))
+    """Which lines go, by edit similarity alone."""
+    occ = [(i is None, i, k, plain(x)) for i, t in rows if t is not None for k, x in enumerate(t.split("\n"))]
+    occ = sorted({o for o in occ if o[3]}, key=lambda o: (o[0], o[1] or 0, o[2]))
     lines = list(dict.fromkeys(o[3] for o in occ))
-    fp = []
-    for x in lines:
-        d = np.frombuffer(x.encode(), np.uint8)
-        fp.append(int(line_dedup.nodes_of(d, np.array([0, len(d)]), 1)[3].view(np.uint64)[0]))
-    near = [(i, j) for i in range(len(lines)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 3 and 5 * levenshtein(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j]))]
-    root = union(near, range(len(lines)))
+    long = [i for i, x in enumerate(lines) if len(x.split(" ")) >= 5]
+    close = lambda a, b: 5 * abs(len(a) - len(b)) <= max(len(a), len(b)) and 5 * levenshtein(a, b) <= max(len(a), len(b))
+    root = union([(i, j) for i in long for j in long if j < i and close(lines[i], lines[j])], range(len(lines)))
     at = {x: i for i, x in enumerate(lines)}
     first, gone = {}, {}
     for _, i, k, x in occ:
@@ -121,11 +129,11 @@ def brute_lines(rows):
 
 
 def test_lines_match_brute_force(docs):
-    short = docs.where("text is null or length(text) < 2000")
+    short = docs.where("text is null or length(text) < 2000").withColumn("n", F.lit("user")).withColumn("flags", F.lit(1))
     gone = brute_lines([(r.doc_id, r.text) for r in short.select("doc_id", "text").distinct().collect()])
     assert gone
     got = line_dedup.deduplicated(short)
-    assert got.columns[: len(docs.columns)] == docs.columns
+    assert got.columns[: len(short.columns)] == short.columns
     for a in got.collect():
         source = next(r.text for r in short.collect() if r.doc_id == a.doc_id)
         want = None if source is None else "\n".join(x for k, x in enumerate(source.split("\n")) if k not in gone.get(a.doc_id, ()))
@@ -139,9 +147,74 @@ def test_lines_of_long_and_empty_input(docs, nothing):
     assert line_dedup.deduplicated(nothing).count() == 0
 
 
+def made_lines(seed, n, count):
+    r = random.Random(seed)
+    return [[("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))) for _ in range(n)] for _ in range(count)]
+
+
+@pytest.mark.parametrize(("kind", "least"), [("letter", 1.0), ("word", 1.0), ("in", 0.9), ("out", 0.9), ("two", 0.9)])
+def test_recall_of_lines_of_all_lengths(spark, kind, least):
+    """Pairs within the similarity by edit distance alone; each pair is found by itself, as its words are its own."""
+    r, rows, sizes = random.Random(kind), [], {"two": (14, 20, 30, 39, 50)}.get(kind, (6, 7, 8, 10, 15, 20, 30, 50))
+    for n in sizes:
+        for words in made_lines(f"{kind}{n}", n, 60):
+            other, at = list(words), r.randrange(n)
+            if kind == "letter":
+                other[at] += "x"
+            elif kind == "in":
+                other.insert(at, "now")
+            elif kind == "out":
+                at = min(range(n), key=lambda k: len(words[k]))
+                del other[at]
+            else:
+                for k in r.sample(range(n), 2 if kind == "two" else 1):
+                    other[k] = "".join(r.choice("0123456789") for _ in other[k])
+            a, b = " ".join(words), " ".join(other)
+            if 5 * levenshtein(plain(a), plain(b)) <= max(len(a), len(b)):
+                rows += [(2 * len(rows), a), (2 * len(rows) + 1, b)]
+    got = {x.doc_id: x.n_dropped for x in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    found = [got[b] for (_, _), (b, _) in zip(rows[::2], rows[1::2], strict=True)]
+    assert not any(got[a] for a, _ in rows[::2]) and len(found) > 100
+    assert sum(found) >= least * len(found)
+
+
+def test_crowded_buckets_link_all(spark):
+    """Lines that share four fifths of their words, of which some are similar: what is linked is what edit distance links."""
+    r = random.Random(9)
+    stems = ["alpha beta gamma delta", "one two three four"]
+    lines = [f"{s} {''.join(r.choice('abcdef') for _ in range(r.randint(8, 12)))}" for s in stems for _ in range(80)]
+    gone = brute_lines(list(enumerate(lines)))
+    got = line_dedup.deduplicated(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_dropped > 0").collect()
+    assert {x.doc_id for x in got} == set(gone) and 20 < len(gone) < 157
+
+
+def test_lines_with_columns_of_any_name(spark, docs):
+    odd = docs.select("*", *(F.lit("u").alias(c) for c in ("key_", "flags", "flags_", "n", "n_", "line", "node", "n_lines", "n_dropped")))
+    got = line_dedup.deduplicated(odd, counts=False)
+    assert got.columns == odd.columns and got.where("key_ != 'u' or n_lines != 'u' or flags_ != 'u'").count() == 0 and got.count() == odd.count()
+    assert simhash.one_of_each(odd).columns == odd.columns and simhash.one_of_each(odd).where("key_ != 'u' or key != 'k' and key is not null").count() == 0
+
+
+def test_short_lines_go_only_if_equal(spark):
+    rows = [(1, "All rights reserved.\nPage 1\n}"), (2, "ALL  rights reserved.\nPage 2\n}\nnew"), (3, "\n\n")]
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "Page 2\nnew", 3: "\n\n"}
+
+
 def test_bucket_keys_agree(spark):
-    fp = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 50)
-    got = spark.createDataFrame([(int(x),) for x in fp], "fp long").select("fp", F.expr(line_dedup.bucket_keys()).alias("k")).collect()
-    want = dict(zip(fp.tolist(), line_dedup.bucket_arrays(fp, 3, 6).tolist(), strict=True))
-    assert all(list(r.k) == want[r.fp] for r in got)
-    assert pa.array(fp).type == pa.int64()
+    r = random.Random(3)
+    data = "\n".join(" ".join(r.choice("abc") * r.randint(1, 9) for _ in range(n)) for n in [*range(1, 60), 200]).encode()
+    parts = line_dedup.nodes_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 5)[4]
+    rows = [(i, *map(int, p)) for i, p in enumerate(parts) if p.any()]
+    got = spark.createDataFrame(rows, "i long, " + ", ".join(f"{c} long" for c in line_dedup.PARTS)).select("i", F.explode(F.expr(line_dedup.bucket_keys())).alias("k")).collect()
+    row, key = line_dedup.bucket_arrays(np.array([x[1:] for x in rows]))
+    assert sorted((x.i, x.k) for x in got) == sorted((rows[i][0], k) for i, k in zip(row.tolist(), key.tolist(), strict=True))
+    assert {line_dedup.kept_blocks(n) for n in range(5, 14)} == {4} and line_dedup.kept_blocks(40) == 1
+
+
+def test_row_keys(spark):
+    rows = [(1, "a"), (1, "b"), (None, "a"), (None, None), (2, ""), (1, "a")]
+    keys = spark.createDataFrame(rows, "doc_id long, text string").select(row_key(F.col("doc_id"), F.col("text")).alias("k")).toArrow().column("k").combine_chunks()
+    assert len(set(keys.to_pylist())) == 5 and all(len(k) == 16 for k in keys.to_pylist())
+    assert key_bits(keys).tolist() == [int.from_bytes(k[:8], "little") for k in keys.to_pylist()]
+    assert key_bits(keys[2:]).tolist() == key_bits(keys).tolist()[2:] and fresh(["Key", "key_"], "key") == "key__"
