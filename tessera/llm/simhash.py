@@ -1,12 +1,14 @@
 """SimHash near-duplicates by multi-index hashing.
 
 A text's fingerprint is the bitwise majority of the XXH64 hashes (seed 42) of its shingles. Two fingerprints link
-if they differ in at most two bits. The fingerprint has two segments of 32 bits. For each segment the Hamming ball of
-radius one is enumerated (33 values, the other segment as it is), which gives 65 table entries a fingerprint.
-Two fingerprints differ in at most two bits exactly if they have an entry in common: both bits in one segment, or
-one bit in each, meet halfway. All that share an entry are within two bits of each other, and they are at most 65,
-so no bucket grows with the corpus; each links to the smallest of them after the complete distance is verified.
-(A table keyed by one segment alone would hold all fingerprints that share it, whose pairs grow as a square.)
+if they differ in at most two bits. A fingerprint has two segments of 32 bits, and there is a table for each: number and
+value of the segment, fingerprint. Of two bits that differ, one segment at least has at most one, so each fingerprint probes,
+in each table, the Hamming ball of radius one around its own segment; of two neighbours the one that lacks the bit probes the
+other, which halves the ball. What the tables hold there is fetched, and the complete distance is verified.
+
+A table's bucket of more than CROWD fingerprints isn't fetched, as its pairs grow as a square. All that are in such a bucket or
+probe it are linked exactly in another way: each enumerates the balls in both segments, the other segment as it is. Two
+fingerprints within two bits have one of these 65 entries in common, at most 65 share one, and each links to the smallest of them.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kernels
 from tessera.llm.components import components
-from tessera.llm.shared import row_key, written
+from tessera.llm.shared import fresh, row_key, written
 
-RADIUS = 2
+RADIUS, CROWD = 2, 64
 
 
 def fingerprints_of(column: pa.Array, width: int = 3) -> np.ndarray:
@@ -63,12 +65,32 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3) -> DataFra
     return docs.select(*rest, text).mapInArrow(run, schema)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(src, dst): edges that connect all distinct fingerprints (column fp) within two bits, through a fingerprint near both."""
-    segments = [f"transform(sequence({lo}, {lo + 31}), i -> fp ^ shiftleft(1L, i))" for lo in (0, 32)]
-    entries = fps.select("fp").distinct().select("fp", F.explode(F.expr(f"concat(array(fp), {', '.join(segments)})")).alias("entry"))
-    met = entries.groupBy("entry").agg(F.min("fp").alias("dst"), F.max("fp").alias("most")).where("dst != most").drop("most")
-    return entries.join(met, "entry").where(f"fp != dst AND bit_count(fp ^ dst) <= {RADIUS}").select(F.col("fp").alias("src"), "dst").distinct()
+_LOW, _HIGH = "fp & 4294967295L", "shiftrightunsigned(fp, 32) | 4294967296L"
+
+
+def _met(fps: DataFrame) -> DataFrame:
+    """(src, dst): edges that connect all fps within two bits of each other, through an entry of both their balls."""
+    bits = F.explode(F.expr("sequence(0, 64)")).alias("i")
+    entries = fps.select("fp", bits).select("fp", F.expr("if(i = 64, fp, fp ^ shiftleft(1L, i))").alias("entry"))
+    least = entries.groupBy("entry").agg(F.min("fp").alias("dst"), F.max("fp").alias("most")).where("dst != most").drop("most")
+    return entries.join(least, "entry").where("fp != dst").select(F.col("fp").alias("src"), "dst").where(f"bit_count(src ^ dst) <= {RADIUS}").distinct()
+
+
+def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(src, dst): edges that connect all distinct fingerprints (column fp) within two bits. None of a bucket's pairs is lost, however large it is."""
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = written(fps.select("fp").distinct().repartition(parts, "fp"), "segments")
+    table = fps.select(F.explode(F.expr(f"array({_LOW}, {_HIGH})")).alias("key"), "fp")
+    crowded = written(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "crowded")
+    probes = fps.select("fp", F.explode(F.expr("sequence(0, 65)")).alias("i"))
+    probes = probes.select("fp", F.expr("i % 33").alias("bit"), F.expr(f"if(i < 33, {_LOW}, {_HIGH})").alias("own"))
+    probes = probes.where("bit = 32 OR (own & shiftleft(1L, bit)) = 0").select("fp", F.expr("if(bit = 32, own, own | shiftleft(1L, bit))").alias("key"))
+    fetched = probes.join(table.join(crowded, "key", "left_anti").toDF("key", "dst"), "key")
+    near = fetched.where("fp != dst").where(f"bit_count(fp ^ dst) <= {RADIUS}").select(F.greatest("fp", "dst").alias("src"), F.least("fp", "dst").alias("dst"))
+    if crowded.isEmpty():
+        return near.distinct()
+    inside = probes.join(crowded, "key").select("fp").distinct()
+    return near.distinct().union(_met(inside.union(table.join(crowded, "key").select("fp")).distinct()))
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, width: int = 3) -> DataFrame:
@@ -81,7 +103,8 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, width: int = 3) -> DataFra
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = grouped.join(named, "root").select("fp", "root", "component_id")
     by_fp = least.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "key", "root")
+    # from a table, so that this join has an exchange on both sides and a group of copies can be split
+    return fps.join(written(by_fp, "named-fingerprints"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "key", "root")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -96,8 +119,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents of which each component keeps one, that with its smallest doc_id, null ids last. Ids may be null or shared by unlike texts."""
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    found = _grouped(docs, doc_id, text).groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key_"))
-    named = docs.withColumn("key_", row_key(F.col(doc_id), F.col(text)))
-    kept = named.join(found, "key_", "left_semi")
-    return kept.dropDuplicates(["key_"]).select(*docs.columns)
+    order, name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"), fresh(docs.columns, "key")
+    found = _grouped(docs, doc_id, text).groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.key").alias(name))
+    kept = docs.withColumn(name, row_key(F.col(doc_id), F.col(text))).join(found, name, "left_semi")
+    return kept.dropDuplicates([name]).select(*docs.columns)
