@@ -7,20 +7,22 @@ sentence how much it answers for. The fitted sentence model then also locates th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels
-from tessera.llm.shared import row_key
+from tessera.llm.shared import row_key, written
 
-#: The model is fitted on this many labelled documents at most, those whose hashed ids come first, and on this many features.
-SAMPLE, FEATURES = 20_000, 4_000
-BITS, LEAST_DOCS, EPOCHS, RELAXED, RATE, PENALTY, FOLDS = 22, 6, 60, 60, 0.3, 8e-4, 5
+#: The classifier is fitted on this many labelled documents at most, those whose hashes come first, in so many parts. Scores cover all documents.
+SAMPLE, PARTS = 20_000, 12
+#: Features are hashed to BITS; those are fitted whose shares in toxic and other documents are APART standard errors apart.
+BITS, APART, EPOCHS, RELAXED, RATE, PENALTY, FOLDS = 22, 3, 60, 60, 0.3, 8e-4, 5
 #: A word counts as itself and by its beginnings of so many bytes, so that inflected forms share what is learnt.
 PREFIXES = (4, 5, 6)
 MEMBER = np.zeros(256, bool)
@@ -61,40 +63,38 @@ class Model:
         return self.bias + np.bincount(once >> BITS, self.weights[once & ((1 << BITS) - 1)], len(begin) - 1)
 
 
-def fit(x: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray, n_features: int) -> tuple[np.ndarray, float]:
-    """(weights, bias): full-batch Adam on the noisy-or likelihood. x: features present in sentences; doc: each sentence's document; y: labels."""
-    n_s, names = len(doc), np.arange(n_features)
-    w, b = np.zeros(n_features), -5.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+def slope(w: np.ndarray, b: float, x: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """(by weight, by bias, loss): the noisy-or likelihood's negative logarithm summed over documents, and its gradient. x: features present in sentences; doc: each sentence's document; y: labels."""
+    z = np.clip(b + np.bincount(sentence, w[x], len(doc)), -50, 50)
+    log_q = -np.bincount(doc, np.logaddexp(0, z), len(y))
+    some = np.maximum(-np.expm1(log_q), 1e-12)
+    g = np.where(y == 0, 1.0, -np.exp(log_q) / some)[doc] / (1 + np.exp(-z))
+    return np.bincount(x, g[sentence], len(w)), float(g.sum()), float(-np.where(y == 0, log_q, np.log(some)).sum())
+
+
+def fit(gradient: Callable[[np.ndarray, float, np.ndarray], tuple[np.ndarray, float, float]], n_docs: int, n_features: int) -> tuple[np.ndarray, float]:
+    """(weights, bias): full-batch Adam with a penalty on absolute weights. gradient(w, b, live) sums slope() over all documents, for the live features."""
+    w, b, live = np.zeros(n_features), -5.0, np.ones(n_features, bool)
+    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for t in range(1, EPOCHS + RELAXED + 1):
         penalty = PENALTY if t <= EPOCHS else PENALTY / 40  # then what was selected is fitted almost freely
-        z = np.clip(b + np.bincount(sentence, w[x], n_s), -50, 50)
-        p = 1 / (1 + np.exp(-z))
-        log_q = -np.bincount(doc, np.logaddexp(0, z), len(y))
-        odds = np.exp(log_q) / np.maximum(-np.expm1(log_q), 1e-12)
-        g = p * np.where(y == 0, 1.0, -odds)[doc] / max(len(y), 1)
-        raw = np.bincount(x, g[sentence], len(w))
+        by_weight, by_bias, _ = gradient(w, b, live)
+        raw = by_weight / n_docs
         # the penalty is on absolute weights: one at zero stays there unless its gradient is larger
-        raw = np.where(w != 0, raw + penalty * np.sign(w), np.sign(raw) * np.maximum(np.abs(raw) - penalty, 0))
-        grad = np.append(raw, g.sum())
+        raw = np.where(live, np.where(w != 0, raw + penalty * np.sign(w), np.sign(raw) * np.maximum(np.abs(raw) - penalty, 0)), 0)
+        grad = np.append(raw, by_bias / n_docs)
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-        new = w - step[:-1]
+        new = w - np.where(live, step[:-1], 0)
         w, b = np.where(w * new < 0, 0.0, new), b - step[-1]
         if t % 10 == 0:  # features far from mattering leave
-            live = (w != 0) | (np.abs(raw) > 0) & (t < EPOCHS)
-            to = np.cumsum(live) - 1
-            use = live[x]
-            x, sentence, names, w = to[x[use]], sentence[use], names[live], w[live]
-            m, v = (np.append(q[:-1][live], q[-1]) for q in (m, v))
-    weights = np.zeros(n_features)
-    weights[names] = w
-    return weights, float(b)
+            live &= (w != 0) | (np.abs(raw) > 0) & (t < EPOCHS)
+    return w, float(b)
 
 
-def screened(rows: DataFrame, limit: int = FEATURES) -> np.ndarray:
-    """The features whose share of toxic documents is furthest from chance, at most `limit`, from the rows given (y_, text), which train() has limited to SAMPLE labelled ones; counts are summed by batch, then by feature."""
+def screened(rows: DataFrame, n: int, n1: int) -> np.ndarray:
+    """The features whose share of toxic documents is APART standard errors or more from that of others, of those in enough documents to outweigh the penalty, from all rows given (y_, text): n, of which n1 are toxic. Counts are summed by batch, then by feature."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = batch.column(0).to_numpy()
@@ -106,30 +106,38 @@ def screened(rows: DataFrame, limit: int = FEATURES) -> np.ndarray:
                 toxic = np.bincount(at, y[lo + (once >> BITS)], len(name))
                 yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.bincount(at, minlength=len(name))), pa.array(toxic.astype(np.int64))], names=["feature", "n", "n1"])
 
-    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y_"), F.lit(0)).alias("n1")).first()
-    n, n1 = total.n, total.n1
-    if not 0 < n1 < n:
-        return np.zeros(0, np.int64)
-    counts = rows.mapInArrow(counted, "feature long, n long, n1 long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).where(F.col("n") >= LEAST_DOCS)
+    counts = rows.select("y_", "text").mapInArrow(counted, "feature long, n long, n1 long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).where(F.col("n") > PENALTY * n)
     p1, p0, p = F.col("n1") / n1, (F.col("n") - F.col("n1")) / (n - n1), F.col("n") / n
     z = F.abs(p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / (n - n1)))
-    return np.sort(counts.select("feature", z.alias("z")).where("z >= 3").orderBy(F.desc("z"), "feature").limit(limit).toArrow().column("feature").to_numpy())
+    return np.sort(counts.where(z >= APART).select("feature").toArrow().column("feature").to_numpy())
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` labelled documents outside the held-out fold. Conflicting labels of an id: toxic wins; null labels are none. No labels: every score is near zero."""
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample: int) -> DataFrame:
+    """y_, text of at most `sample` labelled documents outside the held-out fold, those whose hashes come first; repeats of id and text are one document. A written table of PARTS parts."""
     known = labels.select(F.col(doc_id).alias("id_"), F.col(label).cast("int").alias("y_")).where(F.col("id_").isNotNull() & F.col("y_").isNotNull() & ~held_out(F.col("id_")))
     known = known.groupBy("id_").agg(F.max("y_").alias("y_")).orderBy(F.xxhash64("id_"), "id_").limit(sample)
-    rows = docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("text")).join(F.broadcast(known), "id_").select("y_", "text")
+    rows = docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h_")).join(F.broadcast(known), "id_")
+    picked = rows.select("id_", "h_").distinct().orderBy(F.xxhash64("id_", "h_"), "id_", "h_").limit(sample)
+    once = rows.join(F.broadcast(picked), ["id_", "h_"]).groupBy("id_", "h_").agg(F.max("y_").alias("y_"), F.max("text").alias("text"))
+    return written(once.select("y_", "text").repartition(PARTS), "labelled")
 
-    names = screened(rows)
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
+    """Fits on at most `sample` labelled documents outside the held-out fold, each whole. Conflicting labels of an id: toxic wins; null labels are none. No labels: every score is near zero.
+
+    The gradient is summed over the parts of the sample's table: texts and sentences stay on the executors, and a pass
+    brings the driver PARTS vectors of the live features, in the order of the parts.
+    """
+    rows = labelled(docs, labels, doc_id, text, label, sample)
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("y_") > 0).cast("int")), F.lit(0)).alias("n1")).first()
+    rows = rows.withColumn("y_", (F.col("y_") > 0).cast("int"))
+    names = screened(rows, total.n, total.n1) if 0 < total.n1 < total.n else np.zeros(0, np.int64)
     if not len(names):
         return Model(np.zeros(1 << BITS, np.float32), -10.0)
-    shared = docs.sparkSession.sparkContext.broadcast(names)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = np.full(1 << BITS, -1, np.int32)
-        to[shared.value] = np.arange(len(shared.value))
+        to[names] = np.arange(len(names))
         for batch in batches:
             for lo, hi, data, off in kernels.text_blocks(batch.column(1)):
                 feature, begin, _, _, first = sentences(data, off)
@@ -142,13 +150,34 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(v, pa.int32())) for v in (local, once & ((1 << BITS) - 1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first), pa.int32()), *lists], names=["y_", "n", "sentence", "feature"])
 
-    got = rows.mapInArrow(featured, "y_ int, n int, sentence array<int>, feature array<int>").toArrow().combine_chunks()
-    y, n = ((got.column(c).to_numpy()).astype(np.int64) for c in ("y_", "n"))
-    lists = got.column("feature").combine_chunks()
-    x = lists.flatten().to_numpy()
-    sentence = got.column("sentence").combine_chunks().flatten().to_numpy() + np.repeat((np.cumsum(n) - n).astype(np.int32), lists.value_lengths().to_numpy())
-    del got, lists
-    w, b = fit(x, sentence, np.repeat(np.arange(len(y)), n), (y > 0).astype(float), len(names))
+    bags = written(rows.select("y_", "text").mapInArrow(featured, "y_ int, n int, sentence array<int>, feature array<int>"), "bags")
+
+    def gradient(w: np.ndarray, b: float, live: np.ndarray) -> tuple[np.ndarray, float, float]:
+        at, asked, n = np.flatnonzero(w).astype(np.int32), np.packbits(live), len(w)
+        values = w[at]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, sums = np.zeros(n), [np.zeros(n), 0.0, 0.0]
+            own[at] = values
+            for batch in batches:
+                y, size = (batch.column(i).to_numpy().astype(np.int64) for i in range(2))
+                doc = np.repeat(np.arange(len(y)), size)
+                lists = batch.column(2)
+                sentence = lists.flatten().to_numpy() + np.repeat(np.cumsum(size) - size, lists.value_lengths().to_numpy())
+                sums = [s + v for s, v in zip(sums, slope(own, b, batch.column(3).flatten().to_numpy(), sentence, doc, y), strict=True)]
+            told = np.flatnonzero(np.unpackbits(asked, count=n) & (sums[0] != 0)).astype(np.int32)
+            kind = pa.list_(pa.int32()), pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([told], kind[0]), pa.array([sums[0][told]], kind[1]), pa.array([sums[1]]), pa.array([sums[2]])], names=["part", "at", "by_weight", "by_bias", "loss"])
+
+        found = sorted(bags.mapInArrow(run, "part int, at array<int>, by_weight array<double>, by_bias double, loss double").toArrow().to_batches(), key=lambda r: r.column(0)[0].as_py())
+        by_weight, by_bias, loss = np.zeros(n), 0.0, 0.0
+        for batch in found:
+            for i in range(batch.num_rows):
+                by_weight[batch.column(1)[i].values.to_numpy()] += batch.column(2)[i].values.to_numpy()
+            by_bias, loss = by_bias + sum(batch.column(3).to_pylist()), loss + sum(batch.column(4).to_pylist())
+        return by_weight, by_bias, loss
+
+    w, b = fit(gradient, total.n, len(names))
     weights = np.zeros(1 << BITS, np.float32)
     weights[names] = w
     return Model(weights, b)

@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -203,6 +204,37 @@ def test_toxicity_learns_sentences_from_documents(spark, docs, nothing):
     assert toxicity.score(docs, toxicity.train(docs, y.limit(0))).where("score >= 0.5").count() == 0
 
 
+def test_noisy_or_gradient():
+    """The slope against brute noisy-or and finite differences."""
+    rng = np.random.default_rng(3)
+    bags = [[[0, 2], [1]], [[3], [], [0, 1, 3]], [[]], [[2, 3]], []]
+    y, w, b = np.array([1, 0, 1, 0, 0]), rng.normal(size=4), -0.7
+    x, sentence = np.array([f for d in bags for s in d for f in s]), np.repeat(np.arange(7), [len(s) for d in bags for s in d])
+    doc = np.repeat(np.arange(5), [len(d) for d in bags])
+
+    def brute(w, b):
+        loss = 0.0
+        for d, label in zip(bags, y, strict=True):
+            q = math.prod(1 - 1 / (1 + math.exp(-(b + sum(w[f] for f in s)))) for s in d)
+            loss -= math.log(1 - q if label else q)
+        return loss
+
+    by_weight, by_bias, loss = toxicity.slope(w, b, x, sentence, doc, y)
+    step = 1e-6
+    assert loss == pytest.approx(brute(w, b))
+    assert by_bias == pytest.approx((brute(w, b + step) - brute(w, b - step)) / (2 * step), rel=1e-4)
+    for k in range(4):
+        e = np.eye(4)[k] * step
+        assert by_weight[k] == pytest.approx((brute(w + e, b) - brute(w - e, b)) / (2 * step), rel=1e-4)
+
+
+def test_toxicity_sample_is_bounded_by_documents(spark):
+    d = spark.createDataFrame([(1, f"text {i} vile") for i in range(30)] + [(i, "plain words") for i in range(2, 60)] * 3, "doc_id long, text string")
+    y = spark.createDataFrame([(i, int(i == 1)) for i in range(60)], "doc_id long, toxic int")
+    rows = toxicity.labelled(d, y, "doc_id", "text", "toxic", 20)
+    assert rows.count() == 20 and toxicity.labelled(d, y, "doc_id", "text", "toxic", 1000).count() == 30 * (zlib.crc32(b"1") % 5 != 0) + sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(2, 60))
+
+
 def brute_quality(t):
     w = SPLIT.findall(t)
     seen, dup = set(), 0
@@ -269,3 +301,26 @@ def test_longest_match(spark):
     d = spark.createDataFrame([(1, "zz " + " ".join(f"w{i}" for i in range(5, 30)) + " yy w31 w32"), (2, text)], "doc_id long, text string")
     got = {r.doc_id: r for r in decontaminate.matches(d, spark.createDataFrame([("i", text)], "item_id string, text string")).collect()}
     assert (got[1].longest, got[1].longest_at, got[1].longest_item) == (25, 1, "i") and got[2].longest == 40
+
+
+def test_decontamination_of_repeated_words(spark):
+    """Equal places stay a range: the work follows the words."""
+    items = decontaminate.prepared(["i"], [" ".join(["a b"] * 100)], 10)
+    data = np.frombuffer(("a b " * 30_000).encode(), np.uint8)
+    began = time.time()
+    x, where, end, _ = decontaminate.ids_of(items, data, np.array([0, len(data)]))
+    place, _, _, once, longest, _ = decontaminate.shard_matches(items, x, end)
+    assert len(place) == len(once) == 59_991 and longest.max() == 200 and time.time() - began < 3
+
+
+def test_decontamination_of_long_texts_and_odd_columns(spark, docs):
+    passage = " ".join(f"p{i}" for i in range(12))
+    long = " ".join(f"w{i % 50_000}" for i in range(700_000))
+    rows = [(1, f"{long} {passage} {long}", "u"), (2, long, "u"), (3, None, "u"), (4, passage, "u"), (4, passage, "u")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, key_ string")
+    bench = spark.createDataFrame([("x", passage), ("y", "p3 p4"), ("z", passage.replace("p5", "q5"))], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.matches(d, bench).collect()}
+    assert (got[1].n_hit, got[1].longest, got[1].longest_at, got[1].items, got[2].n_hit) == (12, 12, 700_000, ["x", "y"], 0)
+    for block in (1 << 20, 10):
+        left = decontaminate.clean(d, bench, block_bytes=block).collect()
+        assert sorted((r.doc_id, r.key_) for r in left) == [(2, "u"), (3, "u")]
