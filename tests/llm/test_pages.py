@@ -2,6 +2,9 @@
 
 import gzip
 import hashlib
+import math
+
+import pytest
 
 from tessera.llm import html_extract, warc
 
@@ -25,6 +28,47 @@ def test_extraction_of_odd_pages(spark):
     assert html_extract.extract(d.limit(0)).count() == 0
 
 
+LONG = ["The first paragraph of the story has enough words to be told from a menu, as it goes on and on.", "The second one follows it, and says a little more about what the first one left unsaid, with a comma.", "A third closes the story with as many words as the two before it had, give or take a few of them."]
+MENU = '<div><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li><li><a href="/m">More</a></li></ul></div>'
+
+
+def test_extraction_without_articles():
+    """Clusters choose the lines and the region where no element says what it is."""
+    divs = "".join(f"<div>{x}</div>" for x in LONG)
+    for page in (
+        f"<body>{MENU}<div>{divs}</div><div>About us</div><div>Terms</div></body>",
+        f"<body>{MENU}{divs}<div>About us</div><div>Terms</div></body>",
+        f"<body><div class='x1'>{MENU}<div><div>{divs}</div><div><a href='/'>Next story</a></div></div></div><div><span>Contact</span></div></body>",
+        f"<body><table><tr><td>{MENU}</td><td>{divs}</td></tr></table></body>",
+    ):
+        assert html_extract.main_text(page) == "\n\n".join(LONG), page
+    story = f"<h2>A title</h2><p>{LONG[0]}</p><p>Short.</p><ul><li>one</li><li>two</li></ul><p>{LONG[1]}</p><p>Bye.</p>"
+    assert html_extract.main_text(f"<body>{MENU}<section>{story}</section><div>Terms</div></body>") == "\n\n".join(("A title", LONG[0], "Short.", "one", "two", LONG[1], "Bye."))
+
+
+def test_extraction_of_several_articles_and_odd_names():
+    two = f"<article><p>{LONG[0]} {LONG[1]} {LONG[2]}</p></article><article><p>{LONG[1]}</p></article>"
+    assert html_extract.main_text(two) == " ".join(LONG) + "\n\n" + LONG[1]
+    page = f"<body><div class='tags-and-notes'><p>{LONG[0]}</p></div><p class='ads-free'>{LONG[1]}</p><div class='ad-box'>{LONG[2]}</div></body>"
+    assert html_extract.main_text(page) == LONG[0] + "\n\n" + LONG[1]
+    assert html_extract.main_text(f"<body><div class='content comment'><p>{LONG[0]}</p></div></body>") == LONG[0]
+    outside = f"<body><article><a href='/'>Teaser</a></article><div>{''.join(f'<p>{x}</p>' for x in LONG)}</div></body>"
+    assert html_extract.main_text(outside) == "\n\n".join(LONG)
+
+
+def test_clusters_of_ratios():
+    page = html_extract.lines_of(f"<body>{MENU}{''.join(f'<p>{x}</p>' for x in LONG)}</body>")
+    lines, parents = page.lines, page.parents
+    ratio = html_extract.ratios(lines)
+    smooth = html_extract.smoothed(ratio)
+    weights = [math.exp(-0.5 * k * k) for k in range(-3, 4)]
+    raw = [max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines]
+    want = [math.log1p(sum(w * raw[min(max(i + k, 0), len(raw) - 1)] for w, k in zip(weights, range(-3, 4), strict=True)) / sum(weights)) for i in range(len(raw))]
+    assert smooth.tolist() == pytest.approx(want) and raw[:4] == [0] * 4
+    assert (smooth >= html_extract.threshold(smooth)).tolist()[-3:] == [True] * 3 and not (smooth >= html_extract.threshold(smooth))[:3].any()
+    assert all(p < n for n, p in enumerate(parents) if n)
+
+
 def test_warc_round_trip(spark):
     big = "é" * 700
     rows = [(1, "http://a/1", big, 0), (5, None, big, 0), (3, "http://a/3\r\nX: y", big, 0), (2, "u", "small", 0), (4, "u", "small", 0), (6, "u", None, 0), (7, "u", "x" * 2_000_000, 0), (7, "u", "x" * 2_000_000, 0), (None, "u", big, 0)]
