@@ -3,7 +3,7 @@
 Lines are normalised (A-Z lower-cased, digits to 0, white space collapsed) and equal ones become one node. Lines of fewer
 than MIN_WORDS words keep their digits and only meet their equals.
 
-A longer line's fingerprint is a row of SimHash blocks, each voted by some of its words. Once the words are dealt to BLOCKS
+A longer line's fingerprint is a row of SimHash blocks, each voted by some of its words of letters and digits (separators made unlike lines alike). Once the words are dealt to BLOCKS
 blocks by their place, a fifth of the line to each, and once to CLASSES blocks by their hash. A word that is replaced, or that
 has a letter more or less, touches one block of the first kind; a word that comes in or drops out touches one of the second,
 where it moves no other word. So by the pigeonhole principle lines agree on some choice of blocks: of the places, on as many blocks as
@@ -40,6 +40,8 @@ _COUNT = (1 << 28) - 1
 
 _FOLD = kernels.LOWER.copy()
 _FOLD[ord("0") : ord("9") + 1] = ord("0")
+_DIGIT, _FEATURE = np.zeros(256, bool), np.zeros(256, bool)
+_DIGIT[ord("0") : ord("9") + 1] = _FEATURE[ord("0") : ord("9") + 1] = _FEATURE[ord("a") : ord("z") + 1] = _FEATURE[128:] = True
 _POWERS = kernels.mix(np.arange(1, 1 << 16, dtype=np.uint64)) | np.uint64(1)
 _LOWER_TEXT = str.maketrans({chr(c): chr(kernels.LOWER[c]) for c in range(128)})
 _FOLD_TEXT = str.maketrans({chr(c): chr(_FOLD[c]) for c in range(128)})
@@ -69,8 +71,15 @@ def lines_of(folded: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.
     return starts, ends, begin, text, line[begin[:-1]] - breaks[off[text]]
 
 
+def _any(member: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a word has a byte of the kind."""
+    seen = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(member[data], out=seen[1:])
+    return seen[ends] > seen[starts]
+
+
 def nodes_of(data: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each line with words: its text's number in the block, its number in the text, its node, a second hash of it, and its fingerprint's PARTS (zeros for short lines)."""
+    """For each line with words: its text's number in the block, its number in the text, its node, a second hash of it, and its fingerprint's PARTS (zeros for lines with fewer than min_words words of letters or digits)."""
     low = kernels.LOWER[data]
     starts, ends, begin, text, number = lines_of(low, data, off)
     size = np.diff(begin)
@@ -78,34 +87,43 @@ def nodes_of(data: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndar
         none = np.zeros(0, np.int64)
         return none, none, none, none, np.zeros((0, len(PARTS)), np.int64)
     h = kernels.span_hash(low, starts, ends)
-    long = size >= min_words
-    numerals = np.flatnonzero(np.repeat(long, size) & _digits(data, starts, ends))
+    numerals = np.flatnonzero(np.repeat(size >= min_words, size) & _any(_DIGIT, data, starts, ends))
     h[numerals] = kernels.span_hash(_FOLD[low], starts[numerals], ends[numerals])
     place = np.arange(len(h)) - np.repeat(begin[:-1], size)
     power = _POWERS[place % len(_POWERS)]
     lap = (place // len(_POWERS)).astype(np.uint64)
     node = kernels.mix(np.add.reduceat(h * power + lap, begin[:-1]) + size.astype(np.uint64))
     check = kernels.mix(np.add.reduceat((h ^ (h >> np.uint64(31))) * (power + np.uint64(2)) + lap, begin[:-1]))
-    return text, number, node.view(np.int64), check.view(np.int64), fingerprints(h, begin, long)
+    told = np.flatnonzero(_any(_FEATURE, low, starts, ends))
+    first = np.searchsorted(told, begin)
+    return text, number, node.view(np.int64), check.view(np.int64), fingerprints(h[told], first, np.diff(first) >= min_words)
 
 
-def _digits(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Whether a word has a digit."""
-    seen = np.concatenate([[0], np.cumsum((data >= ord("0")) & (data <= ord("9")), dtype=np.int32)])
-    return seen[ends] > seen[starts]
+def block_votes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The SimHash of each block of words. One that is no more than the hash of one of three or more words, which is then most of them, is that of their sum."""
+    found = kernels.votes(h, first)
+    size = np.diff(first)
+    ruled = np.zeros(len(size) + 1, np.int64)
+    same = np.flatnonzero((h & np.uint64(0xFFFFFFFF)) == np.repeat(found, size))
+    np.add.at(ruled, np.searchsorted(first, same, "right") - 1, 1)
+    one = np.flatnonzero((ruled[:-1] > 0) & (size > 2))
+    if len(one):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kernels.mix(h), dtype=np.uint64)])
+        found[one] = kernels.mix(sums[first[1:][one]] - sums[first[:-1][one]]) & np.uint64(0xFFFFFFFF)
+    return found
 
 
 def fingerprints(h: np.ndarray, begin: np.ndarray, long: np.ndarray) -> np.ndarray:
-    """The PARTS of lines whose words' hashes are h[begin[i]:begin[i + 1]]; zeros for those that aren't long."""
+    """The PARTS of lines whose words' of letters or digits have the hashes h[begin[i]:begin[i + 1]]; zeros for those that aren't long."""
     size = np.diff(begin)
     cuts = begin[:-1, None] + size[:, None] * np.arange(BLOCKS) // BLOCKS
-    blocks = list(kernels.votes(h, np.append(cuts.ravel(), begin[-1])).reshape(-1, BLOCKS).T)
+    blocks = list(block_votes(h, np.append(cuts.ravel(), begin[-1])).reshape(-1, BLOCKS).T)
     of, allowed = (h >> np.uint64(58)) % np.uint64(CLASSES), np.zeros(len(size), np.uint64)
     for c in range(CLASSES):
         at = np.flatnonzero(of == c)
         first = np.searchsorted(at, begin)
         held = np.diff(first)
-        blocks.append((kernels.votes(h[at], first) + held.astype(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF))
+        blocks.append((block_votes(h[at], first) + held.astype(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF))
         rest = size - held
         allowed |= ((rest >= 3) & (2 * rest >= size)).astype(np.uint64) << np.uint64(28 + c)
     blocks.append(allowed | np.minimum(size, _COUNT).astype(np.uint64))
@@ -211,9 +229,12 @@ def _passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def edits_within(a: str, b: str, limit: int) -> bool:
-    """Whether the edit distance is at most limit: common ends cut off, then Myers's bit-parallel columns on whole integers."""
+    """Whether the edit distance is at most limit: common ends cut off, then Myers's bit-parallel columns on whole integers, unless words that differ in their places settle it."""
     if abs(len(a) - len(b)) > limit:
         return False
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= limit:
+        return True
 
     def common(n: int, same) -> int:
         lo, hi = 0, n
@@ -229,7 +250,7 @@ def edits_within(a: str, b: str, limit: int) -> bool:
     if len(a) > len(b):
         a, b = b, a
     m = len(a)
-    if m == 0:
+    if len(b) <= limit or m == 0:
         return len(b) <= limit
     full, top, where = (1 << m) - 1, 1 << (m - 1), {}
     for i, c in enumerate(a):
