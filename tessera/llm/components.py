@@ -12,7 +12,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     """(node, root) for every node of an edge between two different nodes; root is the component's smallest node.
 
     Each step hangs nodes on the smallest node near them, by a grouped minimum (combined before the shuffle)
-    and a join, so a node with very many neighbours is split like any skewed join. Every step's edges are a table
+    and a join. The minimum is a table of its own before the join, so that the join has an exchange on both sides and a node
+    with very many neighbours is split like any skewed key. Every step's edges are a table
     in the shared folder; only their count and a checksum reach the driver. Null ends and loops are no edges.
     """
     a, b = F.col(src), F.col(dst)
@@ -24,8 +25,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         seen = (state.n, state.x)
         both = edges.union(edges.select("v", "u")).toDF("u", "w")
-        low = both.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("w > u").join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = written(both.where("w > u").join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.union(low.select("u", "m")).distinct(), "edges")
+        edges = written(small.union(low).distinct(), "edges")

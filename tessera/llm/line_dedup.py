@@ -28,12 +28,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kernels
 from tessera.llm.components import components
+from tessera.llm.filters import bit_filter, passes
 from tessera.llm.shared import fresh, key_bits, row_key, written
 
 MIN_WORDS, SIMILARITY = 5, 0.8
 BLOCKS, CLASSES, KEPT = 5, 4, 8
-#: Words of the filters that tell a pass which lines or buckets are wanted: fixed, 8 MB. A full filter lets too much through, never too little.
-FILTER_WORDS = 1 << 20
 #: Columns of a fingerprint: two blocks of 32 bits each; the last one's lower half has the choices of classes allowed and the number of words.
 PARTS = [f"f{i}" for i in range(5)]
 _COUNT = (1 << 28) - 1
@@ -212,22 +211,6 @@ def bucket_arrays(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys).view(np.int64)
 
 
-def _filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A filter of fixed size with a bit for each key, combined before the shuffle; at most FILTER_WORDS rows reach the driver."""
-    h = F.col(column)
-    mixed = keys.select((h.bitwiseXOR(F.shiftrightunsigned(h, 29)).bitwiseXOR(F.shiftrightunsigned(h, 43))).alias("h"))
-    rows = mixed.selectExpr(f"h & {FILTER_WORDS - 1}L AS w", "shiftleft(1L, cast(shiftrightunsigned(h, 20) & 63 AS int)) AS m").groupBy("w").agg(F.expr("bit_or(m)").alias("m")).toArrow()
-    table = np.zeros(FILTER_WORDS, np.uint64)
-    table[rows.column("w").to_numpy()] = rows.column("m").to_numpy().view(np.uint64)
-    return table
-
-
-def _passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    h = keys.view(np.uint64)
-    h = h ^ (h >> np.uint64(29)) ^ (h >> np.uint64(43))
-    return (table[h & np.uint64(FILTER_WORDS - 1)] >> ((h >> np.uint64(20)) & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def edits_within(a: str, b: str, limit: int) -> bool:
     """Whether the edit distance is at most limit: common ends cut off, then Myers's bit-parallel columns on whole integers, unless words that differ in their places settle it."""
     if abs(len(a) - len(b)) > limit:
@@ -294,15 +277,15 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(tag_of(key, batch.column(1).to_numpy()))], names=["row", "tag"])
 
     asked = wanted.select("key", "line").mapInArrow(hashed, "row long, tag long")
-    rows, tags = (spark.sparkContext.broadcast(_filter(asked, c)) for c in ("row", "tag"))
+    rows, tags = (spark.sparkContext.broadcast(bit_filter(asked, c)) for c in ("row", "tag"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(_passes(rows.value, key_bits(batch.column(0)).view(np.int64))))
+            batch = batch.filter(pa.array(passes(rows.value, key_bits(batch.column(0)).view(np.int64))))
             keys = key_bits(batch.column(0))
             for lo, _, data, off in kernels.text_blocks(batch.column(1)):
                 _, _, _, text, line = lines_of(data, data, off)
-                hit = np.flatnonzero(_passes(tags.value, tag_of(keys[text + lo], line)))
+                hit = np.flatnonzero(passes(tags.value, tag_of(keys[text + lo], line)))
                 text, line = text[hit], line[hit]
                 out, now, lines = [], -1, []
                 for i, k in zip(text.tolist(), line.tolist(), strict=True):
@@ -321,13 +304,13 @@ def groups(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, mi
     table = fuzzy.select("node", F.explode(F.expr(bucket_keys())).alias("bucket"))
     shared = written(table.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low != high"), "shared-buckets")
     large = shared.where("n > 2").select("bucket", "low", "high")
-    mask = nodes.sparkSession.sparkContext.broadcast(_filter(large, "bucket"))
+    mask = nodes.sparkSession.sparkContext.broadcast(bit_filter(large, "bucket"))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column(0).to_numpy()
             row, key = bucket_arrays(np.stack([c.to_numpy() for c in batch.columns[1:]], 1))
-            hit = _passes(mask.value, key)
+            hit = passes(mask.value, key)
             yield pa.RecordBatch.from_arrays([pa.array(node[row[hit]]), pa.array(key[hit])], names=["node", "bucket"])
 
     members = written(fuzzy.select("node", *PARTS).mapInArrow(entries, "node long, bucket long").join(large, "bucket"), "buckets")
@@ -338,13 +321,14 @@ def groups(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, mi
     wanted = written(nodes.select("node", "key", "line").join(asked, "node"), "wanted")
     texts = written(_texts(docs, wanted, min_words), "lines")
     links = written(_similar(pairs, texts, similarity), "links")
-    roots = components(links)
+    roots = written(components(links), "roots")
     crowd = members.select("bucket", "node", "low").join(roots, "node", "left").select("bucket", "node", "low", F.coalesce("root", "node").alias("root"))
     lows = roots.select(F.col("node").alias("low"), F.col("root").alias("low_root"))
     crowd = written(crowd.join(lows, "low", "left").withColumn("apart", F.expr("root != coalesce(low_root, low)")), "crowd")
     apart = crowd.where("apart").select("bucket", F.col("node").alias("end"), F.col("root").alias("end_root"))
     more = crowd.join(apart, "bucket").where("root != end_root").select(*pair).distinct().join(pairs, ["a", "b"], "left_anti")
-    return components(links.union(_similar(more, texts, similarity)))
+    more = written(_similar(more, texts, similarity), "links")
+    return roots if more.isEmpty() else components(roots.toDF("src", "dst").union(more))
 
 
 def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
