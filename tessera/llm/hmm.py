@@ -2,14 +2,17 @@
 
 Corpus counts of every word are exact: summed by partition, then by word, in a table. The model's symbols are the OWN most
 frequent words, one each, and BUCKETS classes that share the other words by hash; a word of a class has a
-probability in it from its count. Baum-Welch starts from the counts of all words and runs over all training texts, each
-whole, until their likelihood settles: each task sums its expected counts, and the sums of a step are as many numbers as the model has. A text's
+probability in it from its count. The training texts, each whole, are written once as symbols, in SLICES by a hash of the text.
+Baum-Welch starts from the counts of all words and goes over the slices in turn: a step replaces one slice's expected counts, summed over its
+tasks, in the sum of all slices' and fits the model to that sum (incremental EM), so that a sweep over the corpus fits the model
+SLICES times. Sweeps go on until the likelihood of all training texts settles. What a step brings to the driver are as many numbers as the model has. A text's
 likelihood is the exact, scaled forward recursion over all its tokens. The counts of the most frequent words, FAST at most, go
 along with the model (a fixed size); those of all others are looked up by a join on the word.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,13 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels
-from tessera.llm.shared import written
+from tessera.llm.shared import shared_folder, written
 
 STATES, OWN, BUCKETS, FAST = 6, 4096, 512, 1 << 16
-#: Baum-Welch ends after CALM steps in a row that raise the training texts' log-likelihood by less than this share of it.
-SETTLED, CALM = 1e-4, 2
+#: Baum-Welch ends after a sweep over all SLICES that raises the training texts' log-likelihood by less than this share of it.
+SLICES, SETTLED = 8, 5e-4
 #: Tokens that are worked on at once; a longer text is worked on alone.
-POOL = 1 << 20
+POOL = 3 << 19
 FOLDS, OUT = 7, 2
 HELD_ENTRIES = 1 << 20
 
@@ -237,12 +240,32 @@ def first_model(lex: Lexicon) -> Model:
     return Model.from_counts(np.ones(STATES), np.eye(STATES) * 200, lex.seen[:, None] * spread)
 
 
-def pooled(lex: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def symbol_table(docs: DataFrame, lex: Lexicon, text: str = "text") -> list[DataFrame]:
+    """symbols (16-bit numbers, END last) of each text, as a table for each slice."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(lex)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in kernels.text_blocks(batch.column(1)):
+                flat, begin, _, _ = sequences(shared.value, *tokens(data, off))
+                edges = pa.array(begin * 2, pa.int32()).buffers()[1]
+                symbols = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, edges, pa.py_buffer(flat.astype("<i2").tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), symbols], names=["slice", "symbols"])
+
+    slice_of = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(SLICES)).cast("int")
+    table = docs.select(slice_of.alias("slice"), F.col(text).alias("text")).mapInArrow(run, "slice int, symbols binary")
+    path = f"{shared_folder(spark)}/symbols-{uuid.uuid4().hex}"
+    table.write.partitionBy("slice").parquet(path)
+    return [spark.read.schema("symbols binary, slice int").parquet(path).where(F.col("slice") == i).select("symbols") for i in range(SLICES)]
+
+
+def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(symbols, each text's first and the end) of about POOL tokens at a time."""
     flats, begins, at = [], [], 0
     for batch in batches:
-        for _, _, data, off in kernels.text_blocks(batch.column(0)):
-            flat, begin, _, _ = sequences(lex, *tokens(data, off))
+        for _, _, data, off in kernels.text_blocks(batch.column(0), POOL // 4):
+            flat, begin = data.view("<i2"), off // 2
             if flats and at + len(flat) > POOL:
                 yield np.concatenate(flats), np.append(np.concatenate(begins), at)
                 flats, begins, at = [], [], 0
@@ -253,35 +276,45 @@ def pooled(lex: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np
         yield np.concatenate(flats), np.append(np.concatenate(begins), at)
 
 
-def train(docs: DataFrame, lex: Lexicon, text: str = "text") -> Model:
-    """Baum-Welch over all the texts until it settles; expected counts are summed in each task, then by cell of the model."""
-    model, spark = first_model(lex), docs.sparkSession
+def counted(symbols: DataFrame, model: Model) -> np.ndarray:
+    """The expected counts of all the texts, a row for each cell of the model: start, move, emit, and their log-likelihood."""
+    shared = symbols.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for flat, begin in pooled(batches):
+            found = summed(shared.value, flat, begin)
+            total = found if total is None else tuple(x + y for x, y in zip(total, found, strict=True))
+        if total is not None:
+            cells = np.vstack([total[0][None], total[1], total[2][:SYMBOLS], np.full((1, STATES), total[3])])
+            some = np.flatnonzero(cells.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(cells[some, s]) for s in range(STATES))], names=["cell", *(f"s{s}" for s in range(STATES))])
+
+    sums = symbols.mapInArrow(run, "cell long, " + ", ".join(f"s{s} double" for s in range(STATES))).groupBy("cell").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES))).toArrow()
+    shared.destroy()
+    cells = np.zeros((2 + STATES + SYMBOLS, STATES))
+    cells[sums.column("cell").to_numpy()] = np.column_stack([sums.column(f"s{s}").to_numpy() for s in range(STATES)])
+    return cells
+
+
+def train(docs: DataFrame, lex: Lexicon, text: str = "text", sweeps: list[float] | None = None) -> Model:
+    """Baum-Welch over all the texts, slice by slice, until a sweep hardly raises their log-likelihood (appended to sweeps)."""
+    model = first_model(lex)
     if not lex.texts:
         return model
-    shared_lex = spark.sparkContext.broadcast(lex)
-    last, calm = -np.inf, 0
-    while calm < CALM:
-        shared = spark.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = None
-            for flat, begin in pooled(shared_lex.value, batches):
-                found = summed(shared.value, flat, begin)
-                total = found if total is None else tuple(x + y for x, y in zip(total, found, strict=True))
-            if total is not None:
-                cells = np.vstack([total[0][None], total[1], total[2][:SYMBOLS], np.full((1, STATES), total[3])])
-                some = np.flatnonzero(cells.any(1))
-                yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(cells[some, s]) for s in range(STATES))], names=["cell", *(f"s{s}" for s in range(STATES))])
-
-        sums = docs.select(text).mapInArrow(run, "cell long, " + ", ".join(f"s{s} double" for s in range(STATES))).groupBy("cell").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES))).toArrow()
-        cells = np.zeros((2 + STATES + SYMBOLS, STATES))
-        cells[sums.column("cell").to_numpy()] = np.column_stack([sums.column(f"s{s}").to_numpy() for s in range(STATES)])
-        model = Model.from_counts(cells[0], cells[1 : 1 + STATES], cells[1 + STATES : -1])
-        likely = float(cells[-1, 0])
-        calm = calm + 1 if likely - last < SETTLED * abs(likely) else 0
+    slices = symbol_table(docs, lex, text)
+    held, last = [np.zeros((2 + STATES + SYMBOLS, STATES))] * SLICES, -np.inf
+    while True:
+        for i, part in enumerate(slices):
+            held[i] = counted(part, model)
+            total = np.sum(held, 0)
+            model = Model.from_counts(total[0], total[1 : 1 + STATES], total[1 + STATES : -1])
+        likely = float(sum(cells[-1, 0] for cells in held))
+        if sweeps is not None:
+            sweeps.append(likely)
+        if likely - last < SETTLED * abs(likely):
+            return model
         last = likely
-        shared.unpersist()
-    return model
 
 
 _PART = "row long, n_tokens long, known long, base double, part double, rare array<struct<word:bigint,times:int>>"
