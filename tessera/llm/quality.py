@@ -1,15 +1,17 @@
 """Quality rules: fixed floors, and robust multivariate outliers by minimum covariance determinant.
 
 Each document has a vector of transformed statistics. For every language and source the minimum-covariance-determinant
-estimate starts from medians and median deviations and is improved by concentration steps: distances to the current
-estimate, the share H of nearest rows, their mean and covariance. Every step is one approximate quantile and one set of
-sums for each group, both combined before the shuffle; estimates are a row for each group. A document whose squared
-Mahalanobis distance passes the cutoff is rejected.
+estimate has three starts (medians with median deviations, means with covariances, medians with one scale for all) and is
+improved by concentration steps: distances to the current estimate, the share H of nearest rows, their mean and covariance.
+A step is one pass: rows are summed by group, start and class of distance (a sixteenth of a logarithm wide), combined before
+the shuffle, and the nearest classes that hold the share make the next estimate. Steps end when no determinant changes, and of a group's
+starts that with the smallest determinant stays. A document is rejected if the logarithm of its squared Mahalanobis distance
+passes the group's median by SIGMAS robust standard deviations; these come from the group's median and third quartile, since
+distances of ordinary documents have far heavier tails than a chi-square variable.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,58 +20,94 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import kernels
 from tessera.llm.shared import written
 
 MIN_WORDS, MAX_REPEATED = 50, 0.5
-#: The share of a group's rows that the estimate rests on, the steps, and the fewest rows that get an estimate of their own.
-H, STEPS, MIN_GROUP = 0.75, 5, 60
-#: Squared distances over this (in units of a chi-square variable of DIMS degrees) are outliers.
-CUTOFF = 150.0
+#: The share of a group's rows that the estimate rests on, and the fewest rows that get an estimate of their own.
+H, MIN_GROUP = 0.75, 60
+#: Steps end when no logarithm of a determinant changes by more, or after so many steps.
+SETTLED, MOST_STEPS = 0.01, 20
+#: The cutoff, in robust standard deviations of the logarithm of squared distances, and the third quartile of a normal variable.
+SIGMAS, QUARTILE = 3.0, 0.6745
+CLASSES = 16
 STATS = ["word_length", "symbols", "capitals", "marks", "repeated", "dup_lines"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 DIMS = len(STATS)
 #: What a statistic varies by at least (standard deviation), so that one that is constant in a group doesn't reject small deviations.
 FLOOR = [0.03, 0.06, 0.04, 0.05, 0.08, 0.08]
-_SYMBOLS = b"#*$%&|<>"
-_CHI_MEDIAN = DIMS * (1 - 2 / (9 * DIMS)) ** 3
-_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,")
-
-
-def measured(text: str) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the transformed statistics."""
-    raw = text.encode()
-    words = raw.split()
-    n = len(words)
-    chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
-    symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
-    lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
-    dup = len(lines) - len(set(lines))
-    repeated = 0
-    if n > 3:
-        windows = list(zip(words, words[1:], words[2:], strict=False))
-        seen = Counter(windows)
-        if len(seen) < len(windows):
-            hit = np.fromiter((seen[w] > 1 for w in windows), bool, len(windows))
-            cover = np.zeros(n, bool)
-            for k in range(3):
-                cover[k : k + len(hit)] |= hit
-            repeated = int(cover.sum())
-    each = max(n, 1)
-    letters = len(raw) - len(raw.translate(None, b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    capitals = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    marks = len(raw) - len(raw.translate(None, _MARKS))
-    return n, chars, symbols, dup, repeated, float(np.log(max(chars, 1) / each)), (symbols / each) ** 0.5, (capitals / max(letters, 1)) ** 0.5, (marks / each) ** 0.5, (repeated / each) ** 0.5, (dup / max(len(lines), 1)) ** 0.5
+
+
+def _kind(chars: bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(chars)] = True
+    return table
+
+
+_SYMBOLS = _kind(b"#*$%&|<>")
+_CAPITALS = _kind(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_LETTERS = _CAPITALS | _kind(b"abcdefghijklmnopqrstuvwxyz")
+_MARKS = _kind(bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,"))
+_HEADS = kernels.WORD.copy()
+_HEADS[0x80:0xC0] = False  # a code point's first byte
+
+
+def repeats(text: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each hash whether its text has it twice or more."""
+    order = np.argsort(kernels.mix(text.astype(np.uint64) + np.uint64(1)) + h, kind="stable")
+    same = (np.diff(h[order]) == 0) & (np.diff(text[order]) == 0)
+    out = np.zeros(len(h), bool)
+    out[order[1:]] = same
+    out[order[:-1]] |= same
+    return out
+
+
+def measured(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """COUNTS and STATS of each text of a block."""
+    def total(member: np.ndarray) -> np.ndarray:
+        seen = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(member[data], out=seen[1:])
+        return np.diff(seen[off])
+
+    n_texts = len(off) - 1
+    starts, ends, first = kernels.runs(kernels.WORD[data], off)
+    n = np.diff(first)
+    h = kernels.span_hash(data, starts, ends)
+    text = np.repeat(np.arange(n_texts), n)
+    repeated = np.zeros(n_texts, np.int64)
+    if len(h) > 2:
+        whole = np.flatnonzero(text[2:] == text[:-2])
+        windows = kernels.mix(kernels.mix(kernels.mix(h[whole]) + h[whole + 1]) + h[whole + 2])
+        hit = whole[repeats(text[whole], windows)]
+        cover = np.zeros(len(h), bool)
+        for k in range(3):
+            cover[hit + k] = True
+        repeated = np.bincount(text[cover], minlength=n_texts)
+    a, b, line_first = kernels.runs(data != 10, off)
+    own = np.searchsorted(a, starts, "right") - 1  # each word's line
+    worded = np.zeros(len(a), bool)
+    worded[own] = True
+    line_text = np.repeat(np.arange(n_texts), np.diff(line_first))[worded]
+    line_hash = kernels.span_hash(data, a[worded], b[worded])
+    order = np.lexsort((line_hash, line_text))
+    dup = np.bincount(line_text[order][1:][(np.diff(line_hash[order]) == 0) & (np.diff(line_text[order]) == 0)], minlength=n_texts)
+    lines = np.bincount(line_text, minlength=n_texts)
+    chars, symbols, marks, letters, capitals = (total(t) for t in (_HEADS, _SYMBOLS, _MARKS, _LETTERS, _CAPITALS))
+    each = np.maximum(n, 1)
+    stats = [np.log(np.maximum(chars, 1) / each), *(np.sqrt(x / y) for x, y in ((symbols, each), (capitals, np.maximum(letters, 1)), (marks, each), (repeated, each), (dup, np.maximum(lines, 1))))]
+    return [n, chars, symbols, dup, repeated], stats
 
 
 def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """doc_id, lang, source, the counts, base_failed and STATS. One pass, no shuffle. Null texts have no words."""
+    """doc_id, lang, source, COUNTS, STATS and base_failed. One pass, no shuffle. Null texts have no words."""
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    schema = src.select("doc_id", "lang", "source", *(F.lit(0).cast("long").alias(c) for c in counts), *(F.lit(0.0).alias(c) for c in STATS)).schema
+    schema = src.select("doc_id", "lang", "source", *(F.lit(0).cast("long").alias(c) for c in COUNTS), *(F.lit(0.0).alias(c) for c in STATS)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(zip(*(measured(x.as_py() or "") for x in batch.column(3)), strict=True)) or [()] * (5 + DIMS)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in columns[:5]), *(pa.array(c, pa.float64()) for c in columns[5:])], names=schema.names)
+            for lo, hi, data, off in kernels.text_blocks(batch.column(3)):
+                counts, stats = measured(data, off)
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:3]), *(pa.array(c, pa.int64()) for c in counts), *(pa.array(c, pa.float64()) for c in stats)], names=schema.names)
 
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 100 * MAX_REPEATED * F.col("n_words"))
     return src.mapInArrow(run, schema).withColumn("base_failed", failed)
@@ -88,51 +126,85 @@ def _distance(center: str = "center", inverse: str = "inverse") -> str:
     return " + ".join(f"{inverse}[{i * DIMS + j}] * {d[i]} * {d[j]}" + (" * 2" if i != j else "") for i in range(DIMS) for j in range(i, DIMS))
 
 
+_SUMS = [f"s{i}" for i in range(DIMS)] + [f"s{i}_{j}" for i in range(DIMS) for j in range(i, DIMS)]
+_FIT = "grp string, start int, center array<double>, inverse array<double>, logdet double"
+
+
 def _estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums about the last centre -> grp, center, inverse."""
-    floor = np.square(FLOOR)
+    """Sums about a centre -> grp, start, center, inverse, logdet."""
+    floor = np.diag(np.square(FLOOR))
     for rows in batches:
         out = []
         for r in rows.itertuples(index=False):
             n, s = max(r.n, 1), np.array(r.sums[:DIMS], float)
             cov = np.zeros((DIMS, DIMS))
             cov[np.triu_indices(DIMS)] = np.array(r.sums[DIMS:], float) / n
-            cov = cov + np.triu(cov, 1).T - np.outer(s / n, s / n)
-            cov += np.diag(floor)
-            out.append((r.grp, (np.array(r.center) + s / n).tolist(), np.linalg.inv(cov).ravel().tolist()))
-        yield pd.DataFrame(out, columns=["grp", "center", "inverse"])
-
-
-_SHAPE = "grp string, center array<double>, inverse array<double>"
-
-
-def estimates(rows: DataFrame, steps: int = STEPS, h: float = H) -> DataFrame:
-    """grp, center, inverse, unit (the group's median squared distance over the chi-square median) from rows with grp and STATS."""
-    def quantile(column: str, share: float) -> str:
-        return f"percentile_approx({column}, {share}, 2000)"
-
-    median = written(rows.groupBy("grp").agg(*(F.expr(quantile(c, 0.5)).alias(f"m_{c}") for c in STATS)), "medians")
-    spread = rows.join(median, "grp").groupBy("grp").agg(*(F.expr(quantile(f"abs({c} - m_{c})", 0.5)).alias(f"d_{c}") for c in STATS))
-    diagonal = ", ".join(f"1 / (pow(1.4826 * d_{STATS[i]}, 2) + {FLOOR[i] ** 2})" if i == j else "0D" for i in range(DIMS) for j in range(DIMS))
-    fit = written(median.join(spread, "grp").selectExpr("grp", f"array({', '.join(f'm_{c}' for c in STATS)}) AS center", f"array({diagonal}) AS inverse"), "estimate")
-    centred = [f"({c} - center[{i}])" for i, c in enumerate(STATS)]
-    sums = [f"sum({x})" for x in centred] + [f"sum({centred[i]} * {centred[j]})" for i in range(DIMS) for j in range(i, DIMS)]
-    for _ in range(steps):
-        far = rows.join(fit, "grp").withColumn("d2", F.expr(_distance()))
-        bound = written(far.groupBy("grp").agg(F.expr(quantile("d2", h)).alias("bound")), "bounds").join(fit, "grp")
-        near = rows.join(bound, "grp").where(f"{_distance()} <= bound")
-        moments = near.groupBy("grp").agg(F.count("*").alias("n"), F.first("center").alias("center"), F.expr(f"array({', '.join(sums)})").alias("sums"))
-        fit = written(moments.mapInPandas(_estimate, _SHAPE), "estimate")
-    unit = rows.join(fit, "grp").groupBy("grp").agg((F.expr(quantile(_distance(), 0.5)) / _CHI_MEDIAN).alias("unit"))
-    return fit.join(unit, "grp")
-
-
-def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, the counts, base_failed, kept, distance (squared, null where there's no estimate).
+            cov = cov + np.triu(cov, 1).T - np.outer(s / n, s / n) + floor
+            out.append((r.grp, r.start, (np.array(r.center) + s / n).tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
+        yield pd.DataFrame(out, columns=["grp", "start", "center", "inverse", "logdet"])
+
+
+def _moments(rows: DataFrame, *by: str) -> DataFrame:
+    """n and the sums about center, from rows with center and STATS."""
+    d = [f"({c} - center[{i}])" for i, c in enumerate(STATS)]
+    sums = [f"sum({x})" for x in d] + [f"sum({d[i]} * {d[j]})" for i in range(DIMS) for j in range(i, DIMS)]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *(F.expr(x).alias(c) for x, c in zip(sums, _SUMS, strict=True)))
+
+
+def _classed(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    """The rows with their groups' estimates and class: a range of squared distances."""
+    return rows.join(fit, "grp").withColumn("class", F.expr(f"floor({CLASSES} * ln({_distance()} + 1e-12D))"))
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """grp, start, center, inverse, logdet (null) of the three starts of each group."""
+    median = written(rows.groupBy("grp").agg(*(F.expr(f"percentile_approx({c}, 0.5, 2000)").alias(f"m_{c}") for c in STATS)), "medians")
+    spread = rows.join(median, "grp").groupBy("grp").agg(*(F.expr(f"percentile_approx(abs({c} - m_{c}), 0.5, 2000)").alias(f"d_{c}") for c in STATS))
+    center = f"array({', '.join(f'm_{c}' for c in STATS)}) AS center"
+    diagonal = lambda own: f"array({', '.join(own(i) if i == j else '0D' for i in range(DIMS) for j in range(DIMS))}) AS inverse"
+    by_spread = median.join(spread, "grp").selectExpr("grp", "0 AS start", center, diagonal(lambda i: f"1 / (pow(1.4826 * d_{STATS[i]}, 2) + {FLOOR[i] ** 2})"), "cast(null as double) AS logdet")
+    by_one = median.selectExpr("grp", "2 AS start", center, diagonal(lambda i: "1D"), "cast(null as double) AS logdet")
+    about = median.selectExpr("grp", center)
+    whole = _moments(rows.join(about, "grp"), "grp").join(about, "grp").selectExpr("grp", "1 AS start", "center", "n", f"array({', '.join(_SUMS)}) AS sums")
+    classical = whole.mapInPandas(_estimate, _FIT).withColumn("logdet", F.lit(None).cast("double"))
+    return by_spread.union(classical.select(*by_spread.columns)).union(by_one)
+
+
+def concentrated(rows: DataFrame, fit: DataFrame, h: float = H) -> DataFrame:
+    """The next estimate of every group and start: mean and covariance of the nearest classes that hold the share h."""
+    by_class = _moments(_classed(rows, fit), "grp", "start", "center", "class")
+    before = "sum(n) OVER (PARTITION BY grp, start ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    nearest = by_class.withColumn("before", F.expr(f"coalesce({before}, 0)")).withColumn("whole", F.expr("sum(n) OVER (PARTITION BY grp, start)")).where(f"before < {h} * whole")
+    sums = nearest.groupBy("grp", "start", "center").agg(F.sum("n").alias("n"), F.array(*(F.sum(c) for c in _SUMS)).alias("sums"))
+    return sums.mapInPandas(_estimate, _FIT)
+
+
+def estimates(rows: DataFrame, h: float = H, most_steps: int = MOST_STEPS, sigmas: float = SIGMAS) -> DataFrame:
+    """grp, center, inverse, cutoff (of squared distances) from rows with grp and STATS."""
+    fit = written(starts(rows), "estimate")
+    for _ in range(most_steps):
+        new = written(concentrated(rows, fit, h), "estimate")
+        moved = new.join(fit.select("grp", "start", F.col("logdet").alias("was")), ["grp", "start"]).agg(F.max(F.abs(F.col("logdet") - F.coalesce("was", F.lit(1e9)))).alias("x")).first().x
+        fit = new
+        if moved is None or moved < SETTLED:
+            break
+    best = fit.groupBy("grp").agg(F.min(F.struct("logdet", "start", "center", "inverse")).alias("b")).select("grp", "b.center", "b.inverse")
+    best = written(best, "estimate")
+    by_class = _classed(rows, best).groupBy("grp", "class").agg(F.count("*").alias("n"))
+    upto = by_class.withColumn("upto", F.expr("sum(n) OVER (PARTITION BY grp ORDER BY class)")).withColumn("whole", F.expr("sum(n) OVER (PARTITION BY grp)"))
+    at = lambda share: F.min(F.when(F.col("upto") >= share * F.col("whole"), F.struct("class", (F.lit(1.0) - (F.col("upto") - share * F.col("whole")) / F.col("n")).alias("part"))))
+    found = upto.groupBy("grp").agg(at(0.5).alias("q2"), at(0.75).alias("q3"))
+    q2, q3 = ((F.col(f"{q}.class") + F.col(f"{q}.part")) / CLASSES for q in ("q2", "q3"))
+    return best.join(found.select("grp", F.exp(q2 + sigmas / QUARTILE * (q3 - q2)).alias("cutoff")), "grp")
+
+
+def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", sigmas: float = SIGMAS) -> DataFrame:
+    """doc_id, COUNTS, base_failed, kept, distance and cutoff (squared; null where there's no estimate).
 
     Estimates rest on all documents that pass the base rules. Null languages and sources are groups like any other.
-    Groups with fewer than MIN_GROUP such documents pool; if even the pool is smaller, only the base rules decide.
-    Null, empty and blank texts have no words and fail the base. Repeated rows count as often as they occur.
+    Groups with fewer than MIN_GROUP such documents pool by language, then all together; if even the pool is smaller, only the base rules decide.
+    Null, empty and blank texts have no words and fail the base. Repeated rows count as often as they occur. Other columns,
+    whatever their names, are ignored. No rows: no rows.
     """
     stats = statistics(docs, doc_id, text, lang, source).withColumns({f"{c}_": F.coalesce(F.col(c), F.lit("\x00")) for c in ("lang", "source")})
     stats = written(stats, "statistics")
@@ -140,7 +212,8 @@ def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     groups = written(_grouped(good), "groups")
     rows = good.join(groups, ["lang_", "source_"])
     enough = rows.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_GROUP).select("grp")
-    fit = groups.join(estimates(rows.join(enough, "grp")), "grp").drop("grp")
-    out = stats.join(fit, ["lang_", "source_"], "left").withColumn("distance", F.expr(f"({_distance()}) / greatest(unit, 1D)"))
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
+    rows = written(rows.join(enough, "grp").select("grp", *STATS), "measured")
+    fit = groups.join(estimates(rows, sigmas=sigmas), "grp").drop("grp")
+    out = stats.join(fit, ["lang_", "source_"], "left").withColumn("distance", F.expr(_distance()))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("cutoff"), F.lit(True))
+    return out.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), "distance", "cutoff")
