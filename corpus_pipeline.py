@@ -2,7 +2,12 @@
 contaminated documents go, and what is left is encoded.
 
 Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept; run() writes each stage's documents to the
-shared folder and reads them again. All stages but the last return the columns of documents.
+shared folder and reads them again. All stages but the last return the columns of documents, in their order, and any others that docs has, whatever their names.
+
+Null and empty texts are documents without sentences, lines, words and hits: they pass the first two stages and the fourth, and as near
+duplicates of each other (fingerprint zero) one of them stays; it has no tokens. Rows that repeat id and text are copies, of which one stays. Null ids
+come last where an order decides. Ties of ids are broken by the row's key. Empty documents give no rows; without labels nothing is toxic, without a
+benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -22,9 +27,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of like lines one stays; documents stay, if only with what is left. n_chars follows the text."""
-    left = line_dedup.deduplicated(docs)
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Of each group of like lines one stays; documents stay, if only with what is left. n_chars, where there is one, follows the text; null for null texts."""
+    left = line_dedup.deduplicated(docs, counts=False)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +55,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte-level BPE encoding and decoding", encoded),
 ]
 
-#: SQL can't express the stages; tests/llm compares them with brute force.
+#: SQL can't express the stages; tests/llm/test_pipeline.py compares run() with a plain Python version.
 ORACLE_SQL = None
 
 
