@@ -90,3 +90,24 @@ def test_chunks_make_a_gzip_file(spark):
     assert whole.count(b"WARC/1.1\r\n") == 2 and b"a" * 1_000_000 in whole
     last = {r.record_id: r.sha1 for r in rows}
     assert set(last.values()) == {hashlib.sha1(x).hexdigest() for x in (b"a" * 1_000_000, b"b" * 10)}
+
+
+def test_records_of_other_writers():
+    """Lower-case headers, folded lines, hex digests, records cut anywhere."""
+    body = b"hello payload"
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    head = b"WARC/1.0\r\nwarc-type:response\r\nWarc-Target-URI: http://a/\r\n\tb\r\nWARC-PAYLOAD-DIGEST: sha1:%s\r\ncontent-length: %d\r\n\r\n" % (hashlib.sha1(body).hexdigest().encode(), len(http) + len(body))
+    packed = gzip.compress(head + http + body + b"\r\n\r\n")
+    for step in (1, 7, 1000):
+        reader = warc.Reader("r")
+        for k in range(0, len(packed), step):
+            reader.feed(packed[k : k + step])
+        assert reader.row() == ("r", None, "http://a/ b", "response", None, len(body), hashlib.sha1(body).hexdigest(), True)
+
+
+def test_equal_ids_of_unlike_payloads(spark):
+    pages = spark.createDataFrame([(1, "u", "a" * 1500), (1, "u", "b" * 1500), (2, "u", "a" * 1500), (2, "u", "b" * 999), (None, "u", "c" * 1200), (None, "u", "c" * 1200)], "page_id long, url string, html string")
+    got = sorted(((r.page_id or 0, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()), key=str)
+    sha1 = lambda c, n: hashlib.sha1(c * n).hexdigest()
+    want = [(1, sha1(b"a", 1500), "revisit", 2), (1, sha1(b"b", 1500), "response", None), (2, sha1(b"a", 1500), "response", None), (2, sha1(b"b", 999), "response", None)] + [(0, sha1(b"c", 1200), "response", None)] * 2
+    assert got == sorted(want, key=str)

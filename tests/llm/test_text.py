@@ -261,6 +261,44 @@ def test_quality_base_and_outliers(spark, docs, nothing):
     assert quality.verdicts(nothing).count() == 0 and quality.verdicts(docs).count() == docs.count()
 
 
+def brute_mcd(x, h=0.75, sigmas=3.0):
+    """The minimum-covariance-determinant estimate by concentration steps on whole rows, and the cutoff, from their definitions."""
+    n, floor = len(x), np.diag(np.square(quality.FLOOR))
+    median = np.median(x, 0)
+    first = [(median, np.diag((1.4826 * np.median(abs(x - median), 0)) ** 2) + floor), (x.mean(0), np.cov(x.T, bias=True) + floor), (median, np.eye(x.shape[1]))]
+    found = []
+    for center, cov in first:
+        for _ in range(50):
+            d = np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cov), x - center)
+            near = x[np.argsort(d)[: math.ceil(h * n)]]
+            center, cov = near.mean(0), np.cov(near.T, bias=True) + floor
+        found.append((np.linalg.slogdet(cov)[1], center, cov))
+    _, center, cov = min(found, key=lambda f: f[0])
+    d = np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cov), x - center)
+    low, high = np.quantile(np.log(d), [0.5, 0.75])
+    return d, math.exp(low + sigmas / 0.6745 * (high - low))
+
+
+def test_estimates_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal([1.5, 0.1, 0.2, 0.3, 0.1, 0.1], [0.2, 0.05, 0.1, 0.1, 0.1, 0.02], (1200, 6)) @ (np.eye(6) + rng.normal(0, 0.2, (6, 6)))
+    x[:100] += [2, 1, 1, 0, 0, 1]  # a cluster of outliers that pulls the mean
+    rows = spark.createDataFrame([("g", *map(float, r)) for r in x] + [("h", *map(float, r + 1)) for r in x[200:900]], "grp string, " + ", ".join(f"{c} double" for c in quality.STATS))
+    fit = {r.grp: r for r in quality.estimates(rows).collect()}
+    for grp, part in (("g", x), ("h", x[200:900] + 1)):
+        d, cutoff = brute_mcd(part)
+        mine = np.einsum("ij,jk,ik->i", part - fit[grp].center, np.array(fit[grp].inverse).reshape(6, 6), part - fit[grp].center)
+        assert np.median(abs(mine / d - 1)) < 0.08 and fit[grp].cutoff == pytest.approx(cutoff, rel=0.25)
+        assert np.mean((mine <= fit[grp].cutoff) == (d <= cutoff)) > 0.99
+
+
+def test_quality_of_a_very_long_text(spark):
+    long = "one two three\n" * 3 + " ".join(f"w{i}" for i in range(700_000)) + "\n \none two three\n"
+    rows = [(1, long, "en", "s"), (2, "x", "en", "s"), (3, None, None, None)]
+    got = {r.doc_id: r for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert tuple(got[1])[1:7] == brute_quality(long) and got[1].kept and got[1].distance is None and not got[3].kept
+
+
 def brute_hits(docs, items, window=10):
     words = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), s or ""))
     wins = {}
