@@ -29,36 +29,47 @@ def components(pairs: DataFrame, a: str = "object1", b: str = "object2") -> Data
         now = new.select("label", "base")
 
 
-def replayed(pairs: DataFrame, key: str = "buffer_id", order: str = "pair_seq") -> DataFrame:
-    """key, label, base with representatives as an incremental union gives them: the larger side's base stays, the first pair member's on a tie.
+class Union:
+    """Labels united pair by pair: the larger side's base stays, the first pair member's on a tie."""
 
-    Depends on the order of pairs, so each buffer is one ordered group.
-    """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        parent: dict[int, int] = {}
-        size: dict[int, int] = {}
-
-        def base(x: int) -> int:
-            root = x
-            while parent.setdefault(root, root) != root:
-                root = parent[root]
-            while parent[x] != root:
-                parent[x], x = root, parent[x]
-            return root
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+        self.size: dict[int, int] = {}
+
+    def base(self, x: int) -> int:
+        root = x
+        while self.parent.setdefault(root, root) != root:
+            root = self.parent[root]
+        while self.parent[x] != root:
+            self.parent[x], x = root, self.parent[x]
+        return root
+
+    def join(self, x: int, y: int) -> None:
+        p, q = self.base(x), self.base(y)
+        if p != q:
+            keep, lose = (q, p) if self.size.get(q, 1) > self.size.get(p, 1) else (p, q)
+            self.parent[lose] = keep
+            self.size[keep] = self.size.get(keep, 1) + self.size.get(lose, 1)
 
+
+def replayed(pairs: DataFrame, key: str = "buffer_id", order: str = "pair_seq") -> DataFrame:
+    """key, label, base with representatives as an incremental union gives them in the order of arrival. Depends on that order, so each buffer is one ordered group."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, union = pdf.sort_values(order), Union()
         for x, y in zip(pdf["object1"].tolist(), pdf["object2"].tolist(), strict=True):
-            p, q = base(x), base(y)
-            if p != q:
-                keep, lose = (q, p) if size.get(q, 1) > size.get(p, 1) else (p, q)
-                parent[lose] = keep
-                size[keep] = size.get(keep, 1) + size.get(lose, 1)
-        labels = np.array(sorted(parent), np.int64)
-        return pd.DataFrame({key: pdf[key].iloc[0], "label": labels, "base": [base(int(x)) for x in labels]}).astype({key: "int64", "base": "int64"})
+            union.join(x, y)
+        labels = np.array(sorted(union.parent), np.int64)
+        return pd.DataFrame({key: pdf[key].iloc[0], "label": labels, "base": [union.base(int(x)) for x in labels]}).astype({key: "int64", "base": "int64"})
 
     return pairs.groupBy(key).applyInPandas(run, f"{key} long, label long, base long")
 
 
+def correlation_table(bases: DataFrame, count: DataFrame, start: int = 1) -> DataFrame:
+    """label, base for every label from start (0 or 1) below the count (one row, n), in use or not: labels without links are their own base."""
+    labels = count.select(F.explode(F.when(F.col("n") > start, F.sequence(F.lit(start).cast("bigint"), F.col("n") - 1))).alias("label"))
+    return labels.join(bases, "label", "left").select("label", F.coalesce("base", "label").alias("base"))
+
+
 def reindex_labels(labels: DataFrame, bases: DataFrame) -> DataFrame:
     """label: the distinct representatives of a set of labels."""
     return labels.join(bases, "label", "left").select(F.coalesce("base", "label").alias("label")).distinct()

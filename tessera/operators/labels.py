@@ -8,16 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import add_index_base
-from tessera.operators.rects import adjacent_frames
+from tessera.operators.rects import adjacent_frames, running
 
 NO_LABEL = -1
 
 
 def indexing_base(lab: DataFrame, zero_reserved: bool = True, order: str = "frame_seq") -> DataFrame:
     """frame, base: the sum of the largest labels (plus one unless zero is reserved) of all earlier frames."""
-    top = lab.groupBy(order).agg((F.max("label") + (0 if zero_reserved else 1)).alias("m"))
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return top.select(order, F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    top = lab.groupBy(order).agg((F.max("label") + (0 if zero_reserved else 1)).cast("bigint").alias("m"))
+    return running(top, order, "m").select(order, F.col("before").cast("bigint").alias("base"))
 
 
 def number_of_objects(lab: DataFrame, zero_reserved: bool = True, order: str = "frame_seq") -> DataFrame:
@@ -33,11 +32,7 @@ def auto_reindex(lab: DataFrame, zero_reserved: bool = True, order: str = "frame
 
 def dense_labels(lab: DataFrame, column: str = "label") -> DataFrame:
     """label, n: non-zero labels numbered 1.. in order; a sorted scan numbers each range partition and offsets them, so no task holds all labels."""
-    ordered = lab.select(column).where(F.col(column) != 0).distinct().repartitionByRange(column).withColumn("part", F.spark_partition_id())
-    ordered = ordered.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(column)))
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("size"))
-    offset = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ordered.join(offset, "part").select(column, (F.col("before") + F.col("k")).alias("n"))
+    return running(lab.select(column).where(F.col(column) != 0).distinct(), column).select(column, F.col("row").alias("n"))
 
 
 def sequential_reindex(lab: DataFrame, column: str = "label") -> DataFrame:

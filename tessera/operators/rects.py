@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import divide_ceil, equalize_grid, floor_div
+from tessera.functions.scalars import divide_ceil, equalize_grid, floor_div, rotate_point
+from tessera.plans.storage import stored
 
 CELL = 64
 SIDES = ("min_x", "max_x", "min_y", "max_y")
@@ -132,20 +133,21 @@ def boundary_retain(region: DataFrame, large: tuple[int, int, int, int]) -> Data
     return internal_boundary(region).where(inside(large))
 
 
-def adjacent_frames(frames: DataFrame, key: str = "frame_seq") -> DataFrame:
-    """a, b, side: frames b that touch a's side, from outside, along a part of it. An equi join on the touching coordinate."""
-    a = frames.select(F.col(key).alias("a"), *(F.col(s).alias(f"a_{s}") for s in SIDES))
-    b = frames.select(F.col(key).alias("b"), *(F.col(s).alias(f"b_{s}") for s in SIDES))
-    parts = []
-    for side, edge, facing, o in (("X_MINUS", F.col("a_min_x") - 1, "b_max_x", "y"), ("Y_MINUS", F.col("a_min_y") - 1, "b_max_y", "x"), ("X_PLUS", F.col("a_max_x") + 1, "b_min_x", "y"), ("Y_PLUS", F.col("a_max_y") + 1, "b_min_y", "x")):
-        left = a.withColumn("at", edge)
-        right = b.withColumn("at", F.col(facing))
-        pairs = left.join(right, "at").where((F.col(f"a_min_{o}") <= F.col(f"b_max_{o}")) & (F.col(f"a_max_{o}") >= F.col(f"b_min_{o}")))
-        parts.append(pairs.select("a", "b", F.lit(side).alias("side")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _sides(frames: DataFrame, key: str, name: str, facing: bool, cell: int) -> DataFrame:
+    """A row for each cell along each side: side, at, cell, name, low, high. facing: the sides as seen from outside."""
+    a, b, c, d = (F.col(s) for s in SIDES)
+    one = lambda side, at, low, high: F.struct(F.lit(side).alias("side"), at.alias("at"), low.alias("low"), high.alias("high"))
+    own = [one("X_MINUS", a - 1, c, d), one("Y_MINUS", c - 1, a, b), one("X_PLUS", b + 1, c, d), one("Y_PLUS", d + 1, a, b)]
+    seen = [one("X_MINUS", b, c, d), one("Y_MINUS", d, a, b), one("X_PLUS", a, c, d), one("Y_PLUS", c, a, b)]
+    rows = frames.select(F.col(key).alias(name), F.explode(F.array(*(seen if facing else own))).alias("s")).select(name, "s.*").where("low <= high")
+    return rows.withColumn("cell", F.explode(F.sequence(floor_div("low", F.lit(cell)), floor_div("high", F.lit(cell)))))
+
+
+def adjacent_frames(frames: DataFrame, key: str = "frame_seq", cell: int = CELL) -> DataFrame:
+    """a, b, side: frames b that touch a's side, from outside, along a part of it. One equi join on the touching coordinate and the coarse cell along the side; a pair counts in its common part's first cell."""
+    a, b = _sides(frames, key, "a", False, cell), _sides(frames, key, "b", True, cell).withColumnsRenamed({"low": "b_low", "high": "b_high"})
+    pairs = a.join(b, ["side", "at", "cell"]).where("low <= b_high AND high >= b_low")
+    return pairs.where(floor_div(F.greatest("low", "b_low"), F.lit(cell)) == F.col("cell")).select("a", "b", "side")
 
 
 def roi_clip(rois: DataFrame, width, height) -> DataFrame:
@@ -200,12 +202,15 @@ def total_frames(rois: DataFrame, frame_x: int, frame_y: int, whole_roi: bool =
 
 
 def loop_flags(frames: DataFrame, pyramid: str = "pyramid_index", roi: str = "roi_index", index: str = "frame_index") -> DataFrame:
-    """Adds first_in_roi, last_in_roi, first_in_pyramid, last_in_pyramid, last; per pyramid and roi in their order."""
-    in_roi, in_pyramid = Window.partitionBy(pyramid, roi), Window.partitionBy(pyramid)
-    order = F.struct(roi, index)
-    ends = frames.agg(F.max(F.struct(pyramid, roi, index)).alias("end_"))
-    flags = {"first_in_roi": F.col(index) == F.min(index).over(in_roi), "last_in_roi": F.col(index) == F.max(index).over(in_roi), "first_in_pyramid": order == F.min(order).over(in_pyramid), "last_in_pyramid": order == F.max(order).over(in_pyramid)}
-    return frames.withColumns(flags).join(F.broadcast(ends)).withColumn("last", F.struct(pyramid, roi, index) == F.col("end_")).drop("end_")
+    """Adds first_in_roi, last_in_roi, first_in_pyramid, last_in_pyramid, last; per pyramid and roi in their order. Ends come from aggregations, so no pyramid is one task."""
+    of_roi = frames.groupBy(pyramid, roi).agg(F.min(index).alias("low_"), F.max(index).alias("high_"))
+    of_pyramid = of_roi.groupBy(pyramid).agg(F.min(F.struct(roi, "low_")).alias("first_"), F.max(F.struct(roi, "high_")).alias("end_"))
+    last = of_pyramid.agg(F.max(F.struct(pyramid, "end_")).alias("all_"))
+    ends = of_roi.join(of_pyramid, pyramid).join(F.broadcast(last))
+    at = F.struct(F.col(roi), F.col(index))
+    is_end = at == F.struct(F.col(f"end_.{roi}"), F.col("end_.high_"))
+    flags = {"first_in_roi": F.col(index) == F.col("low_"), "last_in_roi": F.col(index) == F.col("high_"), "first_in_pyramid": at == F.struct(F.col(f"first_.{roi}"), F.col("first_.low_")), "last_in_pyramid": is_end, "last": is_end & (F.col(pyramid) == F.col(f"all_.{pyramid}"))}
+    return frames.join(ends, [pyramid, roi]).withColumns(flags).drop("low_", "high_", "first_", "end_", "all_")
 
 
 def background_areas(areas: DataFrame, width: int, height: int, key: str) -> DataFrame:
@@ -221,7 +226,84 @@ def background_areas(areas: DataFrame, width: int, height: int, key: str) -> Dat
 
 def live_frames(frames: DataFrame, capacity: int, key: str = "frame_seq") -> DataFrame:
     """step, live: the frames that a buffer of so many frames holds after each append."""
-    order = Window.orderBy(key)
-    ranked = frames.select(key, F.row_number().over(order).alias("n"))
+    ranked = running(frames.select(key), key).select(key, F.col("row").alias("n"))
     held = ranked.select(F.col(key).alias("live"), F.explode(F.sequence(F.col("n"), F.col("n") + capacity - 1)).alias("n"))
     return ranked.join(held, "n").select(F.col(key).alias("step"), "live")
+
+
+def running(rows: DataFrame, order: str, value: str | None = None) -> DataFrame:
+    """Adds row (from 1) and, for a value, before: its sum over all earlier rows, in the order of a column.
+
+    Rows are dealt by ranges of the order and each range is numbered by itself; the ranges' totals, as many as there are tasks, make the offsets.
+    """
+    ranged = stored(rows.repartitionByRange(order).withColumn("range_", F.spark_partition_id()), "ranges")
+    v = F.col(value) if value else F.lit(0).cast("bigint")
+    totals = ranged.groupBy("range_").agg(F.count("*").alias("n_"), F.sum(v).alias("v_"))
+    earlier = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("range_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("rows_"), F.coalesce(F.sum("v_").over(earlier), F.lit(0)).alias("sum_"))
+    within = Window.partitionBy("range_").orderBy(order)
+    own = ranged.withColumns({"row_": F.row_number().over(within), "own_": F.coalesce(F.sum(v).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    out = own.join(offsets, "range_").withColumn("row", F.col("rows_") + F.col("row_"))
+    out = out.withColumn("before", F.col("sum_") + F.col("own_")) if value else out
+    return out.drop("range_", "rows_", "sum_", "row_", "own_")
+
+
+def checked_apart(rois: DataFrame, key: str = "roi_index") -> DataFrame:
+    """The rectangles, an error if any two of them overlap."""
+    found = roi_overlaps(rois, key).agg(F.min(F.struct("i", "j")).alias("pair_"))
+    text = F.concat(F.lit("rectangles overlap: "), F.col("pair_.i").cast("string"), F.lit(" and "), F.col("pair_.j").cast("string"))
+    first = F.col(rois.columns[0])
+    return rois.join(F.broadcast(found)).withColumn(rois.columns[0], F.when(F.col("pair_").isNull(), first).otherwise(F.raise_error(text).cast(rois.schema[0].dataType))).drop("pair_")
+
+
+def relative(rect: tuple, other: tuple) -> tuple[Column, ...]:
+    """The rectangle (min_x, max_x, min_y, max_y) seen from another's first corner."""
+    a, b, c, d = rect
+    x, _, y, _ = other
+    return a - x, b - x, c - y, d - y
+
+
+def frames_per_series(width, height, frame_x: int, frame_y: int, sequence: str | None = None) -> Column:
+    """How many frames a row or column of the scan has over a whole level or input roi; without a scan as for rows."""
+    across, down = divide_ceil(width, F.lit(frame_x)), divide_ceil(height, F.lit(frame_y))
+    if sequence is None or sequence.startswith("ROWS"):
+        return across
+    if sequence.startswith("COLUMNS"):
+        return down
+    w, h = (v if isinstance(v, Column) else F.col(v) for v in (width, height))
+    return F.when(w <= h if sequence == "SHORTEST_SIDE" else w >= h, across).otherwise(down)
+
+
+def expanded(rects: DataFrame, border: int) -> DataFrame:
+    """The rectangles grown by a border on every side."""
+    return rects.withColumns({"min_x": F.col("min_x") - border, "max_x": F.col("max_x") + border, "min_y": F.col("min_y") - border, "max_y": F.col("max_y") + border})
+
+
+def shifted(rects: DataFrame, x: int, y: int) -> DataFrame:
+    """The rectangles moved, as where an image lies in an extended one."""
+    return rects.withColumns({"min_x": F.col("min_x") + x, "max_x": F.col("max_x") + x, "min_y": F.col("min_y") + y, "max_y": F.col("max_y") + y})
+
+
+def rotated(rects: DataFrame, angle: int, width, height) -> DataFrame:
+    """Where the rectangles of an image of width x height lie after its rotation clockwise by 0, 90, 180 or 270 degrees."""
+    back = {90: 270, 270: 90}.get(angle, angle)
+    w, h = (v if isinstance(v, Column) else F.lit(v) for v in (width, height))
+    wide, high = (h, w) if angle in (90, 270) else (w, h)
+    x0, y0 = rotate_point(F.lit(back), F.col("min_x"), F.col("min_y"), wide, high, pixel=True)
+    x1, y1 = rotate_point(F.lit(back), F.col("max_x"), F.col("max_y"), wide, high, pixel=True)
+    return rects.withColumns({"min_x": F.least(x0, x1), "max_x": F.greatest(x0, x1), "min_y": F.least(y0, y1), "max_y": F.greatest(y0, y1)})
+
+
+def actual_rectangles(sizes: DataFrame, own: DataFrame | None = None, key: str = "pyramid_id") -> DataFrame:
+    """key and the rectangles with data at level 0: a pyramid's own, else all of it; an empty one without its own has none. sizes: key, dim_x, dim_y."""
+    whole = sizes.where("dim_x > 0 AND dim_y > 0").select(key, F.lit(0).cast("bigint").alias("min_x"), (F.col("dim_x") - 1).alias("max_x"), F.lit(0).cast("bigint").alias("min_y"), (F.col("dim_y") - 1).alias("max_y"))
+    if own is None:
+        return whole
+    own = own.select(key, *SIDES)
+    return own.unionByName(whole.join(own.select(key).distinct(), key, "left_anti"))
+
+
+def boundaries(rects: DataFrame, *keys: str) -> DataFrame:
+    """keys and the vertices (x, y) of the rectangles' outlines: four inclusive corners, clockwise from the first."""
+    a, b, c, d = (F.col(s) for s in SIDES)
+    return rects.select(*keys, F.posexplode(F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((a, c), (b, c), (b, d), (a, d))))).alias("vertex", "p")).select(*keys, "vertex", "p.x", "p.y")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import find_compression, is_dimensions_relation_correct, round_half_up
 
 #: The usual aspect ratio of a macro image and how far from it one may be; the gap in pixels; microns in a millimetre.
-MACRO_RATIO, RATIO_RANGE, GAP, MICRONS = 2.8846, 0.8, 3, 1000.0
+MACRO_RATIO, RATIO_RANGE, GAP, MICRONS = 75 / 26, 0.8, 3, 1000.0
 
 
 def parse_description(text: Column | str) -> Column:
@@ -57,26 +57,27 @@ def metric_area(left, top, width, height, pixel) -> Column:
 def classify_ifds(ifds: DataFrame, key: str = "slide") -> DataFrame:
     """Adds role. ifds: key, ifd_index, dim_x, dim_y, small (not a level by its size), jpeg.
 
-    The second directory is the thumbnail if small. Of the last two, if both are small (and not that one): the macro image is
-    the one whose aspect ratio is in range, if only one's is, else the larger in area, and the other is the label; a single small last
-    one is the macro image by ratio or JPEG compression, else the label. Other small ones are unknown, the rest are levels.
+    The second directory is the thumbnail if small. Of the last two, if both are small (and there are four or more): the more extended one
+    is the macro image if its aspect ratio is in range, else the larger one in area; the other is the label, and of equals the last is the macro image. A single small last
+    one is the label up to the range (the macro image if JPEG compressed), the macro image within it, unknown beyond. Other small ones are unknown, the rest are levels.
     """
     by = Window.partitionBy(key)
-    back = F.row_number().over(by.orderBy(F.desc("ifd_index")))
     ratio = F.greatest("dim_x", "dim_y") / F.least("dim_x", "dim_y")
-    near = ratio.between(MACRO_RATIO * RATIO_RANGE, MACRO_RATIO / RATIO_RANGE)
-    free = F.col("small") & (F.col("ifd_index") > 1)
-    df = ifds.withColumns({"back": back, "near": near, "free": free, "area": (F.col("dim_x") * F.col("dim_y")).cast("double")})
+    df = ifds.withColumns({"back": F.row_number().over(by.orderBy(F.desc("ifd_index"))), "count_": F.count("*").over(by), "ratio": ratio, "area": (F.col("dim_x") * F.col("dim_y")).cast("double")})
 
     def of(n: int, c: str) -> Column:
         return F.max(F.when(F.col("back") == n, F.col(c))).over(by)
 
-    last, before = F.coalesce(of(1, "free"), F.lit(False)), F.coalesce(of(2, "free"), F.lit(False))
-    last_is_macro = F.when(of(1, "near") & ~of(2, "near"), True).when(~of(1, "near") & of(2, "near"), False).otherwise(of(1, "area") >= of(2, "area"))
-    pair = F.when(last_is_macro == (F.col("back") == 1), "MACRO").otherwise("LABEL")
-    single = F.when(F.col("near") | F.col("jpeg"), "MACRO").otherwise("LABEL")
-    role = F.when((F.col("ifd_index") == 1) & F.col("small"), "THUMBNAIL").when(last & before & (F.col("back") <= 2), pair).when(last & ~before & (F.col("back") == 1), single).when(F.col("small"), "UNKNOWN").otherwise("LEVEL")
-    return df.withColumn("role", role).drop("back", "near", "free", "area")
+    low, high = MACRO_RATIO * RATIO_RANGE, MACRO_RATIO / RATIO_RANGE
+    both = (F.col("count_") > 3) & F.coalesce(of(1, "small") & of(2, "small"), F.lit(False))
+    extended = F.greatest(of(1, "ratio"), of(2, "ratio"))
+    by_form = (extended > low) & (extended < high)
+    before_is_macro = F.when(by_form, of(2, "ratio") > of(1, "ratio")).otherwise(of(2, "area") > of(1, "area"))
+    pair = F.when(before_is_macro == (F.col("back") == 2), "MACRO").otherwise("LABEL")
+    single = F.when(F.col("ratio") <= low, F.when(F.col("jpeg"), "MACRO").otherwise("LABEL")).when(F.col("ratio") < high, "MACRO").otherwise("UNKNOWN")
+    alone = (F.col("count_") > 2) & (F.col("back") == 1) & F.col("small")
+    role = F.when((F.col("ifd_index") == 1) & F.col("small"), "THUMBNAIL").when(both & (F.col("back") <= 2), pair).when(~both & alone, single).when(F.col("small") & (F.col("ifd_index") > 0), "UNKNOWN").otherwise("LEVEL")
+    return df.withColumn("role", role).drop("back", "count_", "ratio", "area")
 
 
 def detect_motic(ifds: DataFrame, key: str = "slide") -> DataFrame:
@@ -109,3 +110,23 @@ def level_availability(sizes: DataFrame, present: DataFrame, key: str = "pyramid
     """key, level, available for levels 0 .. n_levels - 1. sizes: key, n_levels; present: key, level."""
     wanted = sizes.select(key, F.explode(F.sequence(F.lit(0), F.col("n_levels") - 1)).alias("level"))
     return wanted.join(present.select(key, "level").distinct().withColumn("here", F.lit(True)), [key, "level"], "left").select(key, "level", F.col("here").isNotNull().alias("available"))
+
+
+#: The colour and width of the border around the data where a border is asked for without them.
+BORDER_COLOR, BORDER_WIDTH = "#A3A3A3", 2
+_PYRAMID = "format STRUCT<svs: STRUCT<combineWithWholeSlideImage: BOOLEAN, rotation: INT, recommendedGeometry: STRUCT<slideWidth: DOUBLE, slideHeight: DOUBLE>>, aperio: STRUCT<combineWithWholeSlideImage: BOOLEAN, rotation: INT, recommendedGeometry: STRUCT<slideWidth: DOUBLE, slideHeight: DOUBLE>>>"
+_RENDERING = "coarseData STRUCT<skip: BOOLEAN, filler: DOUBLE>, border STRUCT<color: STRING, width: INT>"
+
+
+def slide_settings(rows: DataFrame, pyramid: str, rendering: str) -> DataFrame:
+    """Adds combine, rotation, slide_width, slide_height, skip_coarse, filler, border_color, border_width from two JSON columns; aperio is another name of svs, no border has width 0."""
+    read = rows.withColumn("p_", F.from_json(pyramid, _PYRAMID)).withColumn("r_", F.from_json(rendering, _RENDERING))
+    own = F.coalesce("p_.format.svs", "p_.format.aperio")
+    border = F.col("r_.border").isNotNull()
+    found = {
+        "combine": F.coalesce(own["combineWithWholeSlideImage"], F.lit(False)), "rotation": F.coalesce(own["rotation"], F.lit(0)),
+        "slide_width": own["recommendedGeometry"]["slideWidth"], "slide_height": own["recommendedGeometry"]["slideHeight"],
+        "skip_coarse": F.coalesce("r_.coarseData.skip", F.lit(False)), "filler": F.coalesce("r_.coarseData.filler", F.lit(0.0)),
+        "border_color": F.when(border, F.coalesce("r_.border.color", F.lit(BORDER_COLOR))), "border_width": F.when(border, F.coalesce("r_.border.width", F.lit(BORDER_WIDTH))).otherwise(0),
+    }
+    return read.withColumns(found).drop("p_", "r_")

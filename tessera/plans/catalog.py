@@ -51,9 +51,10 @@ _AREAS = "select (y // 16) * 1000 + x // 16 as area, x, y from px"
 
 # -- rectangles --------------------------------------------------------------------------------------------------------------
 
-@query("select frame_seq, min_x, min_x + (max_x - min_x + 1) - 1 as max_x, min_y, max_y from frames", ("frames",))
+@query("select event_id as frame_seq, (user_id * 37 + event_id * 11) % 112 as min_x, (user_id * 37 + event_id * 11) % 112 + event_id % 16 as max_x, (event_id * 29) % h as min_y, (event_id * 29) % h + user_id % 16 as max_y from events, h", ("h",))
 def frame_position(v):
-    corner = v.frames.selectExpr("frame_seq", "min_x as l", "min_y as t", "max_x - min_x + 1 as w", "max_y - min_y + 1 as hh")
+    k, u = F.col("event_id"), F.col("user_id")
+    corner = v.table("events").select(k.alias("frame_seq"), ((u * 37 + k * 11) % 112).alias("l"), ((k * 29) % v.height).alias("t"), (k % 16 + 1).alias("w"), (u % 16 + 1).alias("hh"))
     return B.frame_position(corner, "l", "t", "w", "hh").select("frame_seq", *B.SIDES)
 
 
@@ -93,11 +94,11 @@ def region_intersect(v):
     return B.region_intersect(v.rois, v.rois).select("roi_index", "f_roi_index", *B.SIDES)
 
 
-_REGION = "u as (select distinct x, y from fpx)"
+_REGION = "u as (select x, y from gg where g <> 0)"
 
 
 def _region_sql(body: str) -> str:
-    base = with_views("", "fpx").strip()
+    base = with_views("", "gg").strip()
     return f"{base}, {_REGION} {body}"
 
 
@@ -108,7 +109,8 @@ ORACLES["boundary_skip"] = _region_sql("select distinct u.x, u.y from u cross jo
 
 
 def _region(v):
-    return v.fpx.select("x", "y").distinct()
+    """The raster's objects."""
+    return v.gg.where("g <> 0").select("x", "y")
 
 
 @query()
@@ -146,9 +148,18 @@ def roi_min_size(v):
     return B.roi_min_size(v.rois, 60).where("max_x - min_x + 1 >= 100")
 
 
-@query("select a.roi_index as i, b.roi_index as j from rois a join rois b on a.roi_index < b.roi_index and a.min_x <= b.max_x and a.max_x >= b.min_x and a.min_y <= b.max_y and a.max_y >= b.min_y", ("rois",))
+_CLOSE = "select roi_index, min_x % 400 as min_x, min_x % 400 + max_x - min_x as max_x, min_y % 300 as min_y, min_y % 300 + max_y - min_y as max_y from rois"
+
+
+@query(f"with c as ({_CLOSE}) select a.roi_index as i, b.roi_index as j from c a join c b on a.roi_index < b.roi_index and a.min_x <= b.max_x and a.max_x >= b.min_x and a.min_y <= b.max_y and a.max_y >= b.min_y", ("rois",))
 def roi_overlaps(v):
-    return B.roi_overlaps(v.rois)
+    return B.roi_overlaps(v.rois.selectExpr("roi_index", "min_x % 400 as min_x", "min_x % 400 + max_x - min_x as max_x", "min_y % 300 as min_y", "min_y % 300 + max_y - min_y as max_y"))
+
+
+@query("select roi_index, roi_index * 1000 as min_x, roi_index * 1000 + 999 as max_x, min_y, max_y from rois", ("rois",))
+def rois_apart(v):
+    """Rectangles side by side: the check lets them pass."""
+    return B.checked_apart(v.rois.selectExpr("roi_index", "roi_index * 1000 as min_x", "roi_index * 1000 + 999 as max_x", "min_y", "max_y"))
 
 
 _CEIL = "((({0}) + ({1}) - 1) // ({1}))"
@@ -309,9 +320,10 @@ def gray_to_rgb(v):
     return R.widen_bands(v.px)
 
 
-@query("select distinct x // 16 as tile_x, y // 16 as tile_y from px", ("px",))
+@query("select x // 16 as tile_x, y // 16 as tile_y from px where v < 250 group by 1, 2 having count(*) = 16 * least(16, (select h from h) - (y // 16) * 16)", ("px",))
 def tile_completeness(v):
-    return R.complete_tiles(v.px, 16, WIDTH, v.height)
+    """Of the raster without its brightest pixels."""
+    return R.complete_tiles(v.px.where("v < 250"), 16, WIDTH, v.height)
 
 
 # -- labels ------------------------------------------------------------------------------------------------------------------
@@ -441,8 +453,23 @@ def partial_objects(v):
 
 @query()
 def side_representatives(v):
-    pairs = _pairs(v).select(F.lit(0).cast("bigint").alias("buffer_id"), F.hash("object1", "object2").cast("bigint").alias("pair_seq"), "object1", "object2")
-    return C.replayed(pairs)
+    """Each column of frames is a buffer of its own, whose pairs arrive from its first label on."""
+    from tessera.plans.storage import stored
+
+    lab = stored(L.auto_reindex(v.lab), "labels")
+    column = (F.floor(F.col("x") / TILE)).alias("buffer_id")
+    owner = lab.where("label <> 0").select("label", column).distinct()
+    pairs = L.stitched_pairs(lab, v.labf).join(owner.withColumnRenamed("label", "object1"), "object1").join(owner.select(F.col("label").alias("object2"), "buffer_id"), ["object2", "buffer_id"])
+    return C.replayed(pairs.withColumn("pair_seq", F.col("object1") * 4294967296 + F.col("object2")).select("buffer_id", "pair_seq", "object1", "object2"))
+
+
+ORACLES["correlation_table"] = _lab_sql(f"{_STITCH}, c as (select g, min(label) as base from n group by g), k as (select cast(sum(mx) as bigint) as top from (select frame_seq, max(label) as mx from lab group by frame_seq)), a as (select unnest(range(1, top + 1)) as label from k) select a.label, cast(coalesce(m.base, a.label) as bigint) as base from a left join (select distinct n.label, c.base from n join c using (g)) m on a.label = m.label")
+
+
+@query()
+def correlation_table(v):
+    """The representatives of all labels from 1 on, those without links among them."""
+    return C.correlation_table(C.components(_pairs(v)), L.number_of_objects(v.lab))
 
 
 def _g(v: Views) -> DataFrame:

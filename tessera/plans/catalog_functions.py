@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.operators import graph as G
 from tessera.operators import labels as L
+from tessera.operators import pyramid as Y
 from tessera.operators import rects as B
 from tessera.operators import rois as P
 from tessera.operators import slide as D
@@ -194,21 +195,24 @@ def slide_geometry(v):
     return _described(v).select("k", D.pixel_size("m").alias("pixel"), D.magnification("m").alias("mag"), left.alias("l"), top.alias("t"))
 
 
-_IFDS = """select c_custkey // 6 as slide, c_custkey % 6 as ifd_index, case c_custkey % 6 when 0 then 4000 when 2 then 1000 when 3 then 250 when 1 then 200 when 4 then 300 else 100 + c_nationkey end as dim_x,
- case c_custkey % 6 when 0 then 3200 when 2 then 800 when 3 then 200 when 1 then 160 when 4 then 104 + c_nationkey * 9 else 100 end as dim_y, c_custkey % 6 in (1, 4, 5) as small, c_nationkey % 2 = 0 as jpeg, c_nationkey % 3 = 0 as lzw, false as has_geometry from customer"""
+_IFDS = """select c_custkey // 6 as slide, c_custkey % 6 as ifd_index, case c_custkey % 6 when 0 then 4000 when 2 then 1000 when 3 then 250 when 1 then 200 when 4 then 300 else 150 + c_nationkey * 12 end as dim_x,
+ case c_custkey % 6 when 0 then 3200 when 2 then 800 when 3 then 200 when 1 then 160 when 4 then 60 + c_nationkey * 9 else 100 end as dim_y, c_custkey % 6 in (1, 5) or c_custkey % 6 = 4 and (c_custkey // 6) % 3 <> 0 as small, c_nationkey % 2 = 0 as jpeg, c_nationkey % 3 = 0 as lzw, false as has_geometry from customer"""
 
 
 def _ifds(v):
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     i = k % 6
-    x = F.when(i == 0, 4000).when(i == 2, 1000).when(i == 3, 250).when(i == 1, 200).when(i == 4, 300).otherwise(n + 100)
-    y = F.when(i == 0, 3200).when(i == 2, 800).when(i == 3, 200).when(i == 1, 160).when(i == 4, n * 9 + 104).otherwise(100)
-    return v.table("customer").select(S.floor_div(k, F.lit(6)).alias("slide"), i.alias("ifd_index"), x.alias("dim_x"), y.alias("dim_y"), i.isin(1, 4, 5).alias("small"), (n % 2 == 0).alias("jpeg"), (n % 3 == 0).alias("lzw"), F.lit(False).alias("has_geometry"))
+    x = F.when(i == 0, 4000).when(i == 2, 1000).when(i == 3, 250).when(i == 1, 200).when(i == 4, 300).otherwise(n * 12 + 150)
+    y = F.when(i == 0, 3200).when(i == 2, 800).when(i == 3, 200).when(i == 1, 160).when(i == 4, n * 9 + 60).otherwise(100)
+    return v.table("customer").select(S.floor_div(k, F.lit(6)).alias("slide"), i.alias("ifd_index"), x.alias("dim_x"), y.alias("dim_y"), (i.isin(1, 5) | (i == 4) & (S.floor_div(k, F.lit(6)) % 3 != 0)).alias("small"), (n % 2 == 0).alias("jpeg"), (n % 3 == 0).alias("lzw"), F.lit(False).alias("has_geometry"))
 
 
-_ROLE = f"""i as ({_IFDS}), r as (select *, row_number() over (partition by slide order by ifd_index desc) as back, greatest(dim_x, dim_y) / cast(least(dim_x, dim_y) as double) between 2.8846 * 0.8 and 2.8846 / 0.8 as near, small and ifd_index > 1 as free, dim_x * dim_y as area from i),
- w as (select *, coalesce(max(free::int) filter (where back = 1) over (partition by slide), 0) as f1, coalesce(max(free::int) filter (where back = 2) over (partition by slide), 0) as f2, max(near::int) filter (where back = 1) over (partition by slide) as n1, max(near::int) filter (where back = 2) over (partition by slide) as n2, max(area) filter (where back = 1) over (partition by slide) as a1, max(area) filter (where back = 2) over (partition by slide) as a2 from r),
- c as (select *, case when ifd_index = 1 and small then 'THUMBNAIL' when f1 = 1 and f2 = 1 and back <= 2 then case when (case when n1 = 1 and n2 = 0 then true when n1 = 0 and n2 = 1 then false else a1 >= a2 end) = (back = 1) then 'MACRO' else 'LABEL' end when f1 = 1 and f2 = 0 and back = 1 then case when near or jpeg then 'MACRO' else 'LABEL' end when small then 'UNKNOWN' else 'LEVEL' end as role from w)"""
+_ROLE = f"""i as ({_IFDS}), r as (select *, greatest(dim_x, dim_y) / cast(least(dim_x, dim_y) as double) as ratio, dim_x * dim_y as area, max(ifd_index) over (partition by slide) as top, count(*) over (partition by slide) as n from i),
+ z as (select a.slide, a.n, a.ifd_index as i2, a.small as s2, a.jpeg as j2, a.ratio as r2, a.area as a2, b.ifd_index as i1, b.small as s1, b.ratio as r1, b.area as a1 from r a left join r b on b.slide = a.slide and b.ifd_index = (select max(q.ifd_index) from r q where q.slide = a.slide and q.ifd_index < a.top) where a.ifd_index = a.top),
+ w as (select *, n > 3 and s1 and s2 as pair, case when r2 > r1 then r2 else r1 end as wide from z),
+ m as (select *, case when pair then case when wide > 75.0 / 26 * 0.8 and wide < 75.0 / 26 / 0.8 then (case when r1 > r2 then i1 else i2 end) else (case when a1 > a2 then i1 else i2 end) end when n > 2 and s2 then case when r2 <= 75.0 / 26 * 0.8 then (case when j2 then i2 end) when r2 < 75.0 / 26 / 0.8 then i2 end end as macro from w),
+ lb as (select *, case when pair then case when macro = i1 then i2 else i1 end when n > 2 and s2 and macro is null and r2 <= 75.0 / 26 * 0.8 then i2 end as label from m),
+ c as (select r.*, case when r.ifd_index = 1 and r.small then 'THUMBNAIL' when r.ifd_index = lb.macro then 'MACRO' when r.ifd_index = lb.label then 'LABEL' when r.small and r.ifd_index > 0 then 'UNKNOWN' else 'LEVEL' end as role from r join lb on r.slide = lb.slide)"""
 
 
 @query(f"with {_ROLE} select slide, ifd_index, role from c")
@@ -221,13 +225,13 @@ def detect_motic(v):
     return D.detect_motic(_ifds(v))
 
 
-@query(f"with {_ROLE}, m as (select slide, count(*) filter (where small and lzw and ifd_index <> 1) = 2 as motic from i group by slide) select c.slide, c.ifd_index, case when motic and role = 'LABEL' then 270 when motic then 90 else 0 end as angle from c join m on c.slide = m.slide")
+@query(f"with {_ROLE}, mo as (select slide, count(*) filter (where small and lzw and ifd_index <> 1) = 2 as motic from i group by slide) select c.slide, c.ifd_index, case when motic and role = 'LABEL' then 270 when motic then 90 else 0 end as angle from c join mo on c.slide = mo.slide")
 def recommended_rotation(v):
     found = D.classify_ifds(_ifds(v)).join(D.detect_motic(_ifds(v)), "slide")
     return found.select("slide", "ifd_index", D.recommended_rotation("role", "motic").alias("angle"))
 
 
-@query(f"with {_ROLE}, l as (select *, row_number() over (partition by slide order by ifd_index) - 1 as level from c where role = 'LEVEL') select slide, level, ifd_index, case when count(*) over (partition by slide) > 1 and min(ifd_index) over (partition by slide) = 0 then 4 when count(*) over (partition by slide) > 1 then 4 else 0 end as compression from l")
+@query(f"with {_ROLE}, l as (select *, row_number() over (partition by slide order by ifd_index) - 1 as level from c where role = 'LEVEL' and ifd_index <> 4) select slide, level, ifd_index, case when count(*) over (partition by slide) > 1 and min(ifd_index) over (partition by slide) = 0 then 4 when count(*) over (partition by slide) > 1 then 4 else 0 end as compression from l")
 def svs_levels(v):
     return D.levels(D.classify_ifds(_ifds(v)))
 
@@ -293,11 +297,25 @@ def roi_contour(v):
     return rows.select("k", internal.alias("internal"), F.size(points).alias("n"))
 
 
-@query("select s_suppkey as k, 5 as contours, 15 as vertices from supplier")
-def all_roi_contours(v):
+_PARTS = "select s_suppkey as k, 0 as roi_index, 0 as part, 4 as n, false as internal from supplier union all select s_suppkey, 1, 0, 4, false from supplier union all select s_suppkey, 2, 0, 3, (3.0::double - (s_suppkey + 0.75::double) * 2) + ((s_suppkey + 0.75::double) * 7.7::double - 9.2::double * 2) + (9.2::double * 2 - 1.5::double * 7.7::double) < 0 from supplier union all select s_suppkey, 3, 0, 3, false from supplier union all select s_suppkey, 3, 1, 1, false from supplier"
+
+
+def _contours(v):
     rows = P.parse_rois(_roi_files(v))
-    one = P.all_contours(rows.withColumn("roi_index", F.struct("k", "roi_index")))
-    return one.groupBy(F.col("roi_index.k").alias("k")).agg(F.count("*").alias("contours"), F.sum(F.size("points")).alias("vertices"))
+    found = P.all_contours(rows.withColumn("roi_index", F.struct("k", "roi_index")))
+    return found.select("roi_index.k", "roi_index.roi_index", "part", "points", "internal")
+
+
+@query(_PARTS)
+def all_roi_contours(v):
+    return _contours(v).select("k", "roi_index", "part", F.size("points").alias("n"), "internal")
+
+
+@query(f"select * from ({_PARTS}) where roi_index = k % 5")
+def roi_contours_by_index(v):
+    """The contours of one roi of each file, by its index; those of an index that a file hasn't are none."""
+    asked = v.table("supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % 5).cast("int").alias("roi_index"))
+    return Y.contours_of(asked, _contours(v), "k").select("k", "roi_index", "part", F.size("points").alias("n"), "internal")
 
 
 @query("select s_suppkey as k, roi_index, shape, n from (select s_suppkey, 0 as roi_index, 'rectangle' as shape, 0 as n from supplier union all select s_suppkey, 1, 'rectangle', 0 from supplier union all select s_suppkey, 2, 'polygon', 1 from supplier union all select s_suppkey, 3, 'multipolygon', 2 from supplier)")

@@ -5,18 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; where it is unset, as in tests in one process, a temporary one."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing is at yet."""
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """The same rows, read from a table in spark.checkpoint.dir (a temporary folder where that is unset and Spark is local)."""
+    """The same rows, read from a table in the shared folder. Cuts the lineage: a lost executor loses none of them."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

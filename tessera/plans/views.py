@@ -40,7 +40,8 @@ def with_views(sql: str, *names: str) -> str:
 
     for n in names:
         need(n)
-    return "WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in order) + " " + sql
+    head = "WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in order)
+    return f"{head}, {sql[5:]}" if sql.lower().startswith("with ") else f"{head} {sql}"
 
 
 class Views:
@@ -69,7 +70,7 @@ class Views:
 
     @property
     def fpx(self) -> DataFrame:
-        return pixels_in_frames(self.px, self.frames).select("frame_seq", "x", "y", (F.col("v") + F.col("frame_seq")).alias("v"))
+        return pixels_in_frames(self.px, self.frames, 16).select("frame_seq", "x", "y", (F.col("v") + F.col("frame_seq")).alias("v"))
 
     @property
     def gg(self) -> DataFrame:

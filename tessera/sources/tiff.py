@@ -5,14 +5,16 @@ Files are read by Spark's own binaryFile source, so any store that Spark reaches
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from tessera.functions.scalars import floor_div
 from tessera.sources import tiff_codec as codec
 
 IFDS = "path string, valid boolean, ifd_index int, dim_x long, dim_y long, channels int, element_type string, tiled boolean, compression_code int, description string, tags map<string,string>, file_size long"
@@ -69,42 +71,100 @@ def tiff_tiles(found: DataFrame, ifd_index: int = 0, area: tuple[int, int, int,
     return found.select("path", "content").mapInPandas(run, TILES)
 
 
-def tile_pixels(tiles: DataFrame) -> DataFrame:
-    """path, ifd_index, channel, x, y, v of tiles."""
+def converted(v: np.ndarray, channels: int, opaque: float = 255.0) -> np.ndarray:
+    """Values (h, w, channels) with 1, 3 or 4 channels, 0 keeps them: 1 averages the first three, 3 or 4 repeat the first of fewer or add an opaque one."""
+    if channels not in (0, 1, 3, 4):
+        raise ValueError("1, 3 or 4 channels")
+    n = v.shape[2]
+    if not channels or (channels == n and n != 2):
+        return v
+    if channels == 1:
+        return v[:, :, :3].astype(float).mean(2, keepdims=True) if n >= 3 else v[:, :, :1]
+    rgb = v[:, :, :3] if n >= 3 else np.repeat(v[:, :, :1], 3, 2)
+    return rgb if channels == 3 else np.concatenate([rgb, v[:, :, 3:4] if n >= 4 else np.full((*v.shape[:2], 1), opaque)], 2)
+
+
+def tile_pixels(tiles: DataFrame, channels: int = 0, area: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """path, ifd_index, channel, x, y, v of tiles, with so many channels; a tile's channels are converted, and clipped to an area (x, y, w, h), where they are."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for t in pdf.itertuples(index=False):
                 v = np.frombuffer(t.data, t.element_type).reshape(t.h, t.w, t.channels)
+                x0, y0 = t.min_x, t.min_y
+                if area:
+                    left, top = max(0, area[0] - x0), max(0, area[1] - y0)
+                    v = v[top : max(top, area[1] + area[3] - y0), left : max(left, area[0] + area[2] - x0)]
+                    x0, y0 = x0 + left, y0 + top
+                v = converted(v, channels)
                 y, x, c = np.indices(v.shape)
-                yield pd.DataFrame({"path": t.path, "ifd_index": t.ifd_index, "channel": c.ravel(), "x": x.ravel() + t.min_x, "y": y.ravel() + t.min_y, "v": v.ravel().astype(float)})
+                yield pd.DataFrame({"path": t.path, "ifd_index": t.ifd_index, "channel": c.ravel(), "x": x.ravel() + x0, "y": y.ravel() + y0, "v": v.ravel().astype(float)})
 
     return tiles.mapInPandas(run, "path string, ifd_index int, channel int, x long, y long, v double")
 
 
 def tiff_read(found: DataFrame, ifd_index: int = 0, area: tuple[int, int, int, int] | None = None, channels: int = 0, mode: str = "FAILFAST") -> DataFrame:
-    """Pixels of an area, clipped to the image; channels 0 keeps them, 1 averages, 3 or 4 repeat the first or add an opaque one."""
-    px = tile_pixels(tiff_tiles(found, ifd_index, area, mode))
-    if area:
-        x, y, w, h = area
-        px = px.where(F.col("x").between(x, x + w - 1) & F.col("y").between(y, y + h - 1))
-    return channel_convert(px, channels) if channels else px
+    """Pixels of an area, clipped to the image; channels as in converted(). No shuffle: tiles become pixels in their task."""
+    return tile_pixels(tiff_tiles(found, ifd_index, area, mode), channels, area)
 
 
 def channel_convert(px: DataFrame, channels: int, opaque: float = 255.0) -> DataFrame:
-    """Pixels with 1, 3 or 4 channels."""
+    """Pixels (channel, v and others) with 1, 3 or 4 channels, for pixels that aren't in tiles: one aggregation, without lists."""
     if channels not in (1, 3, 4):
         raise ValueError("1, 3 or 4 channels")
     keys = [c for c in px.columns if c not in ("channel", "v")]
-    packed = px.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("channel", "v"))).alias("a")).withColumn("a", F.transform("a", lambda s: s["v"]))
-    a, n = F.col("a"), F.size("a")
+    of = lambda k: F.max(F.when(F.col("channel") == k, F.col("v"))).alias(f"c{k}_")
+    packed = px.groupBy(*keys).agg(F.count("*").alias("n_"), *(of(k) for k in range(4)))
+    many, c = F.col("n_") >= 3, [F.col(f"c{k}_") for k in range(4)]
     if channels == 1:
-        out = F.array(F.when(n >= 3, (a[0] + F.get(a, F.lit(1)) + F.get(a, F.lit(2))) / 3).otherwise(a[0]))
+        out = F.array(F.when(many, (c[0] + c[1] + c[2]) / 3).otherwise(c[0]))
     else:
-        rgb = F.when(n >= 3, F.slice(a, 1, 3)).otherwise(F.array(a[0], a[0], a[0]))
-        out = rgb if channels == 3 else F.concat(rgb, F.array(F.coalesce(F.get(a, F.lit(3)), F.lit(opaque))))
+        rgb = [c[0], F.when(many, c[1]).otherwise(c[0]), F.when(many, c[2]).otherwise(c[0])]
+        out = F.array(*rgb) if channels == 3 else F.array(*rgb, F.coalesce(c[3], F.lit(opaque)))
     return packed.select(*keys, F.posexplode(out).alias("channel", "v"))
 
 
+def stored_tiles(found: DataFrame) -> DataFrame:
+    """path, ifd_index, tile, n_bytes of every block that a file's directories hold; an empty one has no bytes."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                for i, d in enumerate(codec.directories(bytes(content))):
+                    sizes = d.many("TileByteCounts") if d.tiled else d.many("StripByteCounts")
+                    yield pd.DataFrame({"path": path, "ifd_index": i, "tile": range(len(sizes)), "n_bytes": [int(b) for b in sizes]})
+
+    return found.select("path", "content").mapInPandas(run, "path string, ifd_index int, tile long, n_bytes long")
+
+
+def write_statistics(found: DataFrame) -> DataFrame:
+    """path, images, dim_x, dim_y (of the first image), tiles (stored ones), n_bytes (in them) of each file."""
+    sizes = tiff_info(found).where("valid").groupBy("path").agg(F.count("*").alias("images"), F.max(F.when(F.col("ifd_index") == 0, F.col("dim_x"))).alias("dim_x"), F.max(F.when(F.col("ifd_index") == 0, F.col("dim_y"))).alias("dim_y"))
+    return sizes.join(stored_tiles(found).groupBy("path").agg(F.count_if(F.col("n_bytes") > 0).alias("tiles"), F.sum("n_bytes").alias("n_bytes")), "path")
+
+
+def incremental_tiles(arrivals: DataFrame, tile: int, width, height, flush: bool = True) -> DataFrame:
+    """tile_x, tile_y, step, complete: when each tile of an image is written as its pixels (step, x, y) arrive. With flush a tile goes at the step that completes it; all others go at the last step."""
+    t = F.lit(tile)
+    w, h = (v if isinstance(v, Column) else F.lit(v) for v in (width, height))
+    once = arrivals.groupBy("x", "y").agg(F.min("step").alias("step"))
+    tiles = once.groupBy(floor_div("x", t).alias("tile_x"), floor_div("y", t).alias("tile_y")).agg(F.count("*").alias("n"), F.max("step").alias("done"))
+    whole = F.col("n") == F.least(t, w - F.col("tile_x") * t) * F.least(t, h - F.col("tile_y") * t)
+    end = arrivals.agg(F.max("step").alias("end"))
+    return tiles.join(F.broadcast(end)).select("tile_x", "tile_y", F.when(whole & F.lit(flush), F.col("done")).otherwise(F.col("end")).alias("step"), whole.alias("complete"))
+
+
+def encode_pyramids(px: DataFrame, key: str, element_type: str = "uint8", **options) -> DataFrame:
+    """key, content: one TIFF file for each pyramid of pixels (key, level, channel, x, y, v), a directory for each level; a pyramid is one group."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        content = b""
+        for _, part in pdf.groupby("level"):
+            image = np.zeros((int(part["y"].max()) + 1, int(part["x"].max()) + 1, int(part["channel"].max()) + 1), element_type)
+            image[part["y"], part["x"], part["channel"]] = part["v"].astype(element_type)
+            content = codec.write(image, before=content, **options)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [content]})
+
+    return px.groupBy(key).applyInPandas(run, f"{key} {px.schema[key].dataType.simpleString()}, content binary")
+
+
 def encode_images(px: DataFrame, key: str, element_type: str = "uint8", **options) -> DataFrame:
     """key, content: one TIFF file for each image of pixels (key, channel, x, y, v)."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -121,10 +181,10 @@ class _Commit(WriterCommitMessage):
 
 
 class TiffWriter(DataSourceWriter):
-    """Writes rows (name, content) as files under temporary names; they get their own on commit and go on abort."""
+    """Writes rows (name, content) as files: each task into a folder of the job's own, from which they are moved on commit. What failed tasks left goes with that folder, on commit as on abort. Two rows of one name are an error."""
 
     def __init__(self, folder: str, delete_on_error: bool):
-        self.folder, self.delete = folder, delete_on_error
+        self.folder, self.delete, self.job = folder, delete_on_error, f"_job-{uuid.uuid4().hex}"
 
     def _fs(self):
         from pyarrow import fs
@@ -132,13 +192,14 @@ class TiffWriter(DataSourceWriter):
         return fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
 
     def write(self, rows) -> WriterCommitMessage:
-        import uuid
-
         store, root = self._fs()
-        store.create_dir(root)
+        own = f"{root}/{self.job}/{uuid.uuid4().hex}"
+        store.create_dir(own, recursive=True)
         paths, sizes = [], []
         for name, content in rows:
-            path = f"{root}/{name}.{uuid.uuid4().hex}.part"
+            path = f"{own}/{name}"
+            if path in paths:
+                raise ValueError(f"two files are named {name}")
             with store.open_output_stream(path) as f:
                 f.write(bytes(content))
             paths.append(path)
@@ -146,17 +207,21 @@ class TiffWriter(DataSourceWriter):
         return _Commit(paths, sizes)
 
     def commit(self, messages) -> None:
-        store, _ = self._fs()
-        for m in filter(None, messages):
-            for p in m.paths:
-                store.move(p, p.rsplit(".", 2)[0])
+        store, root = self._fs()
+        paths = [p for m in filter(None, messages) for p in m.paths]
+        names = [p.rsplit("/", 1)[1] for p in paths]
+        if len(set(names)) != len(names):
+            raise ValueError("two files have one name")
+        for p, name in zip(paths, names, strict=True):
+            store.move(p, f"{root}/{name}")
+        store.delete_dir(f"{root}/{self.job}") if paths else None
 
     def abort(self, messages) -> None:
-        if self.delete:
-            store, _ = self._fs()
-            for m in filter(None, messages):
-                for p in m.paths:
-                    store.delete_file(p)
+        from pyarrow import fs
+
+        store, root = self._fs()
+        if self.delete and store.get_file_info(f"{root}/{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{root}/{self.job}")
 
 
 class TiffDataSource(DataSource):

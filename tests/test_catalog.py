@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars
 from tessera.operators import components, graph, labels, raster, rects, rois, slide
-from tessera.plans import catalog, catalog_functions, catalog_pyramids  # noqa: F401
+from tessera.plans import catalog, catalog_functions, catalog_pyramids, catalog_sources  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
