@@ -25,6 +25,8 @@ from tessera.llm import kernels
 from tessera.llm.shared import row_key, written
 
 WINDOW, BLOCK_BYTES = 10, 8 << 20
+#: Bytes of text in a shard; a longer text is a shard of its own.
+SHARD = 3 << 20
 #: Words: runs of digits, letters a-z (after lower-casing A-Z) and whatever isn't ASCII.
 MEMBER = np.zeros(256, bool)
 MEMBER[ord("0") : ord("9") + 1] = MEMBER[ord("a") : ord("z") + 1] = MEMBER[128:] = True
@@ -250,7 +252,7 @@ def shard_matches(items: Items, x: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 def _scan(batches: Iterator[pa.RecordBatch], items: Items, window: int, n_rest: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[list] = [[] for _ in _NAMES]
-        for lo, hi, data, off in kernels.text_blocks(batch.column(n_rest)):
+        for lo, hi, data, off in kernels.text_blocks(batch.column(n_rest), SHARD):
             x, where, end, first = ids_of(items, data, off)
             n = np.diff(first)
             rows[0] += n.tolist()
@@ -344,7 +346,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
             items = shared.value
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for lo, _, data, off in kernels.text_blocks(batch.column(at)):
+                for lo, _, data, off in kernels.text_blocks(batch.column(at), SHARD):
                     x, where, end, first = ids_of(items, data, off)
                     place = shard_matches(items, x, end)[0]
                     keep[lo + np.searchsorted(first, where[place], "right") - 1] = False

@@ -98,7 +98,7 @@ def screened(rows: DataFrame, n: int, n1: int) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = batch.column(0).to_numpy()
-            for lo, hi, data, off in kernels.text_blocks(batch.column(1), 1 << 20):
+            for lo, hi, data, off in kernels.text_blocks(batch.column(1), 1 << 19):
                 feature, begin, _, _, first = sentences(data, off)
                 owner = np.repeat(np.arange(hi - lo), np.diff(begin[first]))
                 once = np.unique((owner << BITS) + feature)
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         to = np.full(1 << BITS, -1, np.int32)
         to[names] = np.arange(len(names))
         for batch in batches:
-            for lo, hi, data, off in kernels.text_blocks(batch.column(1)):
+            for lo, hi, data, off in kernels.text_blocks(batch.column(1), 1 << 19):
                 feature, begin, _, _, first = sentences(data, off)
                 own = to[feature]
                 told = np.flatnonzero(own >= 0)
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         own = shared.value
         for batch in batches:
             scores, found = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
-            for lo, hi, data, off in kernels.text_blocks(batch.column(3)):
+            for lo, hi, data, off in kernels.text_blocks(batch.column(3), 1 << 19):
                 feature, begin, start, end, first = sentences(data, off)
                 z = own.sentence_scores(feature, begin)
                 owner = np.repeat(np.arange(hi - lo), np.diff(first))
@@ -222,7 +222,7 @@ def clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         own = model.value
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for lo, hi, data, off in kernels.text_blocks(batch.column(at)):
+            for lo, hi, data, off in kernels.text_blocks(batch.column(at), 1 << 19):
                 feature, begin, _, _, first = sentences(data, off)
                 owner = np.repeat(np.arange(hi - lo), np.diff(first))
                 keep[lo:hi] = -np.expm1(-np.bincount(owner, np.logaddexp(0, own.sentence_scores(feature, begin)), hi - lo)) < 0.5
