@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +26,7 @@ MIN_WORDS, MAX_REPEATED = 50, 0.5
 #: The share of a group's rows that the estimate rests on, and the fewest rows that get an estimate of their own.
 H, MIN_GROUP = 0.75, 60
 #: Steps end when no logarithm of a determinant changes by more, or after so many steps.
-SETTLED, MOST_STEPS = 0.01, 20
+SETTLED, MOST_STEPS = 0.02, 12
 #: The cutoff, in robust standard deviations of the logarithm of squared distances, and the third quartile of a normal variable.
 SIGMAS, QUARTILE = 3.0, 0.6745
 CLASSES = 16
@@ -105,7 +104,7 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in kernels.text_blocks(batch.column(3)):
+            for lo, hi, data, off in kernels.text_blocks(batch.column(3), 1 << 19):
                 counts, stats = measured(data, off)
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:3]), *(pa.array(c, pa.int64()) for c in counts), *(pa.array(c, pa.float64()) for c in stats)], names=schema.names)
 
@@ -130,18 +129,21 @@ _SUMS = [f"s{i}" for i in range(DIMS)] + [f"s{i}_{j}" for i in range(DIMS) for j
 _FIT = "grp string, start int, center array<double>, inverse array<double>, logdet double"
 
 
-def _estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums about a centre -> grp, start, center, inverse, logdet."""
+def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums about a centre (grp, start, center, n, sums) -> grp, start, center, inverse, logdet."""
     floor = np.diag(np.square(FLOOR))
-    for rows in batches:
-        out = []
-        for r in rows.itertuples(index=False):
-            n, s = max(r.n, 1), np.array(r.sums[:DIMS], float)
+    for batch in batches:
+        centers, inverses, logdets = [], [], []
+        for center, n, sums in zip(*(batch.column(c).to_pylist() for c in ("center", "n", "sums")), strict=True):
+            n, s = max(n, 1), np.array(sums[:DIMS])
             cov = np.zeros((DIMS, DIMS))
-            cov[np.triu_indices(DIMS)] = np.array(r.sums[DIMS:], float) / n
+            cov[np.triu_indices(DIMS)] = np.array(sums[DIMS:]) / n
             cov = cov + np.triu(cov, 1).T - np.outer(s / n, s / n) + floor
-            out.append((r.grp, r.start, (np.array(r.center) + s / n).tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
-        yield pd.DataFrame(out, columns=["grp", "start", "center", "inverse", "logdet"])
+            centers.append((np.array(center) + s / n).tolist())
+            inverses.append(np.linalg.inv(cov).ravel().tolist())
+            logdets.append(float(np.linalg.slogdet(cov)[1]))
+        doubles = pa.list_(pa.float64())
+        yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("start"), pa.array(centers, doubles), pa.array(inverses, doubles), pa.array(logdets, pa.float64())], names=["grp", "start", "center", "inverse", "logdet"])
 
 
 def _moments(rows: DataFrame, *by: str) -> DataFrame:
@@ -166,7 +168,7 @@ def starts(rows: DataFrame) -> DataFrame:
     by_one = median.selectExpr("grp", "2 AS start", center, diagonal(lambda i: "1D"), "cast(null as double) AS logdet")
     about = median.selectExpr("grp", center)
     whole = _moments(rows.join(about, "grp"), "grp").join(about, "grp").selectExpr("grp", "1 AS start", "center", "n", f"array({', '.join(_SUMS)}) AS sums")
-    classical = whole.mapInPandas(_estimate, _FIT).withColumn("logdet", F.lit(None).cast("double"))
+    classical = whole.mapInArrow(_estimate, _FIT).withColumn("logdet", F.lit(None).cast("double"))
     return by_spread.union(classical.select(*by_spread.columns)).union(by_one)
 
 
@@ -176,7 +178,7 @@ def concentrated(rows: DataFrame, fit: DataFrame, h: float = H) -> DataFrame:
     before = "sum(n) OVER (PARTITION BY grp, start ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     nearest = by_class.withColumn("before", F.expr(f"coalesce({before}, 0)")).withColumn("whole", F.expr("sum(n) OVER (PARTITION BY grp, start)")).where(f"before < {h} * whole")
     sums = nearest.groupBy("grp", "start", "center").agg(F.sum("n").alias("n"), F.array(*(F.sum(c) for c in _SUMS)).alias("sums"))
-    return sums.mapInPandas(_estimate, _FIT)
+    return sums.mapInArrow(_estimate, _FIT)
 
 
 def estimates(rows: DataFrame, h: float = H, most_steps: int = MOST_STEPS, sigmas: float = SIGMAS) -> DataFrame:
