@@ -71,6 +71,30 @@ class Buffer:
         found = self.facing(xs, ys)
         return np.where(found == NO_LABEL, outside, found).reshape(h, w)
 
+    def change(self, rect: tuple[int, int, int, int] | None, kind: str, x: int, y: int, covered: bool = False, within: tuple[int, int, int, int] | None = None) -> tuple[int, int, int, int]:
+        """A rectangle (min_x, max_x, min_y, max_y), the last frame's without one, expanded or shifted in a diagonal direction, and clipped to another.
+
+        What was there before must be covered by the stored frames if asked for, and the last frame always is. Not to meet the other rectangle is an error.
+        """
+        if rect is None:
+            if not self.frames:
+                raise ValueError("there is no frame")
+            last = self.frames[-1]
+            rect = last.min_x, last.max_x, last.min_y, last.max_y
+        a, b, c, d = rect
+        if covered and (self.read(a, c, b - a + 1, d - c + 1, NO_LABEL) == NO_LABEL).any():
+            raise ValueError("the rectangle isn't covered by the stored frames")
+        if kind == "EXPAND":
+            a, b, c, d = a - x, b + x, c - y, d + y
+        else:
+            dx, dy = x if kind.startswith("RIGHT") else -x, y if kind.endswith("DOWN") else -y
+            a, b, c, d = a + dx, b + dx, c + dy, d + dy
+        if within is not None:
+            a, b, c, d = max(a, within[0]), min(b, within[1]), max(c, within[2]), min(d, within[3])
+            if a > b or c > d:
+                raise ValueError("the rectangles don't meet")
+        return a, b, c, d
+
     def based(self, labels: np.ndarray) -> np.ndarray:
         """The labels' representatives."""
         names, at = np.unique(labels, return_inverse=True)

@@ -98,21 +98,18 @@ def best_links(source: np.ndarray, target: np.ndarray) -> tuple[list[tuple[int,
     """The cheapest many-to-many linking of two sorted point sets: the grid path from first to last pair whose steps raise one or both
     indices, each costing the distance of the points it reaches. Of equally cheap ways the one by both, then by the target, then by the source."""
     n, m = len(source), len(target)
-    if (np.diff(source) < 0).any() or (np.diff(target) < 0).any():
+    if not points_sorted(source) or not points_sorted(target):
         raise ValueError("points must be sorted")
     cost = np.abs(source[:, None] - target[None, :]).astype(float)
-    best = np.empty((n, m))
-    come = np.zeros((n, m), np.int8)
-    for i in range(n):
-        for j in range(m):
-            if i == j == 0:
-                best[i, j] = 0.0
-                continue
-            ways = [(best[i - 1, j - 1], 0) if i and j else (np.inf, 0), (best[i - 1, j], 2) if i else (np.inf, 2), (best[i, j - 1], 1) if j else (np.inf, 1)]
-            least = min(w for w, _ in ways)
-            # relaxation runs over predecessors in index order and only improves, so the first of the equal ones stays
-            how = next(h for w, h in ways if w == least)
-            best[i, j], come[i, j] = least + cost[i, j], how
+    best, come = np.full((n + 1, m + 1), np.inf), np.zeros((n, m), np.int8)
+    best[1, 1] = 0.0
+    for d in range(1, n + m - 1):  # pairs of one sum of indices depend on those of the two sums before only
+        i = np.arange(max(0, d - m + 1), min(n, d + 1))
+        j = d - i
+        ways = np.stack([best[i, j], best[i, j + 1], best[i + 1, j]])  # both raised, the source, the target: the first of equally cheap ones stays
+        how = ways.argmin(0)
+        come[i, j] = np.array([0, 2, 1])[how]
+        best[i + 1, j + 1] = ways[how, np.arange(len(i))] + cost[i, j]
     path, i, j = [], n - 1, m - 1
     while True:
         path.append((i, j))
@@ -122,6 +119,16 @@ def best_links(source: np.ndarray, target: np.ndarray) -> tuple[list[tuple[int,
         i, j = i - (h in (0, 2)), j - (h in (0, 1))
 
 
+def points_sorted(points: np.ndarray) -> bool:
+    return not (np.diff(points) < 0).any()
+
+
+def sortedness(points: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """key, is_sorted: whether each group's values don't fall in its order."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
+    return points.withColumn("falls_", F.coalesce(before > F.col(value), F.lit(False))).groupBy(key).agg((~F.max("falls_")).alias("is_sorted"))
+
+
 def linked_labels(own: np.ndarray, adj: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of labels that continue across a border: those after each step of the linking that moves along both lines."""
     s, s_label = changes(own)

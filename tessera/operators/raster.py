@@ -109,6 +109,58 @@ def read_scaled(px: DataFrame, width: int, height: int, compression: int) -> Dat
     return downsample(now, w, h, left, "MAX") if left > 1 else now
 
 
+def resized(px: DataFrame, width: int, height: int, over: int, under: int = 1) -> DataFrame:
+    """The raster compressed over / under times (1 or more): each new pixel is the mean of what it covers, pixels counted by the part of them, rounded down. Sides are rounded down; weights are whole numbers, so sums are exact."""
+    if over < under:
+        raise ValueError("a compression is 1 or more")
+    wide, high = width * under // over, height * under // over
+
+    def cells(c: str, n: int) -> Column:
+        low, last = F.col(c) * under, (F.col(c) + 1) * under - 1
+        at = F.sequence(floor_div(low, F.lit(over)), floor_div(last, F.lit(over)))
+        return F.filter(F.transform(at, lambda k: F.struct(k.alias("to"), (F.least(last + 1, (k + 1) * over) - F.greatest(low, k * over)).alias("part"))), lambda q: q["to"] < n)
+
+    spread = px.select("v", F.explode(cells("x", wide)).alias("a"), "y").select("v", "a", F.explode(cells("y", high)).alias("b"))
+    part = F.col("a.part") * F.col("b.part")
+    sums = spread.groupBy(F.col("a.to").alias("x"), F.col("b.to").alias("y")).agg(F.sum(F.col("v") * part).alias("s"), F.sum(part).alias("n"))
+    return sums.select("x", "y", floor_div("s", F.col("n")).alias("v"))
+
+
+def read_compressed(levels: DataFrame, sizes: list[tuple[int, int]], over: int, under: int = 1, base: int = 2) -> DataFrame:
+    """The whole raster at a compression of over / under: the coarsest level (level, x, y, v; sizes: their sides) not coarser than that, compressed by what is left."""
+    level = 0
+    while level + 1 < len(sizes) and base ** (level + 1) * under <= over:
+        level += 1
+    own = levels.where(F.col("level") == level).select("x", "y", "v")
+    left = under * base**level
+    return own if left == over else resized(own, *sizes[level], over, left)
+
+
+def displayed(px: DataFrame, area: tuple[int, int, int, int], width: int, height: int, most: float, background: int) -> DataFrame:
+    """x, y, v of an area as a display shows it, from its corner: values scaled to 0..255 and rounded down, the background's colour outside the image; an empty area shows one black pixel."""
+    x0, x1, y0, y1 = area
+    if x0 > x1 or y0 > y1:
+        return px.sparkSession.range(1).selectExpr("0L as x", "0L as y", "0L as v")
+    shown = px.select("x", "y", F.floor(F.col("v") * (255.0 / most)).cast("bigint").alias("v"))
+    whole = px.sparkSession.range(1).selectExpr(f"{x0}L as min_x", f"{x1}L as max_x", f"{y0}L as min_y", f"{y1}L as max_y")
+    outside = F.when(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1), 0).otherwise(background).cast("bigint")
+    return window_of(shown, whole, outside).select((F.col("x") - x0).alias("x"), (F.col("y") - y0).alias("y"), "v")
+
+
+def rotated_label(px: DataFrame, angle: int, width: int, height: int, background: int) -> DataFrame:
+    """A label image rotated by 0, 90, 180 or 270 degrees within its own sides: made smaller to fit, both sides in the same proportion, and centred on the background."""
+    if angle == 0:
+        return px
+    turned = rotate(px, angle, width, height).select("x", "y", "v")
+    w, h = (height, width) if angle in (90, 270) else (width, height)
+    over, under = max((w, width), (h, height), (1, 1), key=lambda r: r[0] / r[1])
+    if over > under:
+        turned, w, h = resized(turned, w, h, over, under), w * under // over, h * under // over
+    left, top = (width - w) // 2, (height - h) // 2
+    whole = px.sparkSession.range(1).selectExpr("0L as min_x", f"{width - 1}L as max_x", "0L as min_y", f"{height - 1}L as max_y")
+    return window_of(turned.select((F.col("x") + left).alias("x"), (F.col("y") + top).alias("y"), "v"), whole, F.lit(background).cast(px.schema["v"].dataType))
+
+
 def combine_override(main: DataFrame, other: DataFrame, key: str = "level") -> DataFrame:
     """Levels of `other` where it has them, else of `main`."""
     return other.unionByName(main.join(other.select(key).distinct(), key, "left_anti"))

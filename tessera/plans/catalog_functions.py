@@ -366,6 +366,49 @@ def link_points(v):
     return L.link_points(_points(v))
 
 
-@query()
+_FEW = "select event_id // 8 as g, event_id % 2 = 0 as s, cast(event_id * 7919 % 977 as double) as v from events"
+
+
+@query(f"""with recursive p as ({_FEW}), a as (select g, v, row_number() over (partition by g order by v) - 1 as i from p where s), b as (select g, v, row_number() over (partition by g order by v) - 1 as j from p where not s),
+    c as (select a.g, i, j, abs(a.v - b.v) as cost, max(i) over (partition by a.g) as n, max(j) over (partition by a.g) as m from a join b on a.g = b.g),
+    w as (select g, i, j, cost as cost from c where i = 0 and j = 0 union all select c.g, c.i, c.j, w.cost + c.cost from w join c on c.g = w.g and c.i - w.i in (0, 1) and c.j - w.j in (0, 1) and c.i + c.j > w.i + w.j)
+    select w.g, min(w.cost) as cost from w join (select distinct g, n, m from c) e on w.g = e.g and w.i = e.n and w.j = e.m group by w.g""")
 def link_cost(v):
-    return L.link_cost(L.link_points(_points(v)))
+    """Groups of eight events, half of them on either side."""
+    k = F.col("event_id")
+    points = v.table("events").select(S.floor_div(k, F.lit(8)).alias("g"), F.when(k % 2 == 0, "S").otherwise("T").alias("side"), (k * 7919 % 977).cast("double").alias("v"))
+    return L.link_cost(L.link_points(points))
+
+
+@query("with l as (select event_id % 50 as g, event_id, user_id % 40 + event_id // 40 as v, lag(user_id % 40 + event_id // 40) over (partition by event_id % 50 order by event_id) as p from events) select g, not bool_or(coalesce(p > v, false)) as is_sorted from l group by g")
+def points_sorted(v):
+    k = F.col("event_id")
+    points = v.table("events").select((k % 50).alias("g"), k.alias("k"), (F.col("user_id") % 40 + S.floor_div(k, F.lit(40))).alias("v"))
+    return L.sortedness(points, "g", "k", "v")
+
+
+@query("select s_suppkey % 4 as g, count(distinct case when s_suppkey % 4 = 3 then s_suppkey % 8 else 0 end) <= 1 as compatible from supplier group by 1")
+def frame_compatibility(v):
+    """Frames of four sets, of which the last has two sizes."""
+    k = F.col("s_suppkey")
+    frames = v.table("supplier").select((k % 4).alias("g"), F.lit("u8").alias("element_type"), F.lit(1).alias("channels"), F.when(k % 4 == 3, k % 8).otherwise(0).alias("w"), F.lit(5).alias("h"))
+    sets = [L.frame_compatibility(frames.where(F.col("g") == g)).select(F.lit(g).alias("g"), "compatible") for g in range(4)]
+    return sets[0].unionByName(sets[1]).unionByName(sets[2]).unionByName(sets[3])
+
+
+@query("select s_suppkey as k, min_x - 3 as e0, max_x + 3 as e1, min_y - 2 as e2, max_y + 2 as e3, min_x + 5 as m0, max_x + 5 as m1, min_y - 7 as m2, max_y - 7 as m3, case when least(max_x, 2500) >= greatest(min_x, 300) and least(max_y, 2000) >= greatest(min_y, 200) then greatest(min_x, 300) end as i0, case when least(max_x, 2500) >= greatest(min_x, 300) and least(max_y, 2000) >= greatest(min_y, 200) then least(max_x, 2500) end as i1 from (select roi_index as s_suppkey, * from rois)", ("rois",))
+def rect_algebra(v):
+    """Rectangles expanded, shifted, and the sides of what they have in common with one area."""
+    own = tuple(F.col(s) for s in B.SIDES)
+    grown = S.change_rect(F.lit("EXPAND"), own, F.lit(3), F.lit(2))
+    moved = S.change_rect(F.lit("RIGHT_UP"), own, F.lit(5), F.lit(7))
+    area = (300, 2500, 200, 2000)
+    a, b, c, d = F.greatest(own[0], F.lit(area[0])), F.least(own[1], F.lit(area[1])), F.greatest(own[2], F.lit(area[2])), F.least(own[3], F.lit(area[3]))
+    meet = (a <= b) & (c <= d)
+    return v.rois.select(F.col("roi_index").alias("k"), *(x.alias(f"e{i}") for i, x in enumerate(grown)), *(x.alias(f"m{i}") for i, x in enumerate(moved)), F.when(meet, a).alias("i0"), F.when(meet, b).alias("i1"))
+
+
+@query("select s_suppkey as k, case when r >= 256 then 4 when r >= 64 then 3 when r >= 16 then 2 when r >= 4 then 1 else 0 end as level from (select s_suppkey, s_suppkey % 300 + 1 as r from supplier)")
+def svs_actual_level(v):
+    k = F.col("s_suppkey")
+    return v.table("supplier").select(k.alias("k"), Y.svs_actual_level((k % 300 + 1).cast("double"), F.lit(4.0)).alias("level"))

@@ -305,3 +305,44 @@ def buffer_partial(v):
 def frame_maximum(v):
     at = (S.floor_div("y", F.lit(32)) * 4 + S.floor_div("x", F.lit(32))).alias("frame_seq")
     return v.px.groupBy(at).agg(F.max_by(F.struct("x", "y", "v"), F.struct("v", -F.col("y"), -F.col("x"))).alias("b")).select("frame_seq", "b.*")
+
+
+_HALF = "select x // 2 as x, y // 2 as y, max(v) as v from px where y < (select (h // 2) * 2 from h) group by 1, 2"
+
+
+@query(f"""with l as ({_HALF}), t as (select v, i as x, least(4 * (x + 1), 5 * (i + 1)) - greatest(4 * x, 5 * i) as wx, y from l cross join (select unnest(range(0, 51)) as i) where 5 * i < 4 * (x + 1) and 5 * (i + 1) > 4 * x),
+    u as (select v, x, wx, j as y, least(4 * (y + 1), 5 * (j + 1)) - greatest(4 * y, 5 * j) as wy from t cross join (select unnest(range(0, (select (h // 2) * 4 // 5 from h))) as j) where 5 * j < 4 * (y + 1) and 5 * (j + 1) > 4 * y)
+    select x, y, cast(sum(v * wx * wy) as bigint) // cast(sum(wx * wy) as bigint) as v from u group by x, y""", ("px",))
+def read_compressed(v):
+    """The raster at a compression of 2.5: from the second level, 1.25 times."""
+    sizes = R.level_sizes(WIDTH, v.height, 2, 1)[:3]
+    levels = R.build_pyramid(v.px, WIDTH, v.height, 2, 1).where("level < 3")
+    return R.read_compressed(levels, sizes, 5, 2)
+
+
+@query("select a.x, b.y, case when p.v is not null then cast(floor(p.v * (255.0::double / 250)) as bigint) when a.x + 100 <= 127 and b.y - 4 between 0 and (select h - 1 from h) then 0 else 243 end as v from (select unnest(range(0, 60)) as x) a cross join (select unnest(range(0, 30)) as y) b left join px p on p.x = a.x + 100 and p.y = b.y - 4", ("px",))
+def display_image(v):
+    return R.displayed(v.px, (100, 159, -4, 25), WIDTH, v.height, 250, 243)
+
+
+@query("select x, y, v from px", ("px",))
+def pass_through(v):
+    """What is given isn't read again."""
+    from tessera.sources.pyramids import given_or_read
+
+    return given_or_read(v.px, lambda: v.table("missing"))
+
+
+@query()
+def pack_squares_limited(v):
+    """At most five squares a strip, which overlap by one pixel."""
+    return Q.pack_squares(v.px.select((S.floor_div("y", F.lit(64))).alias("strip"), "x", (F.col("y") % 64).alias("y"), (F.col("v") % 11).alias("v")), "strip", 3, False, 1, 5)
+
+
+@query()
+def buffer_controls(v):
+    """The frames of each buffer with a smaller store from the second on, all dropped after the third, the buffer forgotten after the fourth."""
+    events = _events(v).withColumn("seq", F.col("seq") * 2)
+    controls = v.spark.range(4).selectExpr("id as buffer_id", "explode(array(struct(5L as seq, 'CAPACITY' as kind, 1 as capacity, false as reset), struct(7L as seq, 'CLEAR' as kind, 0 as capacity, false as reset), struct(9L as seq, 'REMOVE' as kind, 0 as capacity, true as reset))) as e").select("buffer_id", "e.*")
+    controls = controls.selectExpr("buffer_id", "seq", "kind", "capacity", "reset", "cast(null as bigint) as min_x", "cast(null as bigint) as min_y", "cast(null as int) as w", "cast(null as int) as h", "cast(null as array<bigint>) as labels")
+    return M.replay(events.unionByName(controls))

@@ -98,6 +98,25 @@ def read_frames(tiles: DataFrame, level: int, frame_x: int, frame_y: int, sequen
     return met.mapInPandas(run, f"{key} {kind}, roi_index int, frame_index long, " + ", ".join(f"{f} boolean" for f in flags) + ", min_x long, min_y long, channel int, x long, y long, v double")
 
 
+class Delayed:
+    """A pyramid whose sides are known before its tiles: reading before they are set is an error, and so are tiles of other sides."""
+
+    def __init__(self, levels: list[tuple[int, int]]):
+        self.levels, self._tiles = levels, None
+
+    def set(self, tiles: DataFrame) -> None:
+        found = {r.level: (r.dim_x, r.dim_y) for r in levels_of(tiles).collect()}
+        if found != dict(enumerate(self.levels)):
+            raise ValueError(f"the pyramid has other levels: {found}")
+        self._tiles = tiles
+
+    @property
+    def tiles(self) -> DataFrame:
+        if self._tiles is None:
+            raise RuntimeError("the pyramid isn't ready")
+        return self._tiles
+
+
 def given_or_read(given: DataFrame | None, read: Callable[[], DataFrame]) -> DataFrame:
     """What is already there, else what is read; then nothing is opened."""
     return given if given is not None else read()

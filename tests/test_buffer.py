@@ -176,3 +176,13 @@ def test_remove_forgets_the_buffer(spark):
     got = {(r.seq, r.x, r.y): r.v for r in buffer.reads(events).collect()}
     assert got == {(2, 0, 0): 1, (2, 1, 0): 1, (2, 0, 1): 2, (2, 1, 1): 2, (5, -1, 0): 0, (5, 0, 0): 1, (5, 1, 0): 0}
     assert [tuple(r) for r in buffer.correlation_tables(events, 0).orderBy("label").collect()] == [(1, 0, 0, False, False), (1, 1, 1, False, False)]
+
+
+def test_rectangles_of_a_buffer():
+    b = buffer.Buffer(capacity=2)
+    b.append(1, 0, 0, np.ones((3, 4), int))
+    assert b.change(None, "EXPAND", 2, 1) == (-2, 5, -1, 3) and b.change(None, "LEFT_DOWN", 2, 1, True) == (-2, 1, 1, 3)
+    assert b.change((0, 3, 0, 2), "RIGHT_UP", 1, 1, True, (0, 9, 0, 9)) == (1, 4, 0, 1)
+    for bad in (lambda: b.change((0, 4, 0, 2), "EXPAND", 0, 0, True), lambda: b.change(None, "LEFT_UP", 50, 0, False, (0, 9, 0, 9)), lambda: buffer.Buffer().change(None, "EXPAND", 1, 1)):
+        with pytest.raises(ValueError):
+            bad()

@@ -126,3 +126,28 @@ def test_description_errors(spark):
     bad = spark.createDataFrame([("x|MPP = wide",)], "t string").select(slide.pixel_size(slide.parse_description("t")))
     with pytest.raises(Exception):
         bad.collect()
+
+
+def test_resizing(spark):
+    rng = np.random.default_rng(4)
+    image = rng.integers(0, 200, (7, 9))
+    px = spark.createDataFrame([(x, y, int(image[y, x])) for y in range(7) for x in range(9)], "x long, y long, v long")
+    fine = np.repeat(np.repeat(image, 2, 0), 2, 1)  # compressed 3 / 2 times: whole blocks of 3 x 3 halves
+    want = {(x, y): int(fine[3 * y : 3 * y + 3, 3 * x : 3 * x + 3].sum()) // 9 for y in range(14 // 3) for x in range(18 // 3)}
+    assert {(r.x, r.y): r.v for r in raster.resized(px, 9, 7, 3, 2).collect()} == want
+    turned = {(r.x, r.y): r.v for r in raster.rotated_label(px, 90, 9, 7, 255).collect()}
+    assert len(turned) == 63 and sum(v == 255 for v in turned.values()) == 63 - 5 * 7 and all(turned[x, y] == 255 for x in (0, 1, 7, 8) for y in range(7))
+    half = raster.rotated_label(px, 180, 9, 7, 255).collect()
+    assert {(r.x, r.y): r.v for r in half} == {(8 - x, 6 - y): int(image[y, x]) for y in range(7) for x in range(9)}
+    with pytest.raises(ValueError):
+        raster.resized(px, 9, 7, 1, 2)
+    assert [tuple(r) for r in raster.displayed(px, (3, 2, 0, 0), 9, 7, 255, 1).collect()] == [(0, 0, 0)]
+
+
+def test_running_sums(spark):
+    rng = np.random.default_rng(5)
+    keys = rng.permutation(500)
+    df = spark.createDataFrame([(int(k), int(k) % 7) for k in keys], "k long, v long").repartition(5)
+    want = np.concatenate([[0], np.cumsum(np.arange(500) % 7)])
+    assert all(r.row == r.k + 1 and r.before == want[r.k] for r in rects.running(df, "k", "v").collect())
+    assert rects.running(df.limit(0), "k").count() == 0

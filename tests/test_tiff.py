@@ -119,3 +119,17 @@ def test_rois_that_overlap_are_errors(spark):
     assert np.isnan(read[0].v) and read[1].v == 5.0
     with pytest.raises(Exception):
         levels.select(*pyramid.frame_size("dim_x", "dim_y", 64)).collect()
+
+
+def test_delayed_pyramids(spark, tmp_path):
+    from tessera.sources import image, pyramids
+
+    (tmp_path / "a.png").write_bytes(image.png(np.zeros((4, 6, 3))))
+    tiles = pyramids.open_pyramids(spark, str(tmp_path / "a.png"))
+    late = pyramids.Delayed([(6, 4)])
+    with pytest.raises(RuntimeError):
+        late.tiles
+    with pytest.raises(ValueError):
+        pyramids.Delayed([(6, 5)]).set(tiles)
+    late.set(tiles)
+    assert pyramids.read_frames(late.tiles, 0, 3, 3).count() == 72
