@@ -20,9 +20,9 @@ from tessera.llm import kernels
 from tessera.llm.shared import row_key, written
 
 #: The classifier is fitted on this many labelled documents at most, those whose hashes come first, in so many parts. Scores cover all documents.
-SAMPLE, PARTS = 20_000, 12
+SAMPLE, PARTS = 20_000, 6
 #: Features are hashed to BITS; those are fitted whose shares in toxic and other documents are APART standard errors apart.
-BITS, APART, EPOCHS, RELAXED, RATE, PENALTY, FOLDS = 22, 3, 60, 60, 0.3, 8e-4, 5
+BITS, APART, EPOCHS, RELAXED, RATE, PENALTY, FOLDS = 22, 3, 30, 20, 0.5, 8e-4, 5
 #: A word counts as itself and by its beginnings of so many bytes, so that inflected forms share what is learnt.
 PREFIXES = (4, 5, 6)
 MEMBER = np.zeros(256, bool)
