@@ -14,13 +14,13 @@ import base64
 import hashlib
 import heapq
 import sys
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,19 +28,24 @@ from tessera.llm import kernels
 
 L, N, S, W, O, A2, A3 = range(7)
 FRESH, IN_L, IN_N, IN_O, AFTER_S, AFTER_W, NEED1, NEED2 = range(8)
-#: Unicode's White_Space property.
-WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: What the pre-tokeniser's pattern takes after an apostrophe.
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 CACHED_PIECES, STEP = 250_000, 256
 
 
+def members(pattern: str) -> np.ndarray:
+    """The code points that match a one-character pattern, by the library's own tables: a match comes out as its bytes, the rest doesn't."""
+    spell = tiktoken.Encoding("members", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    points = "".join(map(chr, chain(range(0xD800), range(0xE000, sys.maxunicode + 1))))
+    return np.frombuffer(bytes(spell.encode_ordinary(points)).decode().encode("utf-32-le"), np.uint32)
+
+
 @cache
 def class_table() -> np.ndarray:
-    kind = {"L": L, "N": N}
-    table = np.fromiter((kind.get(unicodedata.category(chr(i))[0], O) for i in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
-    table[WHITE] = W
-    table[0x20] = S
+    """Each code point's class, by the version of Unicode that tiktoken has."""
+    table = np.full(sys.maxunicode + 1, O, np.uint8)
+    for pattern, kind in ((r"\p{L}", L), (r"\p{N}", N), (r"\s", W), (r"\x20", S)):
+        table[members(pattern)] = kind
     return table
 
 
