@@ -53,7 +53,7 @@ _HEADS[0x80:0xC0] = False  # a code point's first byte
 
 def repeats(text: np.ndarray, h: np.ndarray) -> np.ndarray:
     """For each hash whether its text has it twice or more."""
-    order = np.argsort(kernels.mix(text.astype(np.uint64) + np.uint64(1)) + h, kind="stable")
+    order = np.argsort(kernels.mix(text.astype(np.uint64) + np.uint64(1)) + h)
     same = (np.diff(h[order]) == 0) & (np.diff(text[order]) == 0)
     out = np.zeros(len(h), bool)
     out[order[1:]] = same
