@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import written
+from tessera.llm.shared import discarded, written
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -27,6 +27,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         both = edges.union(edges.select("v", "u")).toDF("u", "w")
         low = written(both.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = written(both.where("w > u").join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        discarded(low)
         low = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.union(low).distinct(), "edges")
+        old, edges = edges, written(small.union(low).distinct(), "edges")
+        discarded(old, large, low)

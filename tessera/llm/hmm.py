@@ -12,7 +12,6 @@ along with the model (a fixed size); those of all others are looked up by a join
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels
-from tessera.llm.shared import shared_folder, written
+from tessera.llm.shared import written
+from tessera.plans.storage import new_path
 
 STATES, OWN, BUCKETS, FAST = 6, 4096, 512, 1 << 16
 #: Baum-Welch ends after a sweep over all SLICES that raises the training texts' log-likelihood by less than this share of it.
@@ -108,15 +108,16 @@ SYMBOLS = END + 1
 def lexicon(counts: DataFrame, texts: int) -> Lexicon:
     bucket = F.expr(f"pmod(pmod(word, {BUCKETS}) + {BUCKETS}, {BUCKETS})")  # 2**64 is a multiple of BUCKETS, so signs don't matter
     sums = counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    # counts fall into a few thousand classes in their order; the fast words are whole classes from the top, so no task gathers candidates
+    # counts fall into a few thousand classes in their order; the fast words are whole classes from the top and, by hash, the part of the
+    # next one that there is room for, so no task gathers candidates
     rank_of = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log2("n") * 64))
-    cut, room = -1, FAST
+    cut, part, room = -1, 0, FAST
     for r in sorted(counts.groupBy(rank_of.alias("c")).agg(F.count("*").alias("v")).collect(), key=lambda r: -r.c):
-        room -= r.v
-        if room < 0:
-            cut = r.c
+        if r.v > room:
+            cut, part = r.c, int(room / r.v * (1 << 20) * 0.95)
             break
-    top = counts.where(rank_of > cut).toArrow()
+        room -= r.v
+    top = counts.where((rank_of > cut) | (rank_of == cut) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < part)).toArrow()
     words, n = (np.asarray(top.column(c).to_numpy()) for c in ("word", "n"))
     n_b, v_b = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for r in sums:
@@ -255,7 +256,7 @@ def symbol_table(docs: DataFrame, lex: Lexicon, text: str = "text") -> list[Data
 
     slice_of = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(SLICES)).cast("int")
     table = docs.select(slice_of.alias("slice"), F.col(text).alias("text")).mapInArrow(run, "slice int, symbols binary")
-    path = f"{shared_folder(spark)}/symbols-{uuid.uuid4().hex}"
+    path = new_path(spark, "symbols")
     table.write.partitionBy("slice").parquet(path)
     return [spark.read.schema("symbols binary, slice int").parquet(path).where(F.col("slice") == i).select("symbols") for i in range(SLICES)]
 
@@ -380,6 +381,8 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: Model, doc_id
 def language_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Learns from the documents outside the held-out fold and scores all of them, each text whole.
 
+    Words are told apart by hashes of 64 bits. Of words that occur equally often the one with the smaller hash is the more frequent.
+
     Null and empty texts have one token, the end. Repeated rows count and come back as often as they occur. Other columns are
     ignored. Without training texts all counts are zero and the model is uniform. No rows: no rows.
     """

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm import kernels
 from tessera.llm.components import components
 from tessera.llm.filters import bit_filter, passes
-from tessera.llm.shared import fresh, key_bits, row_key, written
+from tessera.llm.shared import discarded, fresh, key_bits, row_key, written
 
 MIN_WORDS, SIMILARITY = 5, 0.8
 BLOCKS, CLASSES, KEPT = 5, 4, 8
@@ -328,7 +328,9 @@ def groups(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, mi
     apart = crowd.where("apart").select("bucket", F.col("node").alias("end"), F.col("root").alias("end_root"))
     more = crowd.join(apart, "bucket").where("root != end_root").select(*pair).distinct().join(pairs, ["a", "b"], "left_anti")
     more = written(_similar(more, texts, similarity), "links")
-    return roots if more.isEmpty() else components(roots.toDF("src", "dst").union(more))
+    found = roots if more.isEmpty() else components(roots.toDF("src", "dst").union(more))
+    discarded(shared, members, pairs, wanted, texts, links, crowd, more)
+    return found
 
 
 def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:

@@ -3,6 +3,7 @@
 Patterns find assignments, access keys and long hex runs. Confirmation adds spans whose decoded content proves itself:
 base64 or hex that decodes to a nested DER structure whose lengths all fit, to a length-prefixed SSH key blob, or a
 signed token whose header decodes to JSON that names an algorithm; and armoured keys whose body decodes.
+DER that nests deeper than MAX_DEPTH is none: keys nest a few levels, and the depth bounds the recursion.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "armour", "token", "der", "ssh")
 
-_ARMOUR = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}KEY(?: BLOCK)?)-----")
+_ARMOUR = re.compile(rb"-----BEGIN ([A-Z0-9 ]*KEY(?: BLOCK)?)-----")
 _HEADER = re.compile(rb"(?m)^[A-Za-z][A-Za-z-]*:\x20.*$")
 _BREAK = rb"(?:\\r|\\n|[\r\n])+[\x20\t]*"
-_TOKEN = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: A header is a JSON object: a brace, then a quote or white space, in the letters they become.
+_HEADS = (b"eyJ", b"eyA", b"ewo", b"ewk", b"ew0")
+_TOKEN = re.compile(rb"e(?:y[JA]|w[ok0])[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 #: Where base64 can hold a key: 0x30 and a length, or a field's length of three zero bytes, in the letters they become.
 _START64 = re.compile(rb"M[A-I][A-Za-z0-9+/_-]|AAAA[A-Z]")
 _RUN64 = re.compile(rb"[A-Za-z0-9+/_-]+(?:" + _BREAK + rb"[A-Za-z0-9+/_-]+)*")
@@ -232,7 +235,7 @@ def confirmed_spans(text: bytes) -> list[tuple[int, int, int]]:
             close, line = text.find(b"-----", m.end()), b"-----END " + m[1] + b"-----"
             if close >= 0 and text.startswith(line, close) and is_armoured(m[1], text[m.end() : close]):
                 out.append((m.start(), 3, close + len(line)))
-    if b"eyJ" in text:
+    if any(x in text for x in _HEADS):
         out += [(m.start(), 4, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     return [*out, *keys64(text), *keys16(text)]
 

@@ -1,33 +1,35 @@
-"""What several operators need from the session: the shared folder, written tables, and row keys."""
+"""What several operators need from the session: written tables, row keys and names of columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.storage import new_path
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; where it is unset, as in tests on one machine, a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The same rows from a table in the shared folder. Cuts the lineage: a lost executor loses none of them."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, from whatever store they are in."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, simhash
 from tessera.llm.components import components
-from tessera.llm.shared import fresh, key_bits, row_key
+from tessera.llm.shared import discarded, fresh, key_bits, row_key, written
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -218,3 +218,21 @@ def test_row_keys(spark):
     assert len(set(keys.to_pylist())) == 5 and all(len(k) == 16 for k in keys.to_pylist())
     assert key_bits(keys).tolist() == [int.from_bytes(k[:8], "little") for k in keys.to_pylist()]
     assert key_bits(keys[2:]).tolist() == key_bits(keys).tolist()[2:] and fresh(["Key", "key_"], "key") == "key__"
+
+
+def test_written_tables_can_be_discarded(spark):
+    a = written(spark.range(3), "a")
+    b = written(a, "b")
+    discarded(a, a, spark.range(1))
+    assert b.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(a.inputFiles()[0])
+
+
+def test_fingerprints_of_a_very_long_text(spark):
+    long = " ".join(f"w{i % 999}" for i in range(400_000))
+    got = {r.doc_id: r.fingerprint for r in simhash.near_duplicates(spark.createDataFrame([(1, long), (2, "a b c"), (3, None)], "doc_id long, text string")).collect()}
+    assert got[1] == f"{brute_fingerprint(long):016x}" and got[2] == f"{brute_fingerprint('a b c'):016x}" and got[3] == "0" * 16
+    line = " ".join(f"w{i}" for i in range(200_000))
+    kept = {r.doc_id: r.n_dropped for r in line_dedup.deduplicated(spark.createDataFrame([(1, line), (2, line.replace("w77 ", "z ", 1)), (3, "w1 w2")], "doc_id long, text string")).collect()}
+    assert kept == {1: 0, 2: 1, 3: 0}

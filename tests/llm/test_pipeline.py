@@ -39,6 +39,13 @@ def folder(tmp_path_factory):
     return str(path)
 
 
+@pytest.fixture(autouse=True)
+def few_steps(monkeypatch):
+    """The classifier's fit is tested elsewhere; here it may be short."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 30)
+    monkeypatch.setattr(toxicity, "RELAXED", 10)
+
+
 def test_pipeline_matches_plain_python(spark, folder):
     rows, _, items = corpus()
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))

@@ -24,6 +24,10 @@ RANKS = bpe.codec(bpe.ranks_file())
 TIKTOKEN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS.ranks, special_tokens={})
 
 
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
 def sha(b):
     return hashlib.sha256(b).hexdigest()
 
@@ -163,6 +167,10 @@ def test_secrets_from_any_start():
     armour = "-----BEGIN {0}-----{1}-----END {0}-----".format
     for label, body in (("RSA PRIVATE KEY", "\\n" + "\\n".join(wrapped) + "\\n"), ("PRIVATE KEY", "\n" + big + "\n"), ("RSA PRIVATE KEY", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + "q83v" * 40 + "\n"), ("PGP PRIVATE KEY BLOCK", "\nVersion: 1\n\n" + "lQOY" * 40 + "\n=aBcD\n")):
         assert "armour" in kinds(armour(label, body)), label
+    for head in ('{ "alg":"HS256"}', '{\n  "alg": "HS256"}', '{\t"alg":"none"}', '{\r\n"alg":"RS256"}'):
+        parts = [base64.urlsafe_b64encode(x).rstrip(b"=").decode() for x in (head.encode(), b'{"sub": 1}', b"sig")]
+        assert kinds("t=" + ".".join(parts)) == {"token"}, head
+    assert "armour" in kinds(armour("A VERY LONG AND NEVERTHELESS WELL FORMED LABEL OF A PRIVATE KEY", "\n" + b64 + "\n"))
     assert not kinds("M" * 60) and not kinds("MIIE" * 40) and not kinds("30" * 60)
     text = ("see path/" + b64 + " end").encode()
     assert [text[a:b].decode() for a, _, b in secrets.confirmed_spans(text)] == [b64]
@@ -204,6 +212,61 @@ def test_toxicity_learns_sentences_from_documents(spark, docs, nothing):
     assert toxicity.score(docs, toxicity.train(docs, y.limit(0))).where("score >= 0.5").count() == 0
 
 
+def test_toxicity_score_is_the_noisy_or(spark):
+    """Scores against the product over sentences, from the model's weights; a very long text is scored whole."""
+    weights = np.zeros(1 << toxicity.BITS, np.float32)
+    texts = ["good day. vile words! more vile words here", "nothing\nat all", "", None, "vile " * 3, ("plain sentence of words. " * 60_000) + "vile end."]
+    feature, begin, _, _, _ = toxicity.sentences(*(lambda b: (np.frombuffer(b, np.uint8), np.array([0, len(b)])))(b"vile"))
+    weights[feature[0]] = 4.0
+    model = toxicity.Model(weights, -5.0)
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        q = 1.0
+        for part in re.split(r"[.!?\n]", t or ""):
+            words = re.findall("[0-9a-z]+", part.lower())
+            if words:
+                q *= 1 - 1 / (1 + math.exp(5.0 - 4.0 * ("vile" in words)))
+        assert r.score == pytest.approx(1 - q, abs=1e-6) and r.predicted == int(1 - q >= 0.5)
+
+
+def test_every_code_point_is_encoded_as_by_tiktoken():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for before in "a1":
+        for k in range(0, len(points), 1 << 18):
+            text = "".join(before + c for c in points[k : k + (1 << 18)])
+            assert list(encode(text)) == TIKTOKEN.encode_ordinary(text)
+
+
+def test_very_long_texts(spark):
+    """One text over several blocks' length, beside short ones, in each operator that works by blocks."""
+    long = " ".join(f"w{i % 40_000}é" + ("\n" if i % 23 == 0 else "") for i in range(300_000)) + " password=hunter22x " + "ab" * 20
+    rows = [(1, "short text"), (2, long), (3, None), (4, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = TIKTOKEN.encode_ordinary(long)
+    got = {r.doc_id: r for r in bpe.round_trip(d).collect()}
+    assert (got[2].n_tokens, got[2].decoded_sha256) == (len(ids), sha(long.encode())) and got[2].ids_sha256 == sha(",".join(map(str, ids)).encode())
+    assert got[3].n_tokens == got[4].n_tokens == 0
+    found = {r.doc_id: r for r in secrets.scan(d).collect()}
+    assert found[2].base_sha256 == sha(brute_base(long).encode()) and found[2].n_assign == 1 and found[3].spans == ""
+    model = {r.doc_id: r for r in hmm.language_model(d).collect()}
+    train = [SPLIT.findall(lower(t)) + ["\0end"] for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = collections.Counter(w for t in train for w in t)
+    n, v = sum(count.values()), len(count)
+    for i, t in rows:
+        words = SPLIT.findall(lower(t)) + ["\0end"]
+        assert (model[i].n_tokens, model[i].n_known, model[i].train_tokens) == (len(words), sum(w in count for w in words), n)
+        assert model[i].base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words), rel=1e-9)
+        assert math.isfinite(model[i].score)
+
+
+def test_language_model_of_words_all_equally_frequent(spark, monkeypatch):
+    """A class of counts that is larger than there is room for gives some of its words their own symbols, and scores stay right."""
+    monkeypatch.setattr(hmm, "FAST", 100)
+    d = spark.createDataFrame([(i, f"u{2 * i} u{2 * i + 1}") for i in range(1000)], "doc_id long, text string")
+    lex = hmm.lexicon(hmm.word_counts(d), 1000)
+    assert 50 < len(lex.words) <= 130 and lex.distinct == 2001 and lex.seen.sum() == 3000
+
+
 def test_noisy_or_gradient():
     """The slope against brute noisy-or and finite differences."""
     rng = np.random.default_rng(3)
