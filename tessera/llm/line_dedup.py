@@ -155,57 +155,29 @@ def _choices(kept: int) -> list[tuple[int, ...]]:
     return list(combinations(range(BLOCKS), kept))
 
 
-def bucket_keys() -> str:
-    """SQL for the bucket keys of a long line's PARTS: for each choice a hash of its number, the words' number and its blocks."""
-    block = [f"shiftrightunsigned({p}, 32)" if high else f"{p} & 4294967295L" for p in PARTS for high in (True, False)]
-    words = f"{PARTS[-1]} & {_COUNT}L"
-    places, edge = [], None
-    for kept in range(1, BLOCKS):
-        least = next(n for n in range(1, BLOCKS * KEPT + 1) if kept_blocks(n) <= kept)
-        keys = ", ".join(f"xxhash64({100 * kept + i}L, {words}, {', '.join(block[b] for b in chosen)})" for i, chosen in enumerate(_choices(kept)))
-        places.append(f"WHEN {words} >= {least} THEN array({keys})")
-        edge = keys
-    classes = []
-    for c in range(CLASSES):
-        others = ", ".join(block[BLOCKS + b] for b in range(CLASSES) if b != c)
-        classes.append(f"CASE WHEN ({PARTS[-1]} & {1 << (28 + c)}L) != 0 THEN xxhash64({c}L, {others}) END")
-    return f"array_compact(concat(CASE {' '.join(places)} ELSE array({edge}) END, array({', '.join(classes)})))"
-
-
-_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
-
-def _hashed(columns: list[np.ndarray | int]) -> np.ndarray:
-    """Spark's xxhash64 of rows of longs."""
-    rotated = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
-    h = np.full(max(np.size(c) for c in columns), 42, np.uint64)
-    for c in columns:
-        x = np.asarray(c, np.uint64)
-        h = (h + _P5 + np.uint64(8)) ^ rotated(x * _P2, 31) * _P1
-        h = rotated(h, 27) * _P1 + _P4
-        h = (h ^ (h >> np.uint64(33))) * _P2
-        h = (h ^ (h >> np.uint64(29))) * _P3
-        h ^= h >> np.uint64(32)
-    return h
-
-
 def bucket_arrays(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same keys as (row, key) arrays, from a row of PARTS for each fingerprint."""
+    """(row, key): the bucket keys of long lines, from a row of PARTS for each: for each choice of blocks a hash of its number, the words' number (for places) and the blocks."""
     word = parts.view(np.uint64)
     block = [x for i in range(len(PARTS)) for x in (word[:, i] >> np.uint64(32), word[:, i] & np.uint64(0xFFFFFFFF))]
     words = word[:, -1] & np.uint64(_COUNT)
     kept = np.minimum(BLOCKS - 1, np.maximum(1, -(-BLOCKS * KEPT // np.maximum(words, np.uint64(1)).astype(np.int64))))
     rows, keys = [], []
+
+    def add(at: np.ndarray, number: int, columns: list[np.ndarray]) -> None:
+        h = np.full(len(at), number, np.uint64)
+        for c in columns:
+            h = kernels.mix(h * np.uint64(0x9E3779B97F4A7C15) + c[at])
+        rows.append(at)
+        keys.append(h)
+
     for k in range(1, BLOCKS):
         at = np.flatnonzero(kept == k)
         for i, chosen in enumerate(_choices(k) if len(at) else []):
-            rows.append(at)
-            keys.append(_hashed([np.full(len(at), 100 * k + i, np.uint64), words[at], *(block[b][at] for b in chosen)]))
+            add(at, 100 * k + i, [words, *(block[b] for b in chosen)])
     for c in range(CLASSES):
         at = np.flatnonzero(word[:, -1] >> np.uint64(28 + c) & np.uint64(1))
         if len(at):
-            rows.append(at)
-            keys.append(_hashed([np.full(len(at), c, np.uint64), *(block[BLOCKS + b][at] for b in range(CLASSES) if b != c)]))
+            add(at, c, [block[BLOCKS + b] for b in range(CLASSES) if b != c])
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(rows), np.concatenate(keys).view(np.int64)
@@ -300,20 +272,23 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
 
 def groups(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """(node, root) of all nodes that are linked to another. nodes: node, key and line (of one occurrence), PARTS; docs: key, text."""
-    fuzzy = nodes.where(f"({PARTS[-1]} & {_COUNT}L) >= {min_words}")
-    table = fuzzy.select("node", F.explode(F.expr(bucket_keys())).alias("bucket"))
-    shared = written(table.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low != high"), "shared-buckets")
-    large = shared.where("n > 2").select("bucket", "low", "high")
-    mask = nodes.sparkSession.sparkContext.broadcast(bit_filter(large, "bucket"))
+    spark = nodes.sparkSession
+    fuzzy = nodes.where(f"({PARTS[-1]} & {_COUNT}L) >= {min_words}").select("node", *PARTS)
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries(batches: Iterator[pa.RecordBatch], mask=None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column(0).to_numpy()
             row, key = bucket_arrays(np.stack([c.to_numpy() for c in batch.columns[1:]], 1))
-            hit = passes(mask.value, key)
-            yield pa.RecordBatch.from_arrays([pa.array(node[row[hit]]), pa.array(key[hit])], names=["node", "bucket"])
+            if mask is not None:
+                hit = passes(mask.value, key)
+                row, key = row[hit], key[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(key)], names=["node", "bucket"])
 
-    members = written(fuzzy.select("node", *PARTS).mapInArrow(entries, "node long, bucket long").join(large, "bucket"), "buckets")
+    table = fuzzy.mapInArrow(entries, "node long, bucket long")
+    shared = written(table.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low != high"), "shared-buckets")
+    large = shared.where("n > 2").select("bucket", "low", "high")
+    mask = spark.sparkContext.broadcast(bit_filter(large, "bucket"))
+    members = written(fuzzy.mapInArrow(lambda batches: entries(batches, mask), "node long, bucket long").join(large, "bucket"), "buckets")
     ends = members.select("node", F.explode(F.array("low", "high")).alias("end")).where("node != end")
     pair = [F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")]
     pairs = written(ends.select(*pair).union(shared.where("n = 2").select("low", "high")).distinct(), "pairs")
