@@ -23,9 +23,8 @@ def shortest_paths(edges: DataFrame, start: int) -> DataFrame:
         if front.isEmpty():
             return known.drop("moved")
         reached = front.join(edges, front["vertex"] == edges["src"]).select(F.col("dst").alias("vertex"), (F.col("distance") + F.col("weight")).alias("distance"), F.col("src").alias("prev"), F.lit(True).alias("moved"))
-        best = F.min(F.struct("distance", "moved", F.col("prev"))).alias("b")
-        merged = known.withColumn("moved", F.lit(False)).unionByName(reached).groupBy("vertex").agg(best)
-        known = stored(merged.select("vertex", "b.distance", "b.prev", "b.moved"), "paths")
+        merged = known.withColumn("moved", F.lit(False)).unionByName(reached).groupBy("vertex").agg(F.min(F.struct("distance", "prev")).alias("b"), F.min(F.when(~F.col("moved"), F.col("distance"))).alias("old"))
+        known = stored(merged.select("vertex", "b.distance", "b.prev", F.coalesce(F.col("b.distance") < F.col("old"), F.lit(True)).alias("moved")), "paths")
 
 
 def shortest_paths_dag(edges: DataFrame, start: int) -> DataFrame:

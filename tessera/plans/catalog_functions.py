@@ -351,8 +351,15 @@ def shortest_path_dag(v):
     return G.shortest_paths_dag(_edges(v).where("dst > src"), 0).select("vertex", "distance")
 
 
-@query()
+@query("with recursive e as (" + _EDGES + "), w as (select 0 as vertex, 0.0::double as d, 0 as n union select e.dst, w.d + e.weight, w.n + 1 from w join e on e.src = w.vertex where w.n < 12), s as (select vertex, min(d) as distance from w group by vertex), p as (select b.vertex, b.distance, min(a.vertex) as prev from s a join e on e.src = a.vertex join s b on b.vertex = e.dst and a.distance + e.weight = b.distance where b.vertex <> 0 group by 1, 2), r as (select 0 as vertex, 0.0::double as distance, [0] as path union all select p.vertex, p.distance, list_append(r.path, p.vertex) from r join p on p.prev = r.vertex) select vertex, distance, array_to_string(path, '>') as route from r")
 def shortest_path_route(v):
+    found = G.routes(G.shortest_paths(_edges(v), 0))
+    return found.select("vertex", "distance", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("route"))
+
+
+@query()
+def shortest_path_vertices(v):
+    """The same as arrays."""
     return G.routes(G.shortest_paths(_edges(v), 0))
 
 
