@@ -30,7 +30,7 @@ L, N, S, W, O, A2, A3 = range(7)
 FRESH, IN_L, IN_N, IN_O, AFTER_S, AFTER_W, NEED1, NEED2 = range(8)
 #: What the pre-tokeniser's pattern takes after an apostrophe.
 SHORT, LONG = "stmd", ("re", "ve", "ll")
-CACHED_PIECES, STEP = 250_000, 256
+CACHED_PIECES, STEP = 80_000, 256
 
 
 def members(pattern: str) -> np.ndarray:
