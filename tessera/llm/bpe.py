@@ -30,7 +30,7 @@ L, N, S, W, O, A2, A3 = range(7)
 FRESH, IN_L, IN_N, IN_O, AFTER_S, AFTER_W, NEED1, NEED2 = range(8)
 #: What the pre-tokeniser's pattern takes after an apostrophe.
 SHORT, LONG = "stmd", ("re", "ve", "ll")
-CACHED_PIECES, STEP = 80_000, 256
+CACHED_PIECES, SHORT_PIECE, STEP = 50_000, 40, 256
 
 
 def members(pattern: str) -> np.ndarray:
@@ -145,10 +145,15 @@ class Codec:
         outer = self
 
         class Pieces(dict):
+            before: dict = {}  # what the cache held when it was last full: frequent pieces come back from there
+
             def __missing__(self, piece: bytes) -> tuple[int, ...]:
                 if len(self) >= CACHED_PIECES:
+                    self.before = dict(self)
                     self.clear()
-                ids = outer.merged(piece)
+                ids = self.before.get(piece)
+                if ids is None:
+                    ids = outer.merged(piece)
                 if len(piece) <= 64:
                     self[piece] = ids
                 return ids
@@ -161,6 +166,19 @@ class Codec:
         if piece in ranks:
             return (ranks[piece],)
         n = len(piece)
+        if n <= SHORT_PIECE:  # a few pairs are looked through faster than a heap is kept
+            get, never = ranks.get, len(self.length)
+            parts, pairs = [piece[i : i + 1] for i in range(n)], [get(piece[i : i + 2], never) for i in range(n - 1)]
+            while pairs and (r := min(pairs)) < never:
+                i = pairs.index(r)
+                joined = parts[i] + parts.pop(i + 1)
+                parts[i] = joined
+                del pairs[i]
+                if i < len(pairs):
+                    pairs[i] = get(joined + parts[i + 1], never)
+                if i:
+                    pairs[i - 1] = get(parts[i - 1] + joined, never)
+            return tuple(map(ranks.__getitem__, parts))
         stop, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
