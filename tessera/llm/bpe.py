@@ -30,7 +30,7 @@ L, N, S, W, O, A2, A3 = range(7)
 FRESH, IN_L, IN_N, IN_O, AFTER_S, AFTER_W, NEED1, NEED2 = range(8)
 #: What the pre-tokeniser's pattern takes after an apostrophe.
 SHORT, LONG = "stmd", ("re", "ve", "ll")
-CACHED_PIECES, SHORT_PIECE, STEP = 50_000, 40, 256
+CACHED_PIECES, SHORT_PIECE, STEP = 125_000, 40, 256
 
 
 def members(pattern: str) -> np.ndarray:
@@ -206,6 +206,11 @@ class Codec:
         np.cumsum(np.fromiter(map(len, nested), np.int64, len(nested)), out=count[1:])
         return list(chain.from_iterable(nested)), count[np.searchsorted(start, off)]
 
+    def forget(self) -> None:
+        """Empties the cache, at the end of a task: a worker that goes on to other work doesn't keep it."""
+        self.pieces.clear()
+        self.pieces.before = {}
+
     def offsets(self, ids: list[int]) -> np.ndarray:
         """Where each token starts in its text's bytes, and where the last ends."""
         return np.concatenate([[0], np.cumsum(self.length[ids])]) if len(ids) else np.zeros(1, np.int64)
@@ -253,6 +258,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
                 ids += [flat[first[i] : first[i + 1]] for i in range(hi - lo)]
                 offsets += [own.offsets(x) for x in ids[-(hi - lo) :]]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(rest))] + [pa.array(ids, pa.list_(pa.int32())), pa.array(offsets, pa.list_(pa.int64()))], names=[*rest, "ids", "offsets"])
+        own.forget()
 
     return docs.select(*rest, text).mapInArrow(run, schema)
 
@@ -297,5 +303,6 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
                     rows[2].append(sha(own.decode(flat[a:b])).hexdigest())
                     rows[3].append(int(ends[b] - ends[a]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.int64())], names=schema.names)
+        own.forget()
 
     return src.mapInArrow(run, schema)
