@@ -154,12 +154,21 @@ def side_link_pairs(sides: DataFrame, key: str = "frame_seq", only: tuple[str, .
     return sides.where(F.col("side").isin(*only)).groupBy(key, "side").applyInPandas(link, f"{key} long, side string, k long, object1 long, object2 long")
 
 
-def stitched_pairs(lab: DataFrame, frames: DataFrame, key: str = "frame_seq") -> DataFrame:
-    """object1, object2: pairs met while frames arrive in order, each against the frames before it. Labels must be unique over frames."""
+def stitched_pairs(lab: DataFrame, frames: DataFrame, key: str = "frame_seq", kind: str | None = None) -> DataFrame:
+    """object1, object2: pairs met while frames arrive in order, each against the frames before it. Labels must be unique over frames.
+
+    The linking goes by where labels change along a border: different objects that end at the border and face each other are met too. Where
+    it is known what the pixels are parts of (the column kind, one for each label), only pairs of one kind are links.
+    """
     sides = side_pixels(lab, frames, key)
     owner = lab.where("label != 0").groupBy("label").agg(F.min(key).alias("of"))
     earlier = sides.join(owner.withColumnRenamed("label", "adj"), "adj", "left").withColumn("adj", F.when(F.coalesce("of", F.lit(-1)) <= F.col(key), F.col("adj")).otherwise(F.lit(NO_LABEL).cast("bigint"))).drop("of")
-    return side_link_pairs(earlier, key).select("object1", "object2").distinct()
+    pairs = side_link_pairs(earlier, key).select("object1", "object2").distinct()
+    if kind is None:
+        return pairs
+    kinds = lab.where("label != 0").groupBy("label").agg(F.min(kind).alias("kind"))
+    one, two = (kinds.select(F.col("label").alias(f"object{i}"), F.col("kind").alias(f"kind{i}")) for i in (1, 2))
+    return pairs.join(one, "object1").join(two, "object2").where("kind1 = kind2").select("object1", "object2")
 
 
 def link_points(points: DataFrame, key: str = "g") -> DataFrame:

@@ -151,3 +151,14 @@ def test_running_sums(spark):
     want = np.concatenate([[0], np.cumsum(np.arange(500) % 7)])
     assert all(r.row == r.k + 1 and r.before == want[r.k] for r in rects.running(df, "k", "v").collect())
     assert rects.running(df.limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize("name", ["component_sizes", "connected_components", "correlation_table", "stitched_raster"])
+def test_objects_that_meet_at_a_frame_border_stay_apart(spark, tmp_path, name):
+    """At row 224 objects and frames end together, and the objects below aren't those above."""
+    con = duckdb.connect()
+    con.execute(f"copy (select i as o_orderkey, i % 1000 as o_custkey from range(128 * 231) t(i)) to '{tmp_path}/orders.parquet'")
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    cols = sorted(df.columns)
+    assert bag(map(tuple, df.select(*cols).collect())) == bag(con.execute(f"select {', '.join(cols)} from ({catalog.ORACLES[name]})").fetchall())
