@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,29 +97,90 @@ def changes(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(at, len(labels)), np.append(labels[at], NO_LABEL)
 
 
-def best_links(source: np.ndarray, target: np.ndarray) -> tuple[list[tuple[int, int]], float]:
-    """The cheapest many-to-many linking of two sorted point sets: the grid path from first to last pair whose steps raise one or both
-    indices, each costing the distance of the points it reaches. Of equally cheap ways the one by both, then by the target, then by the source."""
-    n, m = len(source), len(target)
+def _band(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each source the range of targets that a cheapest linking can join it with.
+
+    Of a link over a target and a source beyond it, both between its ends, the two halves without the part between them are cheaper: from a
+    source on, links reach as far as the next larger source after the next target, and the same to the left.
+    """
+    at = np.searchsorted(target, source)
+    after = np.append(target, np.inf)[at]
+    high = np.searchsorted(target, np.append(source, np.inf)[np.searchsorted(source, after, "right")])
+    at = np.searchsorted(target, source, "right")
+    before = np.append(-np.inf, target)[at]
+    low = np.searchsorted(target, np.append(-np.inf, source)[np.searchsorted(source, before)], "right")
+    return low, high
+
+
+class _Diagonals:
+    """The grid of best_links() by sums of indices, as far as the band reaches: pairs of one sum depend on those of the two sums before only."""
+
+    def __init__(self, source: np.ndarray, target: np.ndarray):
+        self.s, self.t = source, target
+        n, m = len(source), len(target)
+        low, high = _band(source, target) if np.isfinite(source).all() and np.isfinite(target).all() else (np.zeros(n, np.int64), np.full(n, m))
+        i, d = np.arange(n), np.arange(n + m - 1)
+        # rows of each diagonal: both bounds of a row rise with it
+        self.first, self.end = np.searchsorted(i + high, d, "right"), np.searchsorted(i + low, d, "right")
+        self.cells = np.concatenate([[0], np.cumsum(self.end - self.first)])
+
+    def start(self) -> tuple:
+        return 0, np.zeros(1), 0, np.empty(0)
+
+    def run(self, begin: int, end: int, state: tuple, come: np.ndarray | None = None) -> tuple:
+        """From the state (first row and costs of the last diagonal and of the one before it) to that before `end`; come takes how each pair is reached."""
+        row1, best1, row2, best2 = state
+        for d in range(begin, end):
+            a, z = int(self.first[d]), int(self.end[d])
+            ways = np.full((3, z - a), np.inf)  # both raised, the source, the target: the first of equally cheap ones stays
+            for k, (row, best, shift) in enumerate(((row2, best2, 1), (row1, best1, 1), (row1, best1, 0))):
+                x, y = max(a, row + shift), min(z, row + shift + len(best))
+                if x < y:
+                    ways[k, x - a : y - a] = best[x - row - shift : y - row - shift]
+            how = ways.argmin(0)
+            if come is not None:
+                come[self.cells[d] - self.cells[begin] : self.cells[d + 1] - self.cells[begin]] = how
+            now = ways[how, np.arange(z - a)] + np.abs(self.s[a:z] - self.t[d - z + 1 : d - a + 1][::-1])
+            row2, best2, row1, best1 = row1, best1, a, now
+        return row1, best1, row2, best2
+
+    def path(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """How pairs are reached is kept for blocks of diagonals with at most so many pairs (or one diagonal), the last first; of others only the state at their start."""
+        total = len(self.first)
+        cuts, states = [1], [self.start()]
+        while cuts[-1] < total:
+            nxt = min(total, max(cuts[-1] + 1, int(np.searchsorted(self.cells, self.cells[cuts[-1]] + most, "right")) - 1))
+            if nxt < total:
+                states.append(self.run(cuts[-1], nxt, states[-1]))
+            cuts.append(nxt)
+        i, j = len(self.s) - 1, len(self.t) - 1
+        rows, columns = [i], [j]
+        for k in range(len(states) - 1, -1, -1):
+            begin, end = cuts[k], cuts[k + 1] if k + 1 < len(cuts) else total
+            come = np.empty(self.cells[end] - self.cells[begin], np.int8)
+            self.run(begin, end, states[k], come)
+            first, base = self.first[begin:end].tolist(), (self.cells[begin:end] - self.cells[begin]).tolist()
+            while i + j >= begin:
+                d = i + j - begin
+                h = come[base[d] + i - first[d]]
+                i, j = i - (h != 2), j - (h != 1)
+                rows.append(i)
+                columns.append(j)
+        return np.array(rows[::-1]), np.array(columns[::-1])
+
+
+def best_path(source: np.ndarray, target: np.ndarray, most: int = 1 << 24) -> tuple[np.ndarray, np.ndarray]:
+    """best_links() as arrays of indices. Memory: the points and `most` pairs at a time; time: the pairs in the band, which are few unless many points are equal or lie apart from all of the other side."""
     if not points_sorted(source) or not points_sorted(target):
         raise ValueError("points must be sorted")
-    cost = np.abs(source[:, None] - target[None, :]).astype(float)
-    best, come = np.full((n + 1, m + 1), np.inf), np.zeros((n, m), np.int8)
-    best[1, 1] = 0.0
-    for d in range(1, n + m - 1):  # pairs of one sum of indices depend on those of the two sums before only
-        i = np.arange(max(0, d - m + 1), min(n, d + 1))
-        j = d - i
-        ways = np.stack([best[i, j], best[i, j + 1], best[i + 1, j]])  # both raised, the source, the target: the first of equally cheap ones stays
-        how = ways.argmin(0)
-        come[i, j] = np.array([0, 2, 1])[how]
-        best[i + 1, j + 1] = ways[how, np.arange(len(i))] + cost[i, j]
-    path, i, j = [], n - 1, m - 1
-    while True:
-        path.append((i, j))
-        if i == j == 0:
-            return path[::-1], float(sum(cost[a, b] for a, b in path))
-        h = come[i, j]
-        i, j = i - (h in (0, 2)), j - (h in (0, 1))
+    return _Diagonals(source, target).path(most)
+
+
+def best_links(source: np.ndarray, target: np.ndarray) -> tuple[list[tuple[int, int]], float]:
+    """The cheapest many-to-many linking of two sorted point sets: the grid path from first to last pair whose steps raise one or both
+    indices, each costing the distance of the points it reaches. Of equally cheap ways the one by both, then by the source, then by the target."""
+    i, j = best_path(source, target)
+    return list(zip(i.tolist(), j.tolist(), strict=True)), float(sum(np.abs(source[i] - target[j]).astype(float)[::-1]))
 
 
 def points_sorted(points: np.ndarray) -> bool:
@@ -171,16 +235,65 @@ def stitched_pairs(lab: DataFrame, frames: DataFrame, key: str = "frame_seq", ki
     return pairs.join(one, "object1").join(two, "object2").where("kind1 = kind2").select("object1", "object2")
 
 
+def _paths_of_shape(s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """best_path() of many pairs of point sets of one shape at once (s: groups x n, t: groups x m): group, i, j of all pairs."""
+    (size, n), m = s.shape, t.shape[1]
+    best, come = {}, np.zeros((n, m, size), np.int8)
+    for i in range(n):
+        for j in range(m):
+            if i == j == 0:
+                best[0, 0] = np.zeros(size)
+                continue
+            ways = [(k, best[p]) for k, p in enumerate(((i - 1, j - 1), (i - 1, j), (i, j - 1))) if p in best]
+            how, least = np.full(size, ways[0][0], np.int8), ways[0][1]
+            for k, w in ways[1:]:
+                how[w < least] = k
+                least = np.minimum(w, least)
+            come[i, j] = how
+            best[i, j] = least + np.abs(s[:, i] - t[:, j])
+        for j in range(m):
+            best.pop((i - 1, j), None)
+    every, i, j = np.arange(size), np.full(size, n - 1), np.full(size, m - 1)
+    steps, on = [(i, j, np.ones(size, bool))], (i > 0) | (j > 0)
+    while on.any():
+        h = come[i, j, every]
+        i, j = i - (on & (h != 2)), j - (on & (h != 1))
+        steps.append((i, j, on))
+        on = (i > 0) | (j > 0)
+    i, j, on = (np.stack(c[::-1], 1) for c in zip(*steps, strict=True))
+    return np.nonzero(on)[0], i[on], j[on]
+
+
 def link_points(points: DataFrame, key: str = "g") -> DataFrame:
-    """g, i, j, cost: the cheapest linking within each group of points (side S or T, v)."""
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, t = (np.sort(pdf.loc[pdf["side"] == c, "v"].to_numpy(float)) for c in "ST")
-        if not len(s) or not len(t):
-            return pd.DataFrame({key: [], "i": [], "j": [], "cost": []}).astype({key: "int64", "i": "int64", "j": "int64"})
-        path, _ = best_links(s, t)
-        return pd.DataFrame({key: pdf[key].iloc[0], "i": [a for a, _ in path], "j": [b for _, b in path], "cost": [abs(s[a] - t[b]) for a, b in path]})
+    """g, i, j, cost: the cheapest linking within each group of points (side S or T, v).
 
-    return points.groupBy(key).applyInPandas(link, f"{key} long, i long, j long, cost double")
+    Groups come as rows of two sorted arrays. Those of one shape are linked together, if they are many for their size; large ones one by one.
+    """
+    own = lambda c: F.sort_array(F.collect_list(F.when(F.col("side") == c, F.coalesce(F.col("v").cast("double"), F.lit(float("nan")))))).alias(c)
+
+    def linked(keys: np.ndarray, s: tuple, t: tuple) -> Iterator[tuple]:
+        n, m = np.diff(s[0]), np.diff(t[0])
+        shapes, of, many = np.unique(np.stack([n, m], 1), axis=0, return_inverse=True, return_counts=True)
+        groups = np.split(np.argsort(of.ravel(), kind="stable"), np.cumsum(many)[:-1])
+        for (a, b), at in zip(shapes.tolist(), groups, strict=True):
+            if not a or not b:
+                continue
+            together = max(1, (1 << 20) // (a * b)) if 2 * a * b <= len(at) * (a + b) else 1
+            for k in range(0, len(at), together):
+                some = at[k : k + together]
+                x, y = (v[off[some][:, None] + np.arange(size)] for (off, v), size in ((s, a), (t, b)))
+                g, i, j = _paths_of_shape(x, y) if together > 1 else (0, *best_path(x[0], y[0]))
+                yield np.broadcast_to(keys[some][g], i.shape), i, j, np.abs(x[g, i] - y[g, j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s, t = ((c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (b.column(1), b.column(2)))
+            for found in linked(b.column(0).to_numpy(zero_copy_only=False), s, t):
+                for k in range(0, len(found[1]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)], f) for c, f in zip(found, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], [key, "i", "j", "cost"])
+
+    grouped = points.where(F.col("side").isin("S", "T")).groupBy(key).agg(own("S"), own("T"))
+    return grouped.select(F.col(key).cast("long"), "S", "T").mapInArrow(run, f"{key} long, i long, j long, cost double")
 
 
 def link_cost(links: DataFrame, key: str = "g") -> DataFrame:

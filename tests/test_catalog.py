@@ -2,6 +2,7 @@
 
 import collections
 import os
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -162,3 +163,45 @@ def test_objects_that_meet_at_a_frame_border_stay_apart(spark, tmp_path, name):
     df = catalog.QUERIES[name](spark, str(tmp_path))
     cols = sorted(df.columns)
     assert bag(map(tuple, df.select(*cols).collect())) == bag(con.execute(f"select {', '.join(cols)} from ({catalog.ORACLES[name]})").fetchall())
+
+
+def _full_grid(s, t):
+    """The cheapest linking over the whole grid: of equally cheap ways the one by both, then by the source, then by the target."""
+    best, come = {(0, 0): 0.0}, {}
+    for i in range(len(s)):
+        for j in range(len(t)):
+            if (i, j) != (0, 0):
+                come[i, j] = min((p for p in ((i - 1, j - 1), (i - 1, j), (i, j - 1)) if p in best), key=best.get)
+                best[i, j] = best[come[i, j]] + abs(s[i] - t[j])
+    path = [(len(s) - 1, len(t) - 1)]
+    while path[-1] != (0, 0):
+        path.append(come[path[-1]])
+    return path[::-1]
+
+
+def test_best_links_are_those_of_the_whole_grid():
+    rng = np.random.default_rng(7)
+    for most in range(1, 301):
+        s, t = (np.sort(rng.integers(0, most % 30 + 1, rng.integers(1, 14))).astype(float) for _ in "st")
+        i, j = labels.best_path(s, t, most)
+        assert list(zip(i.tolist(), j.tolist(), strict=True)) == _full_grid(s.tolist(), t.tolist())
+
+
+def test_many_points_are_linked_in_little_memory():
+    points = np.arange(20000, dtype=float)
+    tracemalloc.start()
+    i, j = labels.best_path(points, points + 0.25)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (i == j).all() and len(i) == 20000 and peak < 50e6  # the whole grid has 4e8 pairs
+
+
+def test_groups_are_linked_together(spark):
+    """Groups of one shape, of other shapes, with one side only; the number of groups that Python handles one by one doesn't grow."""
+    rng = np.random.default_rng(8)
+    groups = {g: [np.sort(rng.integers(0, 9, k)).astype(float) for k in ((4, 4) if g < 150 else rng.integers(0, 7, 2))] for g in range(180)}
+    rows = [(g, side, float(v)) for g, two in groups.items() for side, vs in zip("ST", two, strict=True) for v in vs[::-1]]
+    links = labels.link_points(spark.createDataFrame(rows, "g long, side string, v double"))
+    assert "FlatMapGroups" not in links._jdf.queryExecution().toString()
+    want = {(g, i, j, abs(s[i] - t[j])) for g, (s, t) in groups.items() if len(s) and len(t) for i, j in _full_grid(s.tolist(), t.tolist())}
+    assert bag(map(tuple, links.collect())) == bag(want)
