@@ -18,11 +18,16 @@ def pixels_in_frames(px: DataFrame, frames: DataFrame, cell: int = CELL) -> Data
     return met.where("x BETWEEN min_x AND max_x AND y BETWEEN min_y AND max_y").drop("cell_x", "cell_y")
 
 
-def crop_frames(fpx: DataFrame, origin: DataFrame, rect: tuple[int, int, int, int], key: str = "frame_seq") -> DataFrame:
-    """Each frame's pixels inside a rectangle relative to its corner (origin: key, min_x, min_y), shifted to the rectangle's corner."""
+def crop_frames(px: DataFrame, frames: DataFrame, rect: tuple[int, int, int, int], key: str = "frame_seq", cell: int = CELL) -> DataFrame:
+    """The pixels (px: x, y, v) of each frame inside a rectangle relative to the frame's corner, shifted to the rectangle's corner.
+
+    Frames are cropped as rectangles before they meet pixels: what is outside is never made, and what is found is final, without a shuffle.
+    """
     x0, x1, y0, y1 = rect
-    near = fpx.join(origin, key).withColumns({"x": F.col("x") - F.col("min_x"), "y": F.col("y") - F.col("min_y")})
-    return near.where(inside(rect)).select(key, (F.col("x") - x0).alias("x"), (F.col("y") - y0).alias("y"), "v")
+    left, top = F.col("min_x"), F.col("min_y")
+    sides = {"min_x": left + max(x0, 0), "max_x": F.least(left + x1, F.col("max_x")), "min_y": top + max(y0, 0), "max_y": F.least(top + y1, F.col("max_y"))}
+    own = frames.select(key, (left + x0).alias("left_"), (top + y0).alias("top_"), *(c.cast("bigint").alias(n) for n, c in sides.items()))
+    return pixels_in_frames(px.select("x", "y", "v"), own, cell).select(key, (F.col("x") - F.col("left_")).alias("x"), (F.col("y") - F.col("top_")).alias("y"), "v")
 
 
 def overlay(fpx: DataFrame, order: str = "frame_seq") -> DataFrame:

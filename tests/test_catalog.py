@@ -205,3 +205,14 @@ def test_groups_are_linked_together(spark):
     assert "FlatMapGroups" not in links._jdf.queryExecution().toString()
     want = {(g, i, j, abs(s[i] - t[j])) for g, (s, t) in groups.items() if len(s) and len(t) for i, j in _full_grid(s.tolist(), t.tolist())}
     assert bag(map(tuple, links.collect())) == bag(want)
+
+
+def test_frames_are_cropped_before_pixels_are_made(spark):
+    px = spark.range(40 * 30).selectExpr("id % 40 as x", "id div 40 as y", "id as v")
+    frames = [(0, 3, 20, 2, 18), (1, 5, 6, 5, 25), (2, 5, 30, 9, 9), (3, 35, 50, 25, 40), (4, -4, 9, -3, 9)]
+    df = spark.createDataFrame(frames, "frame_seq long, min_x long, max_x long, min_y long, max_y long")
+    for rect in ((2, 9, 1, 6), (0, 4, 0, 0), (-3, 1, -2, 2)):
+        x0, x1, y0, y1 = rect
+        want = {(k, x - a - x0, y - c - y0, y * 40 + x) for k, a, b, c, d in frames for x in range(40) for y in range(30) if a <= x <= b and c <= y <= d and x0 <= x - a <= x1 and y0 <= y - c <= y1}
+        assert bag(map(tuple, raster.crop_frames(px, df, rect).collect())) == bag(want)
+    assert raster.crop_frames(px, df, (2, 9, 1, 6))._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
