@@ -161,9 +161,27 @@ def roi_min_size(rois: DataFrame, least: int) -> DataFrame:
     return rois.where(F.expr(f"max_x - min_x + 1 >= {least} AND max_y - min_y + 1 >= {least}")) if least > 1 else rois
 
 
-def roi_overlaps(rois: DataFrame, key: str = "roi_index") -> DataFrame:
-    """i, j: pairs of overlapping rectangles, i < j."""
-    return overlap_join(rois, rois.select(key, *SIDES)).where(F.col(key) < F.col(f"f_{key}")).select(F.col(key).alias("i"), F.col(f"f_{key}").alias("j"))
+def roi_overlaps(rois: DataFrame, key: str = "roi_index", block: int = 2048, pairs_a_task: int = 50_000_000) -> DataFrame:
+    """i, j: pairs of overlapping rectangles, i < j.
+
+    A cell with more than `block` rectangles is cut: each of its parts, of about so many, meets the cell's rectangles as a task's work of its own.
+    Tasks are as many as the pairs to look at need, since the few bytes that go in tell nothing of them.
+    """
+    rows = in_cells(rois.select(key, *SIDES))
+    full = rows.groupBy("cell_x", "cell_y").agg(F.count("*").alias("n_"))
+    work = full.agg(F.sum(F.col("n_").cast("double") * F.col("n_"))).first()[0] or 0
+    tasks = max(1, int(-(-work // pairs_a_task)))
+    parts = F.coalesce(F.ceil(F.col("n_") / block), F.lit(1))
+    crowded = F.broadcast(full.where(F.col("n_") > block))
+    cut = rows.join(crowded, ["cell_x", "cell_y"], "left").withColumn("parts", parts).drop("n_")
+    at = ["cell_x", "cell_y", "part"]
+    one = cut.withColumn("part", F.pmod(F.xxhash64(key), F.col("parts"))).drop("parts")
+    two = cut.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select(*at, *(F.col(c).alias(f"f_{c}") for c in (key, *SIDES)))
+    if tasks > 1:
+        one, two = one.repartition(tasks, *at), two.repartition(tasks, *at)
+    meet = (F.col("min_x") <= F.col("f_max_x")) & (F.col("max_x") >= F.col("f_min_x")) & (F.col("min_y") <= F.col("f_max_y")) & (F.col("max_y") >= F.col("f_min_y"))
+    first = (floor_div(F.greatest("min_x", "f_min_x"), F.lit(CELL)) == F.col("cell_x")) & (floor_div(F.greatest("min_y", "f_min_y"), F.lit(CELL)) == F.col("cell_y"))
+    return one.hint("merge").join(two, at).where((F.col(key) < F.col(f"f_{key}")) & meet & first).select(F.col(key).alias("i"), F.col(f"f_{key}").alias("j"))
 
 
 def tile_grid(rois: DataFrame, frame_x: int, frame_y: int, equalize: bool = True, key: str = "roi_index") -> DataFrame:

@@ -216,3 +216,14 @@ def test_frames_are_cropped_before_pixels_are_made(spark):
         want = {(k, x - a - x0, y - c - y0, y * 40 + x) for k, a, b, c, d in frames for x in range(40) for y in range(30) if a <= x <= b and c <= y <= d and x0 <= x - a <= x1 and y0 <= y - c <= y1}
         assert bag(map(tuple, raster.crop_frames(px, df, rect).collect())) == bag(want)
     assert raster.crop_frames(px, df, (2, 9, 1, 6))._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_crowded_cells_are_shared_out(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, x, x + w, y, y + h) for k, (x, y, w, h) in enumerate(rng.integers(-40, 40, (300, 4)).tolist())]
+    df = spark.createDataFrame(rows, "roi_index long, min_x long, max_x long, min_y long, max_y long")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and all(r[1] <= r[2] and r[3] <= r[4] for r in (a, b)) and a[1] <= b[2] and a[2] >= b[1] and a[3] <= b[4] and a[4] >= b[3]}
+    found = rects.roi_overlaps(df, block=10, pairs_a_task=200).withColumn("task", F.spark_partition_id()).collect()
+    assert bag((r.i, r.j) for r in found) == bag(want)
+    assert max(collections.Counter(r.task for r in found).values()) < len(want) / 4
+    assert rects.roi_overlaps(df.limit(0)).count() == 0
