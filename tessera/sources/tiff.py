@@ -51,6 +51,8 @@ def all_ifds_json(info: DataFrame) -> DataFrame:
 
 def tiff_tiles(found: DataFrame, ifd_index: int = 0, area: tuple[int, int, int, int] | None = None, mode: str = "FAILFAST") -> DataFrame:
     """The blocks of one directory that meet an area (x, y, w, h), decoded one at a time; data are values by rows, channels together, little-endian."""
+    columns = "path ifd_index tile_x tile_y min_x min_y w h channels element_type data".split()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
@@ -63,10 +65,17 @@ def tiff_tiles(found: DataFrame, ifd_index: int = 0, area: tuple[int, int, int,
                         raise
                     continue
                 bw, bh = d.block()
+                rows, held = [], 0
                 for _, _, x, y, w, h in where:
                     w, h = min(w, d.width - x), min(h, d.height - y)
                     part = codec.read(raw, d, (x, y, w, h))
-                    yield pd.DataFrame([(path, ifd_index, x // bw, y // bh, x, y, w, h, d.channels, part.dtype.name, part.tobytes())], columns="path ifd_index tile_x tile_y min_x min_y w h channels element_type data".split())
+                    rows.append((path, ifd_index, x // bw, y // bh, x, y, w, h, d.channels, part.dtype.name, part.tobytes()))
+                    held += part.nbytes
+                    if held >= 1 << 20:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
     return found.select("path", "content").mapInPandas(run, TILES)
 
@@ -152,8 +161,43 @@ def incremental_tiles(arrivals: DataFrame, tile: int, width, height, flush: bool
     return tiles.join(F.broadcast(end)).select("tile_x", "tile_y", F.when(whole & F.lit(flush), F.col("done")).otherwise(F.col("end")).alias("step"), whole.alias("complete"))
 
 
-def encode_pyramids(px: DataFrame, key: str, element_type: str = "uint8", **options) -> DataFrame:
-    """key, content: one TIFF file for each pyramid of pixels (key, level, channel, x, y, v), a directory for each level; a pyramid is one group."""
+def encode_pyramids(px: DataFrame, key: str, element_type: str = "uint8", tile: int | None = 256, area: int = 512, **options) -> DataFrame:
+    """key, content: one TIFF file for each pyramid of pixels (key, level, channel, x, y, v), a directory for each level.
+
+    Tiles are encoded in groups of about area x area pixels; only their bytes come together in a pyramid's group. Without tiles (strips) a
+    pyramid is one group of pixels.
+    """
+    if not tile:
+        return _encode_whole(px, key, element_type, tile=tile, **options)
+    kind, side = px.schema[key].dataType.simpleString(), tile * max(1, area // tile)
+    encoding = {k: v for k, v in options.items() if k in ("compression", "predictor", "order")}
+    sizes = px.groupBy(key, "level").agg(*((F.max(c) + 1).cast("long").alias(n) for c, n in (("x", "w_"), ("y", "h_"), ("channel", "c_"))))
+
+    def tiles(pdf: pd.DataFrame) -> pd.DataFrame:
+        channels, x, y = int(pdf["c_"].iloc[0]), pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        x0, y0 = int(x.min()) // tile * tile, int(y.min()) // tile * tile
+        image = np.zeros(((int(y.max()) - y0) // tile * tile + tile, (int(x.max()) - x0) // tile * tile + tile, channels), element_type)
+        image[y - y0, x - x0, pdf["channel"].to_numpy()] = pdf["v"].to_numpy().astype(element_type)
+        rows = [((y0 + b) // tile, (x0 + a) // tile, codec.encode_block(image[b : b + tile, a : a + tile], **encoding)) for b in range(0, image.shape[0], tile) for a in range(0, image.shape[1], tile)]
+        return pd.DataFrame(rows, columns=["tile_y", "tile_x", "data"]).assign(**{c: pdf[c].iloc[0] for c in (key, "level", "w_", "h_", "c_")})
+
+    def file(pdf: pd.DataFrame) -> pd.DataFrame:
+        content = b""
+        for _, part in pdf.groupby("level"):
+            w, h, c = (int(part[n].iloc[0]) for n in ("w_", "h_", "c_"))
+            found = dict(zip(zip(part["tile_y"].tolist(), part["tile_x"].tolist(), strict=True), part["data"].tolist(), strict=True))
+            empty = codec.encode_block(np.zeros((tile, tile, c), element_type), **encoding)
+            rows = (found.get((b, a), empty) for b in range(-(-h // tile)) for a in range(-(-w // tile)))
+            content = codec.assemble(rows, w, h, c, np.dtype(element_type), tile=tile, before=content, **options)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [content]})
+
+    level = px.schema["level"].dataType.simpleString()
+    sized = px.join(F.broadcast(sizes), [key, "level"]).select(key, "level", "channel", "x", "y", "v", "w_", "h_", "c_")
+    encoded = sized.groupBy(key, "level", floor_div("x", F.lit(side)).alias("area_x"), floor_div("y", F.lit(side)).alias("area_y")).applyInPandas(tiles, f"tile_y long, tile_x long, data binary, {key} {kind}, level {level}, w_ long, h_ long, c_ long")
+    return encoded.groupBy(key).applyInPandas(file, f"{key} {kind}, content binary")
+
+
+def _encode_whole(px: DataFrame, key: str, element_type: str, **options) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         content = b""
         for _, part in pdf.groupby("level"):

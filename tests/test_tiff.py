@@ -133,3 +133,20 @@ def test_delayed_pyramids(spark, tmp_path):
         pyramids.Delayed([(6, 5)]).set(tiles)
     late.set(tiles)
     assert pyramids.read_frames(late.tiles, 0, 3, 3).count() == 72
+
+
+def test_pyramids_are_encoded_in_areas(spark):
+    """The same bytes as of whole images; no group of pixels is larger than an area."""
+    rng = np.random.default_rng(11)
+    for big, predictor in ((False, True), (True, False)):
+        images = [rng.integers(0, 255, (90 >> k, 70 >> k, 2)).astype(np.uint8) for k in range(3)]
+        images[0][20:60, 16:50] = 0
+        gap = lambda k, y, x: k == 0 and 20 <= y < 60 and 16 <= x < 50
+        rows = [("a", k, c, x, y, int(m[y, x, c])) for k, m in enumerate(images) for y in range(m.shape[0]) for x in range(m.shape[1]) for c in range(2) if not gap(k, y, x)]
+        px = spark.createDataFrame(rows, "name string, level int, channel int, x long, y long, v long")
+        want = b""
+        for m in images:
+            want = tiff_codec.write(m, tile=16, predictor=predictor, big=big, before=want)
+        made = tiff.encode_pyramids(px, "name", tile=16, area=32, predictor=predictor, big=big)
+        assert "area_x" in made._jdf.queryExecution().toString()
+        assert [bytes(r.content) for r in made.collect()] == [want]
